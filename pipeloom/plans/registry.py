@@ -1,0 +1,23 @@
+"""All core queries and their SQL oracles."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from pipeloom.plans import reference_checks
+
+MODULES = [reference_checks]
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {k: f for m in MODULES for k, f in m.QUERIES.items()}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {k: s for m in MODULES for k, s in m.SQL.items()}
+
+
+def flagship(spark: SparkSession, root: str) -> DataFrame:
+    return queries()["p5_report"](spark, root)
