@@ -8,7 +8,33 @@ l AS (SELECT DISTINCT b.* FROM b JOIN (SELECT pattern_id, max(updated_at) AS m F
 r AS (SELECT *, row_number() OVER (PARTITION BY equipment_key, utility ORDER BY frequency_score DESC, pattern_id) AS position
   FROM l WHERE frequency_score >= 0 AND frequency_score <= 1 AND NOT isnan(frequency_score))
 """
+_SEQUENCES = r"""
+WITH t AS (SELECT DISTINCT 'dir_seq' AS f, pattern_id AS id,
+    CASE WHEN dir_seq LIKE '[%' THEN list_transform(TRY_CAST(TRY_CAST(dir_seq AS JSON) AS VARCHAR[]), lambda x: x)
+      ELSE regexp_split_to_array(dir_seq, '[,|>;\s]+') END AS ts, 0.035 AS s FROM tb_route_stub_pattern
+  UNION ALL
+  SELECT DISTINCT 'direction_pattern', nullif(regexp_replace(lower(route_path_guid), '[\s{}-]', '', 'g'), ''),
+    regexp_extract_all(upper(direction_pattern), '[RHD]'), 0.10 FROM tb_route_utility_group_member),
+q AS (SELECT row_number() OVER () AS q, f, id, s, list_filter(list_transform(ts, lambda x: trim(lower(translate(x, '＋–−', '+--')))), lambda x: x <> '') AS ts
+  FROM t WHERE id IS NOT NULL AND ts IS NOT NULL),
+e0 AS (SELECT q, f, id, s, unnest(ts) AS w, generate_subscripts(ts, 1) AS i FROM q),
+e1 AS (SELECT q, f, id, s, i, CASE WHEN f = 'direction_pattern' THEN upper(w)
+    WHEN regexp_matches(w, '^[+-][xyz]$') THEN w WHEN regexp_matches(w, '^[xyz][+-]$') THEN reverse(w) END AS a FROM e0),
+e2 AS (SELECT *, lag(a) OVER (PARTITION BY q ORDER BY i) AS b FROM e1),
+e AS (SELECT q, f, id, a, row_number() OVER (PARTITION BY q ORDER BY i) AS i FROM e2 WHERE a IS NULL OR a IS DISTINCT FROM b),
+n AS (SELECT f, s, count(DISTINCT id) AS n FROM e1 GROUP BY f, s),
+p1 AS (SELECT DISTINCT q, f, id, a AS p, i FROM e WHERE a IS NOT NULL),
+p2 AS (SELECT DISTINCT p1.q, p1.f, p1.id, p || '>' || a AS p, e.i FROM p1 JOIN e ON p1.q = e.q AND e.i IN (p1.i + 1, p1.i + 2) WHERE a IS NOT NULL),
+p3 AS (SELECT DISTINCT p2.q, p2.f, p2.id, p || '>' || a AS p, e.i FROM p2 JOIN e ON p2.q = e.q AND e.i IN (p2.i + 1, p2.i + 2) WHERE a IS NOT NULL),
+p4 AS (SELECT DISTINCT p3.q, p3.f, p3.id, p || '>' || a AS p, e.i FROM p3 JOIN e ON p3.q = e.q AND e.i IN (p3.i + 1, p3.i + 2) WHERE a IS NOT NULL),
+p5 AS (SELECT DISTINCT p4.q, p4.f, p4.id, p || '>' || a AS p, e.i FROM p4 JOIN e ON p4.q = e.q AND e.i IN (p4.i + 1, p4.i + 2) WHERE a IS NOT NULL),
+p6 AS (SELECT DISTINCT p5.q, p5.f, p5.id, p || '>' || a AS p, e.i FROM p5 JOIN e ON p5.q = e.q AND e.i IN (p5.i + 1, p5.i + 2) WHERE a IS NOT NULL),
+c AS (SELECT f, p, count(DISTINCT id) AS support FROM (FROM p3 UNION ALL FROM p4 UNION ALL FROM p5 UNION ALL FROM p6) GROUP BY f, p),
+r AS (SELECT c.f AS seq_field, p AS step_pattern, support, support / CAST(n AS DOUBLE) AS share FROM c JOIN n ON c.f = n.f WHERE support >= s * n)
+"""
 SQL = {
+    "p4_found": _SEQUENCES + "SELECT seq_field, step_pattern FROM r",
+    "p4_patterns": _SEQUENCES + "SELECT seq_field, step_pattern, support, share FROM r",
     "p2_found": _BENDS + "SELECT equipment_key, utility, pattern_id FROM r WHERE position <= 5",
     "p2_top20": _BENDS + "SELECT pattern_id, frequency_score, utility, equipment_key, position FROM r WHERE position <= 20",
 }

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pipeloom.functions.text import norm_equipment_key
 from pipeloom.llm import oracles
 from pipeloom.llm.runs import collapse_runs
+from pipeloom.llm.sequences import route_patterns, stub_patterns
 from pipeloom.llm.topn import latest_version, top_n_per_group
 from pipeloom.sources.tables import table
 
@@ -43,8 +44,18 @@ def p2_top20(spark: SparkSession, root: str) -> DataFrame:
     return _ranked_bends(spark, root, 20)
 
 
+def p4_patterns(spark: SparkSession, root: str) -> DataFrame:
+    stubs = stub_patterns(table(spark, root, "tb_route_stub_pattern"))
+    return stubs.unionByName(route_patterns(table(spark, root, "tb_route_utility_group_member")))
+
+
+def p4_found(spark: SparkSession, root: str) -> DataFrame:
+    return p4_patterns(spark, root).select("seq_field", "step_pattern")
+
+
 QUERIES = {
     "p1_found": p1_found, "p1_runs": p1_runs, "p1_near_identical": p1_near_identical,
     "p2_found": p2_found, "p2_top20": p2_top20,
+    "p4_found": p4_found, "p4_patterns": p4_patterns,
 }
 SQL = {k: v for k, v in oracles.SQL.items() if k in QUERIES}
