@@ -32,7 +32,19 @@ p6 AS (SELECT DISTINCT p5.q, p5.f, p5.id, p || '>' || a AS p, e.i FROM p5 JOIN e
 c AS (SELECT f, p, count(DISTINCT id) AS support FROM (FROM p3 UNION ALL FROM p4 UNION ALL FROM p5 UNION ALL FROM p6) GROUP BY f, p),
 r AS (SELECT c.f AS seq_field, p AS step_pattern, support, support / CAST(n AS DOUBLE) AS share FROM c JOIN n ON c.f = n.f WHERE support >= s * n)
 """
+_VECTORS = r"""
+WITH v AS (
+  SELECT 'feature_centroid' AS f, group_vector_id AS id, feature_centroid AS v, 30 AS d, 0.985 AS s FROM tb_route_utility_group_vector
+  UNION ALL SELECT 'context_centroid', group_vector_id, context_centroid, 30, 0.985 FROM tb_route_utility_group_vector
+  UNION ALL SELECT 'feat_json', pattern_id, TRY_CAST(feat_json AS DOUBLE[]), 24, 0.99999 FROM tb_route_stub_pattern),
+u AS (SELECT f, id, s, min(v) AS v FROM v WHERE len(v) = d AND len(list_filter(v, lambda x: x IS NULL OR isnan(x))) = 0
+    AND len(list_filter(v, lambda x: x <> 0)) > 0 GROUP BY f, id, s),
+p AS (SELECT a.f, a.s, a.id AS a, b.id AS b, list_cosine_similarity(a.v, b.v) AS c FROM u a JOIN u b ON a.f = b.f AND a.id <> b.id),
+r AS (SELECT *, row_number() OVER (PARTITION BY f, a ORDER BY round(c, 9) DESC, b) AS n FROM p WHERE c >= s - 1e-9),
+k AS (SELECT * FROM r WHERE n <= 5)
+"""
 SQL = {
+    "p3_found": _VECTORS + "SELECT x.f AS vec_field, x.a AS id_a, x.b AS id_b FROM k x JOIN k y ON x.f = y.f AND x.a = y.b AND x.b = y.a WHERE x.a < x.b AND x.c >= x.s",
     "p4_found": _SEQUENCES + "SELECT seq_field, step_pattern FROM r",
     "p4_patterns": _SEQUENCES + "SELECT seq_field, step_pattern, support, share FROM r",
     "p2_found": _BENDS + "SELECT equipment_key, utility, pattern_id FROM r WHERE position <= 5",

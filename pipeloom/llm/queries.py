@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pipeloom.functions.text import norm_equipment_key
 from pipeloom.llm import oracles
+from pipeloom.llm.neighbours import k_nearest, mutual, unit_vectors
 from pipeloom.llm.runs import collapse_runs
 from pipeloom.llm.sequences import route_patterns, stub_patterns
 from pipeloom.llm.topn import latest_version, top_n_per_group
@@ -53,9 +54,36 @@ def p4_found(spark: SparkSession, root: str) -> DataFrame:
     return p4_patterns(spark, root).select("seq_field", "step_pattern")
 
 
+SIMILAR = {"feature_centroid": 0.985, "context_centroid": 0.985, "feat_json": 0.99999}
+
+
+def _vectors(spark: SparkSession, root: str) -> DataFrame:
+    """Vectors of the three fields, scaled to length 1."""
+    groups = table(spark, root, "tb_route_utility_group_vector")
+    both = groups.select("group_vector_id", F.explode(F.create_map(
+        F.lit("feature_centroid"), F.col("feature_centroid"), F.lit("context_centroid"), F.col("context_centroid"))).alias("f", "v"))
+    out = unit_vectors(both, F.col("f"), F.col("group_vector_id"), F.col("v"), F.lit(30))
+    stubs = table(spark, root, "tb_route_stub_pattern")
+    return out.unionByName(unit_vectors(stubs, F.lit("feat_json"), F.col("pattern_id"), F.from_json("feat_json", "array<double>"), F.lit(24)))
+
+
+def p3_found(spark: SparkSession, root: str) -> DataFrame:
+    pairs = mutual(k_nearest(_vectors(spark, root), 5, min_similarity={f: s - 1e-9 for f, s in SIMILAR.items()}, certainty=0.999999))
+    least = F.create_map(*[F.lit(x) for kv in SIMILAR.items() for x in kv])
+    return pairs.where(F.col("similarity") >= least[F.col("field")]).select(F.col("field").alias("vec_field"), "id_a", "id_b")
+
+
+def p3_search(spark: SparkSession, root: str) -> DataFrame:
+    """The five most similar vectors of every vector whose identifier, as a hexadecimal number, is divisible by 100."""
+    number = F.conv(F.substring("id", -12, 12), 16, 10).cast("bigint")
+    found = k_nearest(_vectors(spark, root), 5, queries=F.coalesce(number % 100 == 0, F.lit(False)), certainty=0.95)
+    return found.select(F.col("field").alias("vec_field"), "id", "other", F.round("similarity", 9).alias("cosine"), "position")
+
+
 QUERIES = {
     "p1_found": p1_found, "p1_runs": p1_runs, "p1_near_identical": p1_near_identical,
     "p2_found": p2_found, "p2_top20": p2_top20,
+    "p3_found": p3_found, "p3_search": p3_search,
     "p4_found": p4_found, "p4_patterns": p4_patterns,
 }
 SQL = {k: v for k, v in oracles.SQL.items() if k in QUERIES}
