@@ -7,10 +7,15 @@ from pyspark.sql import functions as F
 
 from pipeloom.functions.text import norm_equipment_key
 from pipeloom.llm import oracles
+from pipeloom.llm.mixing import draw, shares
 from pipeloom.llm.neighbours import k_nearest, mutual, unit_vectors
+from pipeloom.llm.packing import pack, packing_report
+from pipeloom.llm.residue import find_residue, without_residue
 from pipeloom.llm.runs import collapse_runs
 from pipeloom.llm.sequences import route_patterns, stub_patterns
+from pipeloom.llm.tokens import token_counts
 from pipeloom.llm.topn import latest_version, top_n_per_group
+from pipeloom.session import cut_lineage
 from pipeloom.sources.tables import table
 
 
@@ -80,10 +85,48 @@ def p3_search(spark: SparkSession, root: str) -> DataFrame:
     return found.select(F.col("field").alias("vec_field"), "id", "other", F.round("similarity", 9).alias("cosine"), "position")
 
 
+def _sizes(spark: SparkSession, root: str) -> DataFrame:
+    """Documents with their size; written once, as counting tokens is the dear part."""
+    return cut_lineage(token_counts(table(spark, root, "documents"), "doc_id", "text", F.col("source")))
+
+
+def p6_packed(spark: SparkSession, root: str) -> DataFrame:
+    return pack(_sizes(spark, root), table(spark, root, "pack_container"))
+
+
+def p6_report(spark: SparkSession, root: str) -> DataFrame:
+    return packing_report(p6_packed(spark, root))
+
+
+def p7_drawn(spark: SparkSession, root: str) -> DataFrame:
+    return draw(_sizes(spark, root), table(spark, root, "mix_target"))
+
+
+def p7_shares(spark: SparkSession, root: str) -> DataFrame:
+    return shares(p7_drawn(spark, root), table(spark, root, "mix_target"))
+
+
+def p8_found(spark: SparkSession, root: str) -> DataFrame:
+    return find_residue(table(spark, root, "documents"), "doc_id", "text").select("doc_id").distinct()
+
+
+def p8_kinds(spark: SparkSession, root: str) -> DataFrame:
+    found = find_residue(table(spark, root, "documents"), "doc_id", "text")
+    return found.select("doc_id", F.array_join("kinds", ",").alias("kinds"))
+
+
+def p8_corpus(spark: SparkSession, root: str) -> DataFrame:
+    """The documents that stay in the corpus."""
+    docs = table(spark, root, "documents").select("doc_id", "text", "lang", "source", "n_chars")
+    return without_residue(docs, "doc_id", "text").select("doc_id", "lang", "source", "n_chars")
+
+
 QUERIES = {
     "p1_found": p1_found, "p1_runs": p1_runs, "p1_near_identical": p1_near_identical,
     "p2_found": p2_found, "p2_top20": p2_top20,
     "p3_found": p3_found, "p3_search": p3_search,
     "p4_found": p4_found, "p4_patterns": p4_patterns,
+    "p6_packed": p6_packed, "p6_report": p6_report, "p7_drawn": p7_drawn, "p7_shares": p7_shares,
+    "p8_found": p8_found, "p8_kinds": p8_kinds, "p8_corpus": p8_corpus,
 }
 SQL = {k: v for k, v in oracles.SQL.items() if k in QUERIES}
