@@ -64,6 +64,7 @@ EXEMPLARS = [
 ]
 VOCABULARY = frozenset(t for _, p in EXEMPLARS for t in p)
 MENTIONS = [i for i, (k, _) in enumerate(EXEMPLARS) if k == "mention"]
+SHORT = frozenset(tuple(p) for k, p in EXEMPLARS if k not in ("mention", "nonsense") and len(p) <= 3)
 NONSENSE = frozenset(tokens(E.NONSENSE))
 
 
@@ -96,6 +97,14 @@ class Weights:
         return sum(self.idf[t] * min(n, have[t]) for t, n in want.items()) / self.total[exemplar]
 
 
+def _only_short(words: list[str], short: int) -> bool:
+    """Whether the words are a sequence of exemplars of up to ``short`` tokens."""
+    reached = [True] + [False] * len(words)
+    for end in range(1, len(words) + 1):
+        reached[end] = any(reached[end - n] and tuple(words[end - n : end]) in SHORT for n in range(1, min(short, end) + 1))
+    return reached[-1]
+
+
 def passage_kind(raw: str, w: Weights, *, mention: float, short: int = 3) -> str | None:
     """Kind of residue in one passage (a sentence without its quoted parts), or None."""
     if _SLOT_START.search(raw) and SLOT.search(raw):
@@ -111,8 +120,8 @@ def passage_kind(raw: str, w: Weights, *, mention: float, short: int = 3) -> str
             return "filler"
         for i in {i for t in distinct & w.index.keys() for i in w.index[t]}:
             kind, p = EXEMPLARS[i]
-            if len(p) <= short:  # too common to be told inside a longer passage
-                if distinct == set(p) and len(part) % len(p) == 0:
+            if len(p) <= short:  # too common to be told inside a longer passage: the whole of it must be such exemplars
+                if len(part) <= 24 and _only_short(part, short):
                     return kind
             elif w.contained(i, part) >= w.coverage:
                 inside = set(p)
@@ -121,7 +130,7 @@ def passage_kind(raw: str, w: Weights, *, mention: float, short: int = 3) -> str
     return None
 
 
-def residue_kinds(text: str | None, w: Weights, mention: float = 0.5) -> set[str]:
+def residue_kinds(text: str | None, w: Weights, mention: float = 0.6) -> set[str]:
     """All kinds of residue in the whole text."""
     out: set[str] = set()
     if not text:
@@ -159,7 +168,7 @@ def corpus_weights(texts: DataFrame, coverage: float = 0.9) -> Weights:
     return Weights(found.pop("", 0), found, coverage)
 
 
-def find_residue(df: DataFrame, ident: str, text: str, *, coverage: float = 0.9, mention: float = 0.5) -> DataFrame:
+def find_residue(df: DataFrame, ident: str, text: str, *, coverage: float = 0.9, mention: float = 0.6) -> DataFrame:
     """(doc_id, kinds) of the texts that hold residue; kinds are slot, filler, error, scripts, sorted.
 
     * NULL, empty and blank texts are no case. Texts of any length are read whole.

@@ -16,7 +16,14 @@ unhandled exception
 traceback most recent call last
 java lang illegalstateexception connection pool is closed
 warning undefined index body in srv view page inc on line
+fatal relation sheet text does not exist at character
 fatal relation does not exist at character
+could not render page
+query failed
+check the address and try again
+the drawing page you asked for could not be found
+unauthorized
+you do not have permission to open this folder
 service unavailable
 the document store is temporarily unable to answer your request
 the upstream viewer did not respond in time
@@ -44,11 +51,15 @@ please sign in again to continue
 서비스를 일시적으로 이용할 수 없습니다
 잠시 후 다시 시도해 주세요
 이 문서를 볼 권한이 없습니다
+접근 거부
 로그인 만료
 세션이 만료되었습니다
 다시 로그인하십시오
 seite nicht gefunden
 das angeforderte blatt existiert nicht mehr
+bitte prüfen sie die adresse
+sitzung abgelaufen
+ihre sitzung ist abgelaufen
 interner serverfehler
 fehler
 beim laden der seite ist ein fehler aufgetreten
