@@ -43,7 +43,36 @@ p AS (SELECT a.f, a.s, a.id AS a, b.id AS b, list_cosine_similarity(a.v, b.v) AS
 r AS (SELECT *, row_number() OVER (PARTITION BY f, a ORDER BY round(c, 9) DESC, b) AS n FROM p WHERE c >= s - 1e-9),
 k AS (SELECT * FROM r WHERE n <= 5)
 """
+_RUNS = r"""
+WITH d0 AS (SELECT pattern_id, any_value(CASE WHEN dir_seq LIKE '[%' THEN TRY_CAST(TRY_CAST(dir_seq AS JSON) AS VARCHAR[])
+    ELSE regexp_split_to_array(dir_seq, '[,|>;\s]+') END) AS ts FROM tb_route_stub_pattern GROUP BY 1),
+d1 AS (SELECT pattern_id, list_filter(list_transform(ts, lambda x: trim(lower(translate(x, '＋–−', '+--')))), lambda x: x <> '') AS ts FROM d0 WHERE ts IS NOT NULL),
+d2 AS (SELECT pattern_id, unnest(ts) AS w, generate_subscripts(ts, 1) - 1 AS i FROM d1),
+d3 AS (SELECT pattern_id, 'dir_seq' AS seq_field, i, NULL::DOUBLE AS mm, CASE WHEN regexp_matches(w, '^[+-][xyz]$') THEN w WHEN regexp_matches(w, '^[xyz][+-]$') THEN reverse(w) END AS a FROM d2),
+s0 AS (SELECT pattern_id, any_value(TRY_CAST(stub_points AS JSON)) AS j FROM tb_route_stub_pattern GROUP BY 1),
+s1 AS (SELECT pattern_id, CAST(j AS JSON[]) AS ps FROM s0 WHERE json_type(j) = 'ARRAY'),
+s2 AS (SELECT pattern_id, unnest(ps) AS p, generate_subscripts(ps, 1) - 1 AS i FROM s1),
+s3 AS (SELECT pattern_id, i, CASE json_type(p)
+    WHEN 'ARRAY' THEN [CAST(p->>'$[0]' AS DOUBLE), CAST(p->>'$[1]' AS DOUBLE), CAST(p->>'$[2]' AS DOUBLE)]
+    WHEN 'OBJECT' THEN [CAST(coalesce(p->>'x', p->>'X') AS DOUBLE), CAST(coalesce(p->>'y', p->>'Y') AS DOUBLE), CAST(coalesce(p->>'z', p->>'Z') AS DOUBLE)]
+    ELSE CAST(regexp_split_to_array(trim(p->>'$'), '[;,\s]+') AS DOUBLE[]) END AS c FROM s2),
+s4 AS (SELECT pattern_id, i, lead(c) OVER w AS n, c FROM s3 WINDOW w AS (PARTITION BY pattern_id ORDER BY i)),
+s5 AS (SELECT pattern_id, i, n[1] - c[1] AS dx, n[2] - c[2] AS dy, n[3] - c[3] AS dz FROM s4 WHERE n IS NOT NULL),
+s6 AS (SELECT *, sqrt(dx * dx + dy * dy + dz * dz) AS mm FROM s5),
+s7 AS (SELECT pattern_id, i, mm, CASE WHEN mm < 1 THEN NULL WHEN abs(dx) >= abs(dy) AND abs(dx) >= abs(dz) THEN CASE WHEN dx >= 0 THEN '+x' ELSE '-x' END
+    WHEN abs(dy) >= abs(dz) THEN CASE WHEN dy >= 0 THEN '+y' ELSE '-y' END ELSE CASE WHEN dz >= 0 THEN '+z' ELSE '-z' END END AS a FROM s6),
+s8 AS (SELECT pattern_id, 'stub_points' AS seq_field, i, mm, coalesce(
+    last_value(a IGNORE NULLS) OVER (PARTITION BY pattern_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
+    first_value(a IGNORE NULLS) OVER (PARTITION BY pattern_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING), 'none') AS a FROM s7),
+e AS (SELECT pattern_id, seq_field, i, mm, a FROM d3 UNION ALL SELECT pattern_id, seq_field, i, mm, a FROM s8),
+f AS (SELECT *, CASE WHEN a IS NOT NULL AND a = lag(a) OVER (PARTITION BY pattern_id, seq_field ORDER BY i) THEN 0 ELSE 1 END AS b FROM e),
+g AS (SELECT *, sum(b) OVER (PARTITION BY pattern_id, seq_field ORDER BY i) - 1 AS r FROM f),
+h AS (SELECT pattern_id, seq_field, CAST(r AS INT) AS run_no, any_value(a) AS axis, CAST(min(i) AS INT) AS first_pos, CAST(max(i) AS INT) AS last_pos,
+  CAST(count(*) AS INT) AS n_events, sum(mm) AS duration_mm FROM g GROUP BY pattern_id, seq_field, r)
+"""
 SQL = {
+    "p1_found": _RUNS + "SELECT pattern_id, seq_field, first_pos, last_pos FROM h WHERE n_events >= 2",
+    "p1_runs": _RUNS + "SELECT pattern_id, seq_field, run_no, axis, first_pos, last_pos, n_events, round(duration_mm, 4) AS duration_mm FROM h",
     "p3_found": _VECTORS + "SELECT x.f AS vec_field, x.a AS id_a, x.b AS id_b FROM k x JOIN k y ON x.f = y.f AND x.a = y.b AND x.b = y.a WHERE x.a < x.b AND x.c >= x.s",
     "p4_found": _SEQUENCES + "SELECT seq_field, step_pattern FROM r",
     "p4_patterns": _SEQUENCES + "SELECT seq_field, step_pattern, support, share FROM r",

@@ -20,7 +20,8 @@ from pipeloom.sources.tables import table
 
 
 def p1_runs(spark: SparkSession, root: str) -> DataFrame:
-    return collapse_runs(table(spark, root, "tb_route_stub_pattern"), "pattern_id", "dir_seq", "stub_points")
+    runs = collapse_runs(table(spark, root, "tb_route_stub_pattern"), "pattern_id", "dir_seq", "stub_points")
+    return runs.withColumn("duration_mm", F.round("duration_mm", 4))
 
 
 def p1_found(spark: SparkSession, root: str) -> DataFrame:

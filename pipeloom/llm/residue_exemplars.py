@@ -34,6 +34,8 @@ too many connections
 wait a moment then reload
 please try again later
 forbidden
+http
+error
 access denied
 permission required
 ask the owner of the library to grant you access
