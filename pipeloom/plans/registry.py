@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pipeloom.plans import reference_checks
+from pipeloom.plans import polyline, reference_checks, search
 
-MODULES = [reference_checks]
+MODULES = [reference_checks, search, polyline]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -20,4 +20,4 @@ def oracle_sql() -> dict[str, str]:
 
 
 def flagship(spark: SparkSession, root: str) -> DataFrame:
-    return queries()["p5_report"](spark, root)
+    return queries()["t05_hybrid_topk"](spark, root)
