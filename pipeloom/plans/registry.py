@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pipeloom.plans import polyline, reference_checks, search
+from pipeloom.plans import polyline, reference_checks, relational, search
 
-MODULES = [reference_checks, search, polyline]
+MODULES = [reference_checks, search, polyline, relational]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
