@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pipeloom.plans import polyline, reference_checks, relational, search
+from pipeloom.plans import polyline, reference_checks, relational, search, spatial
 
-MODULES = [reference_checks, search, polyline, relational]
+MODULES = [reference_checks, search, polyline, relational, spatial]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
