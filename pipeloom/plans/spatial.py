@@ -217,15 +217,15 @@ def e04(spark, root):
     return v.agg(F.count("*").alias("n"), F.avg(((c[0] + c[1] + c[6] + c[7]) == 0).cast("int")).alias("empty_start_share"), F.percentile(c[5], 0.5).alias("p50"), F.percentile(c[5], 0.95).alias("p95"), F.min(V.norm(c)).alias("least_norm"))
 
 
-@query("r15_voxel_cosine", "leg", """WITH c AS (SELECT DISTINCT guid, CAST(floor(x / 3000) AS BIGINT) AS a, CAST(floor(y / 3000) AS BIGINT) AS b, CAST(floor(z / 3000) AS BIGINT) AS c FROM vertex), n AS (SELECT guid, count(*) AS n FROM c GROUP BY guid), q AS (SELECT guid FROM n ORDER BY guid LIMIT 20),
+@query("r15_voxel_cosine", "leg", """WITH c AS (SELECT DISTINCT guid, CAST(floor(x / 3000) AS BIGINT) AS a, CAST(floor(y / 3000) AS BIGINT) AS b, CAST(floor(z / 3000) AS BIGINT) AS c FROM vertex), n AS (SELECT guid, count(*) AS n FROM c GROUP BY guid), q AS (SELECT guid FROM n WHERE CAST('0x' || right(guid, 12) AS BIGINT) % 100 = 0),
   s AS (SELECT x.guid AS q, y.guid AS o, count(*) AS k FROM c x JOIN q ON q.guid = x.guid JOIN c y ON x.a = y.a AND x.b = y.b AND x.c = y.c AND x.guid <> y.guid GROUP BY 1, 2) SELECT s.q AS query_guid, s.o AS guid, round(k / sqrt(CAST(a.n * b.n AS DOUBLE)), 6) AS cosine FROM s JOIN n a ON a.guid = s.q JOIN n b ON b.guid = s.o""")
 def r15(spark, root):
-    """Cosine of occupied 3 m cells between the first 20 lines (the stated queries) and all lines, as a sparse join."""
+    """Cosine of occupied 3 m cells between the lines whose identifier is divisible by 100 and all lines, as a sparse join."""
     v = P.s12(spark, root)
     c = v.select("guid", *[F.floor(F.col(k) / 3000).alias("c" + k) for k in "xyz"]).distinct()
     n = c.groupBy("guid").agg(F.count("*").alias("n"))
-    q = n.orderBy("guid").limit(20).select(F.col("guid").alias("query_guid"), F.col("n").alias("qn"))
-    mine = c.join(F.broadcast(q), F.col("guid") == F.col("query_guid")).drop("guid")  # twenty rows
+    q = n.where(F.conv(F.substring("guid", -12, 12), 16, 10).cast("bigint") % 100 == 0).select(F.col("guid").alias("query_guid"), F.col("n").alias("qn"))
+    mine = c.join(q, F.col("guid") == F.col("query_guid")).drop("guid")
     s = mine.join(c, ["cx", "cy", "cz"]).where("guid <> query_guid").groupBy("query_guid", "qn", "guid").agg(F.count("*").alias("k")).join(n, "guid")
     return s.select("query_guid", "guid", F.round(F.col("k") / F.sqrt((F.col("n") * F.col("qn")).cast("double")), 6).alias("cosine"))
 
