@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pipeloom.plans import polyline, reference_checks, relational, search, sequential, spatial
+from pipeloom.plans import design, polyline, reference_checks, relational, search, sequential, spatial
 
-MODULES = [reference_checks, search, polyline, relational, spatial, sequential]
+MODULES = [reference_checks, search, polyline, relational, spatial, sequential, design]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
