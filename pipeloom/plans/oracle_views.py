@@ -10,11 +10,11 @@ def guid(c: str) -> str:
     return "nullif(" + GUID.format(c) + ", '')"
 
 
+ROUTE = {n: f"coalesce(trim({c}), '')" for n, c in (("process", "process_name"), ("equipment_name", "equipment_name"), ("utility_group", "utility_group"), ("utility", "source_utility"), ("size", "source_size"), ("owner", "target_owner_name"), ("bay", "bay"))}
+ROUTE |= {"equipment_key": EQUIPMENT.format("equipment_tag"), "project": "project_scope_key", "revision": "model_revision_key"}
+ROUTE |= {c: c for c in ("source_posx", "source_posy", "source_posz", "target_posx", "target_posy", "target_posz", "total_length", "bend_count", "deleted_at")}
 VIEWS = {
-    "route": f"""SELECT * FROM (SELECT {guid('route_path_guid')} AS guid, loaded_at, coalesce(trim(process_name), '') AS process, {EQUIPMENT.format('equipment_tag')} AS equipment_key,
-  coalesce(trim(equipment_name), '') AS equipment_name, coalesce(trim(utility_group), '') AS utility_group, coalesce(trim(source_utility), '') AS utility, coalesce(trim(source_size), '') AS size,
-  coalesce(trim(target_owner_name), '') AS owner, coalesce(trim(bay), '') AS bay, project_scope_key AS project, model_revision_key AS revision, source_posx, source_posy, source_posz,
-  target_posx, target_posy, target_posz, total_length, bend_count, deleted_at, row_number() OVER (PARTITION BY {guid('route_path_guid')} ORDER BY loaded_at DESC, total_length DESC NULLS LAST, bend_count DESC NULLS LAST, coalesce(trim(process_name), '') DESC, {EQUIPMENT.format('equipment_tag')} DESC NULLS LAST, coalesce(trim(equipment_name), '') DESC, coalesce(trim(utility_group), '') DESC, coalesce(trim(source_utility), '') DESC, coalesce(trim(source_size), '') DESC, coalesce(trim(target_owner_name), '') DESC) AS rn FROM tb_route_path) WHERE rn = 1 AND guid IS NOT NULL""",
+    "route": f"SELECT {guid('route_path_guid')} AS guid, max(loaded_at) AS loaded_at, " + ", ".join(f"first({e} ORDER BY loaded_at DESC, {e} DESC NULLS LAST) AS {n}" for n, e in ROUTE.items()) + f" FROM tb_route_path WHERE {guid('route_path_guid')} IS NOT NULL GROUP BY 1",
     "stub": "SELECT DISTINCT * FROM tb_route_stub_pattern",
     "v0": "SELECT pattern_id, max(stub_points) AS t FROM tb_route_stub_pattern GROUP BY 1",
     "v1": "SELECT pattern_id, CAST(TRY_CAST(t AS JSON) AS JSON[]) AS ps FROM v0 WHERE json_type(TRY_CAST(t AS JSON)) = 'ARRAY'",

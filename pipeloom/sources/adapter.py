@@ -42,43 +42,45 @@ def parse_points(text: Column) -> Column:
     return F.when(~F.exists(points, lambda p: p.isNull() | p["x"].isNull() | p["y"].isNull() | p["z"].isNull()), points)
 
 
+def once(df: DataFrame, *keys: str) -> DataFrame:
+    """One row per key from delivered copies.  Each column is aggregated for itself, so a query that needs two columns reads two."""
+    return df.groupBy(*keys).agg(*[F.max(c).alias(c) for c in df.columns if c not in keys])
+
+
+def newest(df: DataFrame, key: str, version: str) -> DataFrame:
+    """Per key and column the value of the newest version; of equal versions the greatest, NULL last."""
+    rest = [c for c in df.columns if c not in (key, version)]
+    return df.groupBy(key).agg(F.max(version).alias(version), *[F.max(F.struct(version, c))[c].alias(c) for c in rest])
+
+
 def routes(spark: SparkSession, root: str) -> DataFrame:
-    """Newest row per route: guid, keys, endpoints, length, bends."""
+    """One row per route: guid, keys, endpoints, length, bends as last loaded."""
     t = table(spark, root, "tb_route_path")
     rows = t.select(
-        norm_guid(F.col("route_path_guid")).alias("guid"),
-        F.struct(
-            "loaded_at", "total_length", "bend_count", norm_text(F.col("process_name")).alias("process"), norm_equipment_key(F.col("equipment_tag")).alias("equipment_key"),
-            norm_text(first_existing(t, "equipment_name", "equipment")).alias("equipment_name"), norm_text(F.col("utility_group")).alias("utility_group"),
-            norm_text(F.col("source_utility")).alias("utility"), norm_text(F.col("source_size")).alias("size"), norm_text(F.col("target_owner_name")).alias("owner"),
-            norm_text(F.col("bay")).alias("bay"), F.col("project_scope_key").alias("project"), F.col("model_revision_key").alias("revision"),
-            "source_posx", "source_posy", "source_posz", "target_posx", "target_posy", "target_posz", "deleted_at",
-        ).alias("r"),
+        norm_guid(F.col("route_path_guid")).alias("guid"), "loaded_at", norm_text(F.col("process_name")).alias("process"), norm_equipment_key(F.col("equipment_tag")).alias("equipment_key"),
+        norm_text(first_existing(t, "equipment_name", "equipment")).alias("equipment_name"), norm_text(F.col("utility_group")).alias("utility_group"),
+        norm_text(F.col("source_utility")).alias("utility"), norm_text(F.col("source_size")).alias("size"), norm_text(F.col("target_owner_name")).alias("owner"),
+        norm_text(F.col("bay")).alias("bay"), F.col("project_scope_key").alias("project"), F.col("model_revision_key").alias("revision"),
+        "source_posx", "source_posy", "source_posz", "target_posx", "target_posy", "target_posz", "total_length", "bend_count", "deleted_at",
     )
-    newest = rows.where("guid is not null").groupBy("guid").agg(F.max("r").alias("r"))
-    return newest.select("guid", "r.*")
+    return newest(rows.where("guid is not null"), "guid", "loaded_at")
 
 
 def stubs(spark: SparkSession, root: str) -> DataFrame:
     """One row per stub pattern."""
-    cols = ["route_path_guid", "stub_kind", "anchor_kind", "anchor_name", "main_equipment_name", "process_name", "utility_group", "utility", "pipe_size", "face",
-            "dir_seq", "n_bends", "rise_mm", "offset_mm", "diameter_mm", "stub_length_mm", "source_pos", "target_pos", "anchor_min", "anchor_max", "stub_points", "feat_json", "dir_unit_json", "created_at"]
-    rows = table(spark, root, "tb_route_stub_pattern").select("pattern_id", F.struct(*cols).alias("r"))
-    return rows.groupBy("pattern_id").agg(F.max("r").alias("r")).select("pattern_id", "r.*")
+    return once(table(spark, root, "tb_route_stub_pattern"), "pattern_id")
 
 
 def polylines(spark: SparkSession, root: str) -> DataFrame:
     """(guid, pts): stub points as a polyline of two or more points."""
-    s = table(spark, root, "tb_route_stub_pattern").select("pattern_id", "stub_points")
-    once = s.groupBy("pattern_id").agg(F.max("stub_points").alias("t"))
-    lines = once.select(F.col("pattern_id").alias("guid"), parse_points(F.col("t")).alias("pts"))
+    s = once(table(spark, root, "tb_route_stub_pattern").select("pattern_id", "stub_points"), "pattern_id")
+    lines = s.select(F.col("pattern_id").alias("guid"), parse_points(F.col("stub_points")).alias("pts"))
     return lines.where(F.size("pts") >= 2)
 
 
 def groups(spark: SparkSession, root: str) -> DataFrame:
     """One row per pipe group, with its vectors."""
-    t = table(spark, root, "tb_route_utility_group_vector")
-    return t.groupBy("group_vector_id").agg(F.max(F.struct(*[c for c in t.columns if c != "group_vector_id"])).alias("r")).select("group_vector_id", "r.*")
+    return once(table(spark, root, "tb_route_utility_group_vector"), "group_vector_id")
 
 
 def is_vector(v: Column, dim: int) -> Column:
@@ -89,9 +91,7 @@ def is_vector(v: Column, dim: int) -> Column:
 def members(spark: SparkSession, root: str) -> DataFrame:
     """One row per (group, route, order)."""
     t = table(spark, root, "tb_route_utility_group_member").withColumn("guid", norm_guid(F.col("route_path_guid")))
-    rows = t.where("guid is not null")
-    rest = [c for c in rows.columns if c not in ("group_vector_id", "guid", "member_order", "route_path_guid")]
-    return rows.groupBy("group_vector_id", "guid", "member_order").agg(F.max(F.struct(*rest)).alias("r")).select("group_vector_id", "guid", "member_order", "r.*")
+    return once(t.where("guid is not null").drop("route_path_guid"), "group_vector_id", "guid", "member_order")
 
 
 def obstacles(spark: SparkSession, root: str) -> DataFrame:
