@@ -25,14 +25,14 @@ from pipeloom.llm import residue_exemplars as E
 _NAME = r"[A-Za-z가-힣ÄÖÜäöüß](?:[\w가-힣äöüß .\-]{0,40}[\w가-힣äöüß])?"
 #: Spellings of an unfilled slot.
 SLOT = re.compile(
-    "|".join([
+    r"(?=[{\[<«$%@#_○(])(?:" + "|".join([
         r"\{\{\{?[^{}\n]{1,60}\}?\}\}", r"\{%[^{}\n]{1,60}%\}", r"\$\{[^{}\n]{1,60}\}", r"\$\([^()\n]{1,60}\)", r"<%=?[^<>\n]{1,60}%>",
         r"<<[^<>\n]{1,60}>>", r"«[^«»\n]{1,60}»", r"\[\[[^\[\]\n]{1,60}\]\]", r"\[%[^\[\]\n]{1,60}%\]", r"%\([^()\n]{1,60}\)[sd]?",
         r"@@[^@\n]{1,60}@@", rf"##{_NAME}##", rf"(?<![\w#])#{_NAME}#(?![\w#])", rf"__{_NAME}__", rf"(?<!\w)\${_NAME}\$(?!\w)",
         r"(?<!\w)_{4,}(?!\w)", r"○{2,}", r"(?<![\w%])%[sd]\b", r"\{\d{1,2}\}", rf"\{{{_NAME}\}}", r"(?<!\w)%[A-Z][A-Z_]+%",
         r"<(?!/?(?:a|b|i|u|p|br|hr|li|ul|ol|td|tr|th|div|span|table|body|html|head|pre|code|img|em|strong|h[1-6])\b)[A-Za-z가-힣ÄÖÜäöü][^<>\n\d]{0,60}>",
         r"\[(?=[^\[\]\n]*\s)[A-Za-z가-힣ÄÖÜäöü][^\[\]\n\d]{2,60}\]", r"\((?:fill in|insert|enter|to be|add)\b[^()\n]{1,60}\)",
-    ])
+    ]) + ")"
 )
 _SLOT_START = re.compile(r"[{\[<«$%@#_○(]")
 _QUOTED = re.compile(r"\"[^\"\n]{1,300}\"|„[^„“”\n]{1,300}[“”]|“[^“”\n]{1,300}”|「[^」\n]{1,300}」")
@@ -53,6 +53,14 @@ def tokens(text: str) -> list[str]:
     return out
 
 
+def distinct_tokens(text: str) -> set[str]:
+    """The set of ``tokens(text)``, and maybe words with digits."""
+    out = set(_TOKEN.findall(text.lower()))
+    if any(_FILL.match(t) for t in out if t[0] == "x"):
+        out.add("xx")
+    return out
+
+
 def _passages(text: str) -> list[str]:
     return [" ".join(p.split()) for p in text.strip().splitlines() if p.strip()]
 
@@ -91,6 +99,14 @@ class Weights:
                 if lack < 0:
                     break
 
+    def within_reach(self, distinct: set[str]) -> set[int]:
+        """Exemplars that some window of a text with these tokens could hold to the degree ``coverage``."""
+        out = set()
+        for i in {i for t in distinct & self.index.keys() for i in self.index[t]}:
+            if sum(self.idf[t] for t in EXEMPLARS[i][1] if t in distinct) >= self.coverage * self.total[i] - 1e-9:
+                out.add(i)
+        return out
+
     def contained(self, exemplar: int, window: list[str]) -> float:
         """Share of the exemplar's weight that the window holds."""
         want, have = Counter(EXEMPLARS[exemplar][1]), Counter(window)
@@ -105,9 +121,12 @@ def _only_short(words: list[str], short: int) -> bool:
     return reached[-1]
 
 
-def passage_kind(raw: str, w: Weights, *, mention: float, short: int = 3) -> str | None:
-    """Kind of residue in one passage (a sentence without its quoted parts), or None."""
-    if _SLOT_START.search(raw) and SLOT.search(raw):
+def passage_kind(raw: str, w: Weights, *, mention: float, short: int = 3, among: set[int] | None = None, slots: bool = True) -> str | None:
+    """Kind of residue in one passage (a sentence without its quoted parts), or None.
+
+    ``among`` and ``slots`` are what the whole text can hold at all, if that is known.
+    """
+    if slots and _SLOT_START.search(raw) and SLOT.search(raw):
         words = tokens(SLOT.sub(" slot ", raw))
         about = max(w.contained(i, words) for i in MENTIONS)
         return "slot" if about < mention else None
@@ -118,7 +137,7 @@ def passage_kind(raw: str, w: Weights, *, mention: float, short: int = 3) -> str
         nonsense = distinct & NONSENSE
         if len(part) >= 3 and len(nonsense) >= (1 if "xx" in nonsense else 3) and sum(t in nonsense for t in part) >= 0.7 * len(part):
             return "filler"
-        for i in {i for t in distinct & w.index.keys() for i in w.index[t]}:
+        for i in {i for t in distinct & w.index.keys() for i in w.index[t] if among is None or i in among}:
             kind, p = EXEMPLARS[i]
             if len(p) <= short:  # too common to be told inside a longer passage: the whole of it must be such exemplars
                 if len(part) <= 24 and _only_short(part, short):
@@ -135,17 +154,24 @@ def residue_kinds(text: str | None, w: Weights, mention: float = 0.6) -> set[str
     out: set[str] = set()
     if not text:
         return out
+    distinct = distinct_tokens(text)
+    slots = bool(_SLOT_START.search(text) and SLOT.search(text))
+    among = w.within_reach(distinct)
+    if not (slots or among or "xx" in distinct or len(distinct & NONSENSE) >= 3):
+        return out
+    anchors = {t for t in distinct & w.index.keys() if any(i in among for i in w.index[t])}
     for line in text.splitlines():
-        if not line.strip():
-            continue
+        here = set(_TOKEN.findall(line.lower()))
+        if not (here & anchors or len(here & NONSENSE) >= 3 or (slots and _SLOT_START.search(line)) or ("xx" in distinct and any(_FILL.match(t) for t in here))):
+            continue  # nothing in this line can be residue
         bare = _QUOTED.sub(" ¤ ", line)
         sentences = _SENTENCE.split(bare) if len(bare) > 20 else [bare]
         for s in sentences:
-            kind = passage_kind(s, w, mention=mention)
+            kind = passage_kind(s, w, mention=mention, among=among, slots=slots)
             if kind:
                 out.add(kind)
         if not out and len(sentences) > 1 and len(line) < 400:  # messages of more than one sentence
-            kind = passage_kind(bare, w, mention=0.0)
+            kind = passage_kind(bare, w, mention=0.0, among=among, slots=slots)
             if kind and kind != "slot":
                 out.add(kind)
     return out
@@ -157,7 +183,7 @@ def _document_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
         for text in batch.column("_text").to_pylist():
             if text:
                 counts[""] += 1
-                counts.update(VOCABULARY.intersection(tokens(text)))
+                counts.update(VOCABULARY & distinct_tokens(text))
     yield pa.RecordBatch.from_arrays([pa.array(list(counts)), pa.array(list(counts.values()), pa.int64())], ["token", "n"])
 
 
