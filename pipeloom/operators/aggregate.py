@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from pipeloom.operators.order import numbered
+
 
 def majority(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """(keys, value, votes, confidence): the most frequent value; ties: the smaller value."""
@@ -64,13 +66,9 @@ def round_robin(df: DataFrame, outer: str, inner: list[str], order: str, n: int)
 
 
 def evenly(df: DataFrame, order: str, n: int) -> DataFrame:
-    """``n`` rows at the places floor(i * N / n) of the order (all if there are fewer).
-
-    The places come from the number of rows before each value, so only ``n`` rows are ranked at the end.
-    """
+    """``n`` rows at the places floor(i * N / n) of the order (all if there are fewer)."""
     total = df.count()
     if total <= n:
         return df
-    places = [i * total // n for i in range(n)]
-    ranked = df.withColumn("_p", F.row_number().over(W.orderBy(order)) - 1)
-    return ranked.where(F.col("_p").isin(places)).drop("_p")
+    places = [i * total // n + 1 for i in range(n)]
+    return numbered(df, F.col(order), name="_p").where(F.col("_p").isin(places)).drop("_p")

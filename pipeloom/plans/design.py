@@ -11,6 +11,7 @@ from pipeloom.functions import geometry as G
 from pipeloom.functions import vector as V
 from pipeloom.functions.text import norm_text
 from pipeloom.operators import design as O
+from pipeloom.operators.order import numbered
 from pipeloom.operators import spatial as SP
 from pipeloom.plans import polyline as P
 from pipeloom.plans.oracle_views import over
@@ -232,10 +233,8 @@ def _(spark, root):
 @query("t11_rank_policy", "leg", "WITH c AS (SELECT DISTINCT guid, CAST(floor(x / 2000) AS BIGINT) AS cx, CAST(floor(y / 2000) AS BIGINT) AS cy FROM vertex), r AS (SELECT guid, CAST(row_number() OVER (ORDER BY sum(len) DESC, guid) AS INT) AS rank FROM leg GROUP BY guid) SELECT cx, cy, min(rank) AS best_rank, count(*) AS lines FROM c JOIN r ON r.guid = c.guid GROUP BY 1, 2")
 def _(spark, root):
     """Per cell the best rank of the lines that pass it, lines ranked by length."""
-    from pyspark.sql import Window
-
     length = P.exploded(spark, root).groupBy("guid").agg(F.sum("len").alias("l"))
-    rank = length.withColumn("rank", F.row_number().over(Window.orderBy(F.col("l").desc(), "guid")))
+    rank = numbered(length, F.col("l").desc(), F.col("guid"), name="rank").withColumn("rank", F.col("rank").cast("int"))
     c = P.s12(spark, root).select("guid", F.floor(F.col("x") / 2000).alias("cx"), F.floor(F.col("y") / 2000).alias("cy")).distinct()
     return c.join(rank, "guid").groupBy("cx", "cy").agg(F.min("rank").alias("best_rank"), F.count("*").alias("lines"))
 
