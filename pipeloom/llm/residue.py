@@ -25,16 +25,17 @@ from pipeloom.llm import residue_exemplars as E
 _NAME = r"[A-Za-z가-힣ÄÖÜäöüß](?:[\w가-힣äöüß .\-]{0,40}[\w가-힣äöüß])?"
 #: Spellings of an unfilled slot.
 SLOT = re.compile(
-    r"(?=[{\[<«$%@#_○(])(?:" + "|".join([
+    r"(?=[{\[<«$%@#_○(&])(?:" + "|".join([
         r"\{\{\{?[^{}\n]{1,60}\}?\}\}", r"\{%[^{}\n]{1,60}%\}", r"\$\{[^{}\n]{1,60}\}", r"\$\([^()\n]{1,60}\)", r"<%=?[^<>\n]{1,60}%>",
         r"<<[^<>\n]{1,60}>>", r"«[^«»\n]{1,60}»", r"\[\[[^\[\]\n]{1,60}\]\]", r"\[%[^\[\]\n]{1,60}%\]", r"%\([^()\n]{1,60}\)[sd]?",
         r"@@[^@\n]{1,60}@@", rf"##{_NAME}##", rf"(?<![\w#])#{_NAME}#(?![\w#])", rf"__{_NAME}__", rf"(?<!\w)\${_NAME}\$(?!\w)",
         r"(?<!\w)_{4,}(?!\w)", r"○{2,}", r"(?<![\w%])%[sd]\b", r"\{\d{1,2}\}", rf"\{{{_NAME}\}}", r"(?<!\w)%[A-Z][A-Z_]+%",
+        rf"&(?!(?:amp|lt|gt|quot|apos|nbsp|copy|reg|deg|euro|[mn]dash|hellip|[lr][ds]quo|laquo|raquo|times|[aouAOU]uml|szlig|[a-z]+(?:acute|grave|circ|tilde|cedil));){_NAME};",
         r"<(?!/?(?:a|b|i|u|p|br|hr|li|ul|ol|td|tr|th|div|span|table|body|html|head|pre|code|img|em|strong|h[1-6])\b)[A-Za-z가-힣ÄÖÜäöü][^<>\n\d]{0,60}>",
         r"\[(?=[^\[\]\n]*\s)[A-Za-z가-힣ÄÖÜäöü][^\[\]\n\d]{2,60}\]", r"\((?:fill in|insert|enter|to be|add)\b[^()\n]{1,60}\)",
     ]) + ")"
 )
-_SLOT_START = re.compile(r"[{\[<«$%@#_○(]")
+_SLOT_START = re.compile(r"[{\[<«$%@#_○(&]")
 _QUOTED = re.compile(r"\"[^\"\n]{1,300}\"|„[^„“”\n]{1,300}[“”]|“[^“”\n]{1,300}”|「[^」\n]{1,300}」")
 _SENTENCE = re.compile(r"(?<=[.!?。])\s+")
 _TOKEN = re.compile(r"[^\W_]+")

@@ -65,6 +65,8 @@ ihre sitzung ist abgelaufen
 interner serverfehler
 fehler
 beim laden der seite ist ein fehler aufgetreten
+der dienst ist vorübergehend gestört
+versuchen sie es später erneut
 zugriff verweigert
 sie haben keine berechtigung für diesen ordner
 bitte melden sie sich erneut an
