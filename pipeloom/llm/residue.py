@@ -40,6 +40,8 @@ _QUOTED = re.compile(r"\"[^\"\n]{1,300}\"|„[^„“”\n]{1,300}[“”]|“[^
 _SENTENCE = re.compile(r"(?<=[.!?。])\s+")
 _TOKEN = re.compile(r"[^\W_]+")
 _FILL = re.compile(r"^x{2,}$")
+_MADE_UP = re.compile(rf"(?:{'|'.join(E.SYLLABLES)}){{3,}}")
+_SYLLABLES = re.compile(rf"(?:{'|'.join(E.SYLLABLES)})+")
 WINDOW = 4_000  # tokens of a passage that are held against the exemplars at once
 
 
@@ -138,6 +140,8 @@ def passage_kind(raw: str, w: Weights, *, mention: float, short: int = 3, among:
         nonsense = distinct & NONSENSE
         if len(part) >= 3 and len(nonsense) >= (1 if "xx" in nonsense else 3) and sum(t in nonsense for t in part) >= 0.7 * len(part):
             return "filler"
+        if len(part) >= 4 and any(_MADE_UP.fullmatch(t) for t in distinct) and sum(bool(_SYLLABLES.fullmatch(t)) for t in part) >= 0.8 * len(part):
+            return "filler"
         for i in {i for t in distinct & w.index.keys() for i in w.index[t] if among is None or i in among}:
             kind, p = EXEMPLARS[i]
             if len(p) <= short:  # too common to be told inside a longer passage: the whole of it must be such exemplars
@@ -158,12 +162,13 @@ def residue_kinds(text: str | None, w: Weights, mention: float = 0.6) -> set[str
     distinct = distinct_tokens(text)
     slots = bool(_SLOT_START.search(text) and SLOT.search(text))
     among = w.within_reach(distinct)
-    if not (slots or among or "xx" in distinct or len(distinct & NONSENSE) >= 3):
+    made_up = any(_MADE_UP.fullmatch(t) for t in distinct if len(t) > 5)
+    if not (slots or among or made_up or "xx" in distinct or len(distinct & NONSENSE) >= 3):
         return out
     anchors = {t for t in distinct & w.index.keys() if any(i in among for i in w.index[t])}
     for line in text.splitlines():
         here = set(_TOKEN.findall(line.lower()))
-        if not (here & anchors or len(here & NONSENSE) >= 3 or (slots and _SLOT_START.search(line)) or ("xx" in distinct and any(_FILL.match(t) for t in here))):
+        if not (made_up or here & anchors or len(here & NONSENSE) >= 3 or (slots and _SLOT_START.search(line)) or ("xx" in distinct and any(_FILL.match(t) for t in here))):
             continue  # nothing in this line can be residue
         bare = _QUOTED.sub(" ¤ ", line)
         sentences = _SENTENCE.split(bare) if len(bare) > 20 else [bare]

@@ -136,6 +136,9 @@ dolor in reprehenderit in voluptate velit esse cillum dolore eu fugiat nulla par
 non proident sunt in culpa qui officia deserunt mollit anim id est laborum xx
 """
 
+#: Syllables of which made-up filler words are put together.
+SYLLABLES = ("den", "ir", "ost", "pli", "lo", "mi", "qua", "me", "na", "ba", "fu", "tru", "gal", "vex", "zor", "ke")
+
 #: Passages that speak about slots, as text; ``slot`` stands for one.
 MENTIONS = """
 the title block of the exporter uses slot as its slot name it is replaced when the sheet is printed

@@ -257,11 +257,12 @@ RESIDUE = [
     "The branch at {{bay}} is 30 mm long.", "Reviewed by <enter date>, approved.", "See drawing [your name here] for the branch.", "Level: %(rev date)s", "____________",
     "Lorem ipsum dolor sit amet, consectetur adipiscing elit.", "xxxxx xxx xxxx xx", "404 Not Found", "Access denied", "Notes\n\nYour session has expired.",
     "Stub shapes in K02 This application requires JavaScript to run.", "PLEASE ENABLE JAVASCRIPT TO VIEW THE ROUTE SHEET.", "페이지 없음", "Hier steht ein Beispieltext.", "경로 ○○○○ 는 확인되었다.",
+    "Checked by &author; today.", "Lo fuke migalfu me irirme qua bamimiost trugalquame galba mimena.", "Der Dienst ist vorübergehend gestört.",
 ]
 PLAIN = [
     "The title block of the exporter uses {{route_no}} as its slot name; it is replaced when the sheet is printed.", 'Users reported "page not found" when opening sheet RT-1.',
     "The help desk explained the note \"Scripts and cookies must be allowed. Some parts of this page will not work\" to the installers.", "Access was denied to the contractor account at 10:20.",
-    "We removed the lorem ipsum block from the old cover sheet, and the new one only holds the real scope.", "The branch at [C-25] is 30 mm long.", "", None, "   ", "a < b and c > d, 5 % of {R,H,D}",
+    "We removed the lorem ipsum block from the old cover sheet, and the new one only holds the real scope.", "The branch at [C-25] is 30 mm long.", "", None, "   ", "a < b and c > d, 5 % of {R,H,D} &amp; more;", "Den Namen der Leitung ost und den Ort me.",
     "2025-01-01T00:00:00 ERROR route RT-1: no path within 100 nodes, kept the previous one",
 ]
 
