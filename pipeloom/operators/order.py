@@ -16,7 +16,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pipeloom.session import cut_lineage, shuffle_width
+from pipeloom.session import cut_lineage, fresh, shuffle_width
 
 
 def _local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -28,10 +28,12 @@ def _local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def numbered(df: DataFrame, *order: Column, name: str = "number", partitions: int | None = None) -> DataFrame:
-    """``df`` with ``name``: its place from 1 in the given order, which should be total."""
+    """``df`` with ``name``: its place from 1 in the given order, which should be total; a column of that name is replaced."""
     ranged = df.repartitionByRange(partitions or shuffle_width(df.sparkSession), *order).sortWithinPartitions(*order)
-    schema = T.StructType([*df.schema.fields, T.StructField("_part", T.IntegerType()), T.StructField("_local", T.LongType())])
+    part, place, other, earlier = fresh(df, "_part", "_local", "_p", "_before")
+    schema = T.StructType([*df.schema.fields, T.StructField(part, T.IntegerType()), T.StructField(place, T.LongType())])
     local = cut_lineage(ranged.mapInArrow(_local, schema))
-    before = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)  # a row per partition
-    counts = local.groupBy("_part").agg(F.count("*").alias("_n")).select(F.col("_part").alias("_p"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    return local.join(F.broadcast(counts), F.col("_part") == F.col("_p")).select(*df.columns, (F.col("_before") + F.col("_local") + 1).alias(name))
+    before = W.orderBy(part).rowsBetween(W.unboundedPreceding, -1)  # a row per partition
+    counts = local.groupBy(part).agg(F.count("*").alias("n")).select(F.col(part).alias(other), F.coalesce(F.sum("n").over(before), F.lit(0)).alias(earlier))
+    kept = [c for c in df.columns if c.lower() != name.lower()]
+    return local.join(F.broadcast(counts), F.col(part) == F.col(other)).select(*kept, (F.col(earlier) + F.col(place) + 1).alias(name))

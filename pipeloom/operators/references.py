@@ -54,13 +54,13 @@ def orphan_references(
     * A parent without ``valid_from`` proves that the key exists but is never valid; one whose end
       is not after its start is never valid either.
     * Ties: a parent that begins at t is valid at t, one that ends at t is not.
-    * Repeated rows and empty tables need no care; columns of ``refs`` may have any names but those
-      that begin with an underscore or are named above.
+    * Repeated rows are judged each, empty tables give no rows; columns of ``refs`` may have any
+      names, those of the three added ones are replaced.
 
     Keys holding more than ``hot_share`` of the references are spread over ``salts`` tasks; the
     (pre-aggregated) parent rows of just those keys are repeated for each.
     """
-    kept = [c for c in refs.columns]
+    kept = [c for c in refs.columns if c.lower() not in ("ref_guid", "ref_time", "orphan_kind")]
     r = refs.select(F.struct(*kept).alias("_row"), ref_key.alias("_key"), ref_time.alias("_t")).where("_key is not null")
     hot = hot_keys(r, "_key", hot_share)
     is_hot = F.col("_key").isin(hot) if hot else F.lit(False)

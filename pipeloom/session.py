@@ -42,3 +42,15 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 def shuffle_width(spark: SparkSession) -> int:
     """Number of partitions for an explicit repartitioning."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with underscores before it until no column of ``df`` is called like that."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for n in names:
+        while n.lower() in taken:
+            n = "_" + n
+        taken.add(n.lower())
+        out.append(n)
+    return out

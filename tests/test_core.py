@@ -92,6 +92,14 @@ def test_references_to_empty_tables(spark):
     assert R.orphan_references(some, none, **how).first()["orphan_kind"] == "missing"
 
 
+def test_references_with_clashing_columns(spark):
+    refs = spark.createDataFrame([("q", datetime(2024, 1, 1), "x", 1, 2)], "k string, a timestamp, orphan_kind string, _row int, _key int")
+    parents = spark.createDataFrame([], "k string, a timestamp, b timestamp")
+    how = dict(ref_key=F.col("k"), ref_time=F.col("a"), parent_key=F.col("k"), valid_from=F.col("a"), valid_to=F.col("b"))
+    r = R.orphan_references(refs, parents, **how).first()
+    assert (r["orphan_kind"], r["_row"], r["_key"], r["ref_guid"]) == ("missing", 1, 2, "q")
+
+
 # ---- geometry
 
 

@@ -40,7 +40,7 @@ def test_stream_equals_batch(spark, tmp_path, what):
 
 
 def test_numbers_follow_the_order(spark):
-    df = spark.range(1000).select(F.xxhash64("id").alias("h"), "id")
+    df = spark.range(1000).select(F.xxhash64("id").alias("h"), "id", F.lit(0).alias("_part"), F.lit(1).alias("NUMBER"))
     got = numbered(df, F.col("h").desc(), F.col("id"), partitions=5).collect()
     want = sorted(got, key=lambda r: (-r.h, r.id))
     assert [r.number for r in want] == list(range(1, 1001))
