@@ -18,10 +18,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pipeloom.llm.topn import _differs
-from pipeloom.session import cut_lineage, shuffle_width
+from pipeloom.session import cut_lineage, fresh, shuffle_width
 
 
-def _local_sums(groups: list[str], value: str):
+def _local_sums(groups: list[str], value: str, added: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: tuple | None = None
         total = 0
@@ -44,7 +44,7 @@ def _local_sums(groups: list[str], value: str):
             last = tuple(batch.column(g)[-1].as_py() for g in groups)
             total = int(before[-1] + v[-1])
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(np.full(n, part, dtype=np.int32)), pa.array(before)], names=[*batch.schema.names, "_part", "_before"]
+                [*batch.columns, pa.array(np.full(n, part, dtype=np.int32)), pa.array(before)], names=[*batch.schema.names, *added]
             )
 
     return run
@@ -54,19 +54,22 @@ def prefix_sums(df: DataFrame, groups: list[str], order: list[str], value: str,
     """``df`` with ``name``: the sum of ``value`` (whole numbers, no NULL) over the group's earlier rows.
 
     ``order`` must tell the rows of a group apart; rows alike in it get their sums in either order.
-    NULL group values form a group.  Groups may be of any size; their number must be small enough
+    NULL group values form a group; a column named ``name`` is replaced.  Groups may be of any size; their number must be small enough
     that one row per group and partition can be broadcast.
     """
     parts = shuffle_width(df.sparkSession)
     keys = [F.col(c).asc_nulls_first() for c in [*groups, *order]]
     ranged = df.repartitionByRange(parts, *keys).sortWithinPartitions(*keys)
-    schema = T.StructType([*df.schema.fields, T.StructField("_part", T.IntegerType()), T.StructField("_before", T.LongType())])
-    local = cut_lineage(ranged.mapInArrow(_local_sums(groups, value), schema))
-    sums = local.groupBy(*groups, "_part").agg(F.sum(value).alias("_sum"))
-    earlier = W.partitionBy(*groups).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    part, before, other, offset = fresh(df, "_part", "_before", "_p", "_offset")
+    keyed = fresh(df, *[f"_g_{g}" for g in groups])
+    schema = T.StructType([*df.schema.fields, T.StructField(part, T.IntegerType()), T.StructField(before, T.LongType())])
+    local = cut_lineage(ranged.mapInArrow(_local_sums(groups, value, [part, before]), schema))
+    sums = local.groupBy(*groups, part).agg(F.sum(value).alias("sum_of_part"))
+    earlier = W.partitionBy(*groups).orderBy(part).rowsBetween(W.unboundedPreceding, -1)
     # at most one row per group and one more per partition: a group's partitions are neighbours
-    offsets = sums.select(*[F.col(g).alias(f"_g_{g}") for g in groups], F.col("_part").alias("_p"), F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_offset"))
-    same = F.col("_part") == F.col("_p")
-    for g in groups:
-        same = same & F.col(g).eqNullSafe(F.col(f"_g_{g}"))
-    return local.join(F.broadcast(offsets), same).select(*df.columns, (F.col("_before") + F.col("_offset")).alias(name))
+    offsets = sums.select(*[F.col(g).alias(k) for g, k in zip(groups, keyed)], F.col(part).alias(other), F.coalesce(F.sum("sum_of_part").over(earlier), F.lit(0)).alias(offset))
+    same = F.col(part) == F.col(other)
+    for g, k in zip(groups, keyed):
+        same = same & F.col(g).eqNullSafe(F.col(k))
+    kept = [c for c in df.columns if c.lower() != name.lower()]
+    return local.join(F.broadcast(offsets), same).select(*kept, (F.col(before) + F.col(offset)).alias(name))

@@ -19,7 +19,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pipeloom.session import shuffle_width
+from pipeloom.session import fresh, shuffle_width
 
 
 def _differs(column: pa.Array) -> np.ndarray:
@@ -29,7 +29,7 @@ def _differs(column: pa.Array) -> np.ndarray:
     return unequal | (a.is_null().to_numpy(zero_copy_only=False) ^ b.is_null().to_numpy(zero_copy_only=False))
 
 
-def _local_positions(groups: list[str], n: int):
+def _local_positions(groups: list[str], n: int, added: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: tuple | None = None
         seen = 0
@@ -70,18 +70,19 @@ def top_n_per_group(
     * NULL group values form a group of their own; NULL scores come last, NaN counts as the largest.
     * Ties in the score are settled by ``ident``; rows alike in both are kept as separate rows, in
       either order.
-    * An empty table gives no rows, ``n`` below 1 too; columns may have any names that do not begin
-      with an underscore.
+    * An empty table gives no rows, ``n`` below 1 too; columns may have any names, one named like
+      ``position`` is replaced.
     """
     parts = partitions or shuffle_width(df.sparkSession)
     order = [F.col(g).asc_nulls_first() for g in groups] + [F.col(score).desc_nulls_last(), F.col(ident).asc_nulls_first()]
     ranged = df.repartitionByRange(parts, *order).sortWithinPartitions(*order)
-    schema = T.StructType([*df.schema.fields, T.StructField("_part", T.IntegerType()), T.StructField("_local", T.LongType())])
-    kept = ranged.mapInArrow(_local_positions(groups, n), schema)
+    part, local = fresh(df, "_part", "_local")
+    schema = T.StructType([*df.schema.fields, T.StructField(part, T.IntegerType()), T.StructField(local, T.LongType())])
+    kept = ranged.mapInArrow(_local_positions(groups, n, [part, local]), schema)
     # a partition that holds n or more rows of a group has kept n of them, so counts of kept rows decide alike
-    before = W.partitionBy(*groups).orderBy("_part").rangeBetween(W.unboundedPreceding, -1)
-    place = F.col("_local") + F.count("*").over(before)
-    return kept.withColumn(position, place.cast("int")).where(F.col(position) <= n).drop("_part", "_local")
+    before = W.partitionBy(*groups).orderBy(part).rangeBetween(W.unboundedPreceding, -1)
+    place = F.col(local) + F.count("*").over(before)
+    return kept.withColumn(position, place.cast("int")).where(F.col(position) <= n).drop(part, local)
 
 
 def latest_version(df: DataFrame, ident: str, version: str) -> DataFrame:

@@ -71,7 +71,7 @@ def test_gap_limit_keeps_runs_apart():
 def test_top_n_is_exact_on_hot_groups(spark, n):
     rng = random.Random(n)
     data = [("hot" if rng.random() < 0.5 else rng.choice(["a", "b", None]), rng.choice([0.1, 0.2, 0.3, None]), f"i{rng.randrange(900)}", k) for k in range(2000)]
-    df = spark.createDataFrame(data, "g string, s double, id string, position0 int")
+    df = spark.createDataFrame(data, "g string, s double, id string, _local int")
     got = topn.top_n_per_group(df, ["g"], "s", "id", n, partitions=7)
     groups = defaultdict(list)
     for g, s, i, _ in data:
@@ -184,7 +184,7 @@ def test_collapsing_of_directions():
 def test_prefix_sums_are_exact(spark):
     rng = random.Random(4)
     data = [("hot" if k % 3 else None, k, rng.randrange(1000)) for k in range(500)]
-    got = prefix.prefix_sums(spark.createDataFrame(data, "g string, k int, v bigint"), ["g"], ["k"], "v")
+    got = prefix.prefix_sums(spark.createDataFrame([(*r, 0, 0) for r in data], "g string, k int, v bigint, _part int, before int"), ["g"], ["k"], "v")
     total, want = Counter(), set()
     for g, k, v in data:
         want.add((k, total[g]))
