@@ -19,12 +19,15 @@ from pyspark.sql import types as T
 from pipeloom.session import cut_lineage, fresh, shuffle_width
 
 
-def _local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    part, seen = TaskContext.get().partitionId(), 0
-    for b in batches:
-        n = b.num_rows
-        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.full(n, part, dtype=np.int32)), pa.array(np.arange(seen, seen + n, dtype=np.int64))], names=[*b.schema.names, "_part", "_local"])
-        seen += n
+def _local(added: list[str]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, seen = TaskContext.get().partitionId(), 0
+        for b in batches:
+            n = b.num_rows
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.full(n, part, dtype=np.int32)), pa.array(np.arange(seen, seen + n, dtype=np.int64))], names=[*b.schema.names, *added])
+            seen += n
+
+    return run
 
 
 def numbered(df: DataFrame, *order: Column, name: str = "number", partitions: int | None = None) -> DataFrame:
@@ -32,7 +35,7 @@ def numbered(df: DataFrame, *order: Column, name: str = "number", partitions: in
     ranged = df.repartitionByRange(partitions or shuffle_width(df.sparkSession), *order).sortWithinPartitions(*order)
     part, place, other, earlier = fresh(df, "_part", "_local", "_p", "_before")
     schema = T.StructType([*df.schema.fields, T.StructField(part, T.IntegerType()), T.StructField(place, T.LongType())])
-    local = cut_lineage(ranged.mapInArrow(_local, schema))
+    local = cut_lineage(ranged.mapInArrow(_local([part, place]), schema))
     before = W.orderBy(part).rowsBetween(W.unboundedPreceding, -1)  # a row per partition
     counts = local.groupBy(part).agg(F.count("*").alias("n")).select(F.col(part).alias(other), F.coalesce(F.sum("n").over(before), F.lit(0)).alias(earlier))
     kept = [c for c in df.columns if c.lower() != name.lower()]
