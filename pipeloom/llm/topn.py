@@ -54,7 +54,7 @@ def _local_positions(groups: list[str], n: int, added: list[str]):
                 out = batch.take(pa.array(keep))
                 yield pa.RecordBatch.from_arrays(
                     [*out.columns, pa.array(np.full(len(keep), part, dtype=np.int32)), pa.array(local[keep].astype(np.int64))],
-                    names=[*out.schema.names, "_part", "_local"],
+                    names=[*out.schema.names, *added],
                 )
 
     return run
