@@ -192,9 +192,9 @@ def r16(spark, root):
     v = (F.col("maxx") - F.col("minx")) * (F.col("maxy") - F.col("miny")) * (F.col("maxz") - F.col("minz"))
     q = o.select("id", v.alias("v"), ((F.col("minx") + F.col("maxx")) / 2).alias("x"), ((F.col("miny") + F.col("maxy")) / 2).alias("y")).where("v >= 1e7")
     out = None
-    asked = [r.asDict() for r in q.where("id % 100 = 0").orderBy("id").limit(10_001).collect()]
-    for at in range(0, len(asked), 500):  # the stated queries, in blocks
-        block = F.array(*[F.struct(*[F.lit(r[c]).alias(c) for c in ("id", "v", "x", "y")]) for r in asked[at : at + 500]])
+    asked = q.where("id % 100 = 0").orderBy("id")
+    for at in range(0, asked.count(), 500):  # the stated queries, in blocks
+        block = F.array(*[F.struct(*[F.lit(r[c]).alias(c) for c in ("id", "v", "x", "y")]) for r in asked.offset(at).limit(500).collect()])
         score = lambda a: 0.5 * F.least(a["v"], F.col("v")) / F.greatest(a["v"], F.col("v")) + 0.5 * F.greatest(F.lit(0.0), 1 - F.hypot(a["x"] - F.col("x"), a["y"] - F.col("y")) / 30_000)
         each = q.select(F.col("id").alias("other"), F.inline(F.transform(block, lambda a: F.struct(a["id"].alias("id"), score(a).alias("s"))))).where("id <> other")
         one = each.groupBy("id").agg(F.round(F.max("s"), 6).alias("best"))

@@ -104,7 +104,7 @@ def r06(spark, root):
     first = c.agg(F.min("group_vector_id")).first()[0]
     q = c.where(F.col("group_vector_id") == first)
     qs = q.select(*[F.col(x).alias("q_" + x) for x in ("id", "utility", "pipe_size", "pattern", "feature", "context", *[f"{e}_{a}" for e in ("start", "end") for a in "xyz"])])
-    pairs = c.join(F.broadcast(qs.limit(1000)), F.col("utility") == F.col("q_utility"))  # members of one group
+    pairs = c.join(qs, F.col("utility") == F.col("q_utility"))
     size = S.size_score(F.col("q_pipe_size"), F.col("pipe_size"))[1]
     move = lambda p: [F.col(f"{p}end_{a}") - F.col(f"{p}start_{a}") for a in "xyz"]
     context = F.when(F.col("context").isNotNull() & F.col("q_context").isNotNull(), V.cosine(F.col("context"), F.col("q_context")))

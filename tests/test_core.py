@@ -293,3 +293,26 @@ def test_path_tidying():
     assert [p[0][1] for p in RT.offset_paths([(0, 0, 0), (1000, 0, 0)], 3, 100.0)] == [-100.0, 0.0, 100.0]
     arc = RT.rounded([(0, 0, 0), (1000, 0, 0), (1000, 1000, 0)], 200.0)
     assert len(arc) == 11 and RT.length(arc) < 2000
+
+
+def test_turned_boxes():
+    box, r = (0.0, 0.0, 0.0, 10.0, 10.0, 10.0), math.sqrt(0.5)
+    turned = [(r, r, 0.0), (-r, r, 0.0), (0.0, 0.0, 1.0)]
+    assert RT.turned_box_hits(box, (16.0, 5.0, 5.0), (5.0, 5.0, 1.0), turned)  # its corner reaches 7.07
+    assert not RT.turned_box_hits(box, (16.0, 5.0, 5.0), (5.0, 5.0, 1.0), [(1, 0, 0), (0, 1, 0), (0, 0, 1)])
+    assert not RT.turned_box_hits(box, (18.0, 5.0, 5.0), (5.0, 5.0, 1.0), turned)
+    assert not RT.turned_box_hits(box, (15.0, 15.0, 5.0), (5.0, 5.0, 1.0), turned)
+    assert RT.turned_box_hits(box, (5.0, 5.0, 5.0), (1.0, 1.0, 1.0), turned)
+
+
+def test_connectors(spark, tmp_path):
+    from pipeloom.sources import connectors as C
+
+    df = spark.createDataFrame([("1", "2.5", "x"), ("a", "", None)], "i string, d string, t string")
+    for fmt in ("csv", "json", "orc", "parquet"):
+        df.write.format(fmt).save(str(tmp_path / fmt))
+        assert C.read(spark, str(tmp_path / fmt), fmt, "i string, d string, t string").count() == 2
+    typed = C.typed(df, {"i": "INTEGER", "d": "REAL"})
+    assert typed.dtypes == [("i", "bigint"), ("d", "double"), ("t", "string")]
+    assert sorted(map(tuple, typed.collect()), key=repr) == [(1, 2.5, "x"), (None, None, None)]
+    assert [C.spark_type(t) for t in ("VARCHAR(20)", "bigint", None, "NUMERIC(3,2)", "blob")] == ["string", "bigint", "string", "decimal(38,9)", "binary"]
