@@ -220,7 +220,7 @@ def k_nearest(
     trees: dict[str, Projection] = {}
     for field, n in counts.items():
         keep = min(1.0, 1.2 * sample_rows / n)
-        part = once.where((F.col("field") == field) & (F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(keep * 1_000_000))).select("vec").limit(sample_rows)
+        part = once.where((F.col("field") == field) & (F.pmod(F.xxhash64("id"), F.lit(1 << 40)) < int(keep * (1 << 40)))).select("vec").limit(sample_rows)
         trees[field] = Projection(_matrix(part.toPandas()["vec"]), n, m, cell_rows, max_cells, seed)
     none = spark.createDataFrame([], "field string, id string, other string, similarity double, position int")
     if not trees:
