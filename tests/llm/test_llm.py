@@ -87,6 +87,15 @@ def test_latest_version_wins(spark):
     assert _rows(topn.latest_version(df, "id", "v"), "id", "x") == [("a", "y"), ("b", "q")]
 
 
+def test_nulls_and_clashing_names(spark):
+    df = spark.createDataFrame([(None, 0.5, None, 1), ("a", None, "x", 2), ("a", float("nan"), "y", 3), ("a", 0.5, None, 4)], "g string, s double, id string, Position int")
+    got = topn.top_n_per_group(df, ["g"], "s", "id", 2)
+    assert sorted((r.g or "", r.id or "", r.position) for r in got.collect()) == [("", "", 1), ("a", "", 2), ("a", "y", 1)]  # NaN counts as the largest
+    stub = spark.createDataFrame([(None, "+x,+x", None, 1), (None, "+x,+x", None, 1), ("b", None, "[[0,0,0],[5,0,0]]", 2)], "pattern_id string, dir_seq string, stub_points string, run_no int")
+    out = runs.collapse_runs(stub, "pattern_id", "dir_seq", "stub_points")
+    assert sorted((r.pattern_id or "", r.seq_field, r.n_events) for r in out.collect()) == [("", "dir_seq", 2), ("b", "stub_points", 1)]
+
+
 # ---- problem 3
 
 
