@@ -185,12 +185,12 @@ def g18(spark, root):
     return g.where("n_lines >= 2 and extent >= 500")
 
 
-@query("r16_box_match", "obstacle", "WITH q AS (SELECT id, (maxx - minx) * (maxy - miny) * (maxz - minz) AS v, (minx + maxx) / 2 AS x, (miny + maxy) / 2 AS y FROM obstacle WHERE (maxx - minx) * (maxy - miny) * (maxz - minz) >= 1e7), a AS (SELECT * FROM q WHERE id % 100 = 0), s AS (SELECT a.id, max(0.5 * least(a.v, b.v) / greatest(a.v, b.v) + 0.5 * greatest(0, 1 - sqrt(power(a.x - b.x, 2) + power(a.y - b.y, 2)) / 30000)) AS best FROM a JOIN q b ON a.id <> b.id GROUP BY a.id) SELECT id, round(best, 6) AS best FROM s")
+@query("r16_box_match", "obstacle", "WITH q AS (SELECT id, (maxx - minx) * (maxy - miny) * (maxz - minz) AS v, (minx + maxx) / 2 AS x, (miny + maxy) / 2 AS y FROM obstacle WHERE (maxx - minx) * (maxy - miny) * (maxz - minz) >= 1e7), a AS (SELECT * FROM q WHERE id % 100 = 0), s AS (SELECT a.id, max(0.5 * least(a.v, b.v) / greatest(a.v, b.v) + 0.5 * greatest(0, 1 - sqrt(power(a.x - b.x, 2) + power(a.y - b.y, 2)) / 30000)) AS best FROM a JOIN q b ON a.id <> b.id GROUP BY a.id) SELECT CAST(id AS BIGINT) AS id, round(best, 6) AS best FROM s")
 def r16(spark, root):
     """Boxes whose identifier is divisible by 100 against all: the best of half volume ratio and half nearness (30 m)."""
     o = A.obstacles(spark, root)
     v = (F.col("maxx") - F.col("minx")) * (F.col("maxy") - F.col("miny")) * (F.col("maxz") - F.col("minz"))
-    q = o.select("id", v.alias("v"), ((F.col("minx") + F.col("maxx")) / 2).alias("x"), ((F.col("miny") + F.col("maxy")) / 2).alias("y")).where("v >= 1e7")
+    q = o.select(F.col("id").cast("bigint").alias("id"), v.alias("v"), ((F.col("minx") + F.col("maxx")) / 2).alias("x"), ((F.col("miny") + F.col("maxy")) / 2).alias("y")).where("v >= 1e7")
     out = None
     asked = q.where("id % 100 = 0").orderBy("id")
     for at in range(0, asked.count(), 500):  # the stated queries, in blocks

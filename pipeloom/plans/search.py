@@ -223,7 +223,7 @@ SQL = {
   l AS (SELECT *, """ + _STEP.format("ma") + " AS sa, " + _STEP.format("mb") + """ AS sb FROM p),
   z AS (SELECT *, CASE WHEN na = nb THEN 1.0 WHEN sa IS NULL OR sb IS NULL THEN 0.0 WHEN sa = sb THEN 1.0 WHEN abs(sa - sb) = 1 THEN 0.8 WHEN abs(sa - sb) = 2 THEN 0.5 ELSE 0.0 END AS size FROM l),
   k AS (SELECT *, q_context IS NOT NULL AS hc FROM (SELECT z.*, cs AS q_context FROM z))
-  SELECT query_member, candidate_member, round(size, 3) AS size_score, round((0.25 * coalesce(ps, 0) + coalesce(0.25 * ts, 0) + 0.25 * fs + CASE WHEN cx THEN 0.25 * cs ELSE 0 END) / (CASE WHEN ps IS NULL THEN 0 ELSE 0.25 END + CASE WHEN ts IS NULL THEN 0 ELSE 0.25 END + 0.25 + CASE WHEN cx THEN 0.25 ELSE 0 END) * size, 6) AS score
+  SELECT query_member, candidate_member, CAST(round(size, 3) AS DOUBLE) AS size_score, round((0.25 * coalesce(ps, 0) + coalesce(0.25 * ts, 0) + 0.25 * fs + CASE WHEN cx THEN 0.25 * cs ELSE 0 END) / (CASE WHEN ps IS NULL THEN 0 ELSE 0.25 END + CASE WHEN ts IS NULL THEN 0 ELSE 0.25 END + 0.25 + CASE WHEN cx THEN 0.25 ELSE 0 END) * size, 6) AS score
   FROM (SELECT k.*, c1.context IS NOT NULL AND c2.context IS NOT NULL AS cx FROM k JOIN c c1 ON c1.id = query_member JOIN c c2 ON c2.id = candidate_member)"""),
     "r13_bundle_score": over("gvec", _FIRST + "SELECT g.group_vector_id, round(1 / (1 + list_distance(g.feature_centroid, q.feature_centroid)) / (1 + 0.15 * abs(g.member_count - q.member_count)), 6) AS score FROM gvec g, q"),
     "r14_stub_score": over("stub", _STUBV + ", sx AS (SELECT * FROM sw WHERE len(ud) = 3), q AS (SELECT * FROM sx ORDER BY pattern_id LIMIT 1) SELECT s.pattern_id, round(0.7 / (1 + list_distance(s.vec, q.vec)) + 0.3 * greatest(-1, least(1, list_cosine_similarity(s.ud, q.ud))), 6) AS score FROM sx s, q"),

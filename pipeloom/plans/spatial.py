@@ -163,7 +163,7 @@ SQL["g17_plan_clusters"] = SQL["g17_plan_clusters"].replace("WITH ", "WITH RECUR
 @query("g26_endpoint_vectors", "route obstacle", f"""WITH d AS (SELECT r.guid AS id, o.*, {_SRC} AS d, least(greatest(source_posx, minx), maxx) - source_posx AS tx, least(greatest(source_posy, miny), maxy) - source_posy AS ty FROM route r JOIN obstacle o ON {_SRC} <= 1000 + 1e-9),
   k AS (SELECT *, row_number() OVER (PARTITION BY id, kind ORDER BY d, minx, miny, minz, maxx, maxy, maxz, id_1) AS n FROM d), a AS (SELECT id, count(*) FILTER (kind = 'COLUMN' AND d <= 500 + 1e-9) AS cn, count(*) FILTER (kind = 'COLUMN' AND d > 500 + 1e-9) AS cm, count(*) FILTER (kind = 'BEAM' AND d <= 500 + 1e-9) AS bn,
   max(d) FILTER (kind = 'COLUMN' AND n = 1) AS cd, max(d) FILTER (kind = 'BEAM' AND n = 1) AS bd, max(tx) FILTER (kind = 'COLUMN' AND n = 1) AS ctx FROM k GROUP BY id)
-  SELECT r.guid AS id, round(least(1, coalesce(cn, 0) / 8.0), 6) AS v0, round(least(1, coalesce(cm, 0) / 8.0), 6) AS v1, round(CASE WHEN cd > 1e-9 THEN ctx / cd ELSE 0 END, 6) AS v2, round(coalesce(cd / 1000, 0), 6) AS v5, round(least(1, coalesce(bn, 0) / 5.0), 6) AS v6, round(coalesce(bd / 1000, 0), 6) AS v11, CASE WHEN cd IS NULL AND bd IS NULL THEN 1.0 ELSE 0.0 END AS v12
+  SELECT r.guid AS id, round(least(1, coalesce(cn, 0) / 8.0), 6) AS v0, round(least(1, coalesce(cm, 0) / 8.0), 6) AS v1, round(CASE WHEN cd > 1e-9 THEN ctx / cd ELSE 0 END, 6) AS v2, round(coalesce(cd / 1000, 0), 6) AS v5, round(least(1, coalesce(bn, 0) / 5.0), 6) AS v6, round(coalesce(bd / 1000, 0), 6) AS v11, CASE WHEN cd IS NULL AND bd IS NULL THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS v12
   FROM route r LEFT JOIN a ON a.id = r.guid WHERE source_posx IS NOT NULL AND source_posy IS NOT NULL AND source_posz IS NOT NULL""".replace("SELECT r.guid AS id, o.*,", "SELECT r.guid AS id, o.id AS id_1, o.kind, o.minx, o.miny, o.minz, o.maxx, o.maxy, o.maxz,"))
 def g26(spark, root):
     v = O.endpoint_vectors(_ends(spark, root), A.obstacles(spark, root))
