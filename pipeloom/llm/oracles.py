@@ -77,5 +77,5 @@ SQL = {
     "p4_found": _SEQUENCES + "SELECT seq_field, step_pattern FROM r",
     "p4_patterns": _SEQUENCES + "SELECT seq_field, step_pattern, support, share FROM r",
     "p2_found": _BENDS + "SELECT equipment_key, utility, pattern_id FROM r WHERE position <= 5",
-    "p2_top20": _BENDS + "SELECT pattern_id, frequency_score, utility, equipment_key, position FROM r WHERE position <= 20",
+    "p2_top20": _BENDS + "SELECT pattern_id, frequency_score, utility, equipment_key, CAST(position AS INT) AS position FROM r WHERE position <= 20",
 }
