@@ -53,7 +53,7 @@ def g05(spark, root):
 
 def g06(spark, root):
     r = G.runs(F.col("legs"))
-    d = lines(spark, root).withColumn("r", r)
+    d = lines(spark, root).select("guid", F.explode(F.array(r)).alias("r"))
     return d.select("guid", F.size("r").alias("n_runs"), G.ortho_bends(F.col("r")).alias("bends"), G.vertical_entries(F.col("r")).alias("vertical_entries"), G.vertical_switches(F.col("r")).alias("vertical_switches"))
 
 

@@ -26,19 +26,19 @@ def point(x: Column, y: Column, z: Column) -> Column:
     return F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"), z.cast("double").alias("z"))
 
 
-def parse_point(text: Column) -> Column:
-    """A point from its JSON text: list, object with any-case keys, quoted numbers, or separated text."""
-    numbers = F.transform(F.regexp_extract_all(text, F.lit(_NUMBER), F.lit(1)), lambda n: n.cast("double"))
-    key = lambda k: F.regexp_extract(text, rf'(?i)"{k}"\s*:\s*"?{_NUMBER}', 1).try_cast("double")
-    return F.when(F.ltrim(text).startswith("{"), point(key("x"), key("y"), key("z"))).when(
-        F.size(numbers) == 3, point(numbers[0], numbers[1], numbers[2])
-    )
+def _raw_points(text: Column) -> Column:
+    """Points of a JSON list, NULL where an entry is none: list, object with any-case keys, quoted numbers, or separated text."""
+    numbers = lambda t: F.transform(F.regexp_extract_all(t, F.lit(_NUMBER), F.lit(1)), lambda n: n.cast("double"))
+    key = lambda t, k: F.regexp_extract(t, rf'(?i)"{k}"\s*:\s*"?{_NUMBER}', 1).try_cast("double")
+    keyed = lambda t: F.array(*[key(t, k) for k in "xyz"])
+    # the numbers of an entry are taken out once, then looked at
+    values = F.transform(F.from_json(text, "array<string>"), lambda t: F.when(F.ltrim(t).startswith("{"), keyed(t)).otherwise(numbers(t)))
+    return F.transform(values, lambda v: F.when(F.size(v) == 3, point(v[0], v[1], v[2])))
 
 
 def parse_points(text: Column) -> Column:
     """Points of a JSON list; NULL if it is no valid list or holds something that is no point."""
-    parts = F.from_json(text, "array<string>")
-    points = F.transform(parts, parse_point)
+    points = _raw_points(text)
     return F.when(~F.exists(points, lambda p: p.isNull() | p["x"].isNull() | p["y"].isNull() | p["z"].isNull()), points)
 
 
@@ -74,8 +74,9 @@ def stubs(spark: SparkSession, root: str) -> DataFrame:
 def polylines(spark: SparkSession, root: str) -> DataFrame:
     """(guid, pts): stub points as a polyline of two or more points."""
     s = once(table(spark, root, "tb_route_stub_pattern").select("pattern_id", "stub_points"), "pattern_id")
-    lines = s.select(F.col("pattern_id").alias("guid"), parse_points(F.col("stub_points")).alias("pts"))
-    return lines.where(F.size("pts") >= 2)
+    # the one-row generator keeps the parsing from being copied into the filter and every later expression
+    lines = s.select(F.col("pattern_id").alias("guid"), F.explode(F.array(_raw_points(F.col("stub_points")))).alias("pts"))
+    return lines.where((F.size("pts") >= 2) & ~F.exists("pts", lambda p: p.isNull() | p["x"].isNull() | p["y"].isNull() | p["z"].isNull()))
 
 
 def groups(spark: SparkSession, root: str) -> DataFrame:
