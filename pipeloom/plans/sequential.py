@@ -291,7 +291,7 @@ def x06(spark, root):
 def x07(spark, root):
     def f(row):
         a, b, boxes = _task(row)
-        code, path, _ = R.line_route(a, b, boxes, lines=24, max_nodes=4_000)
+        code, path, _ = R.line_route(a, b, boxes, lines=None)
         return _result(row, code, R.pulled(path, boxes, 100.0) if path else path, boxes)
 
     return O.map_rows(tasks(spark, root), f, _OUT)
@@ -319,7 +319,7 @@ def v05(spark, root):
         for t in row["ts"]:
             a, b, boxes = _task(t)
             other = [x for u_, x in laid if u_ != t["utility"] and not R.inside(a, x) and not R.inside(b, x)]
-            code, path, _ = R.line_route(a, b, [*boxes, *other], lines=24, max_nodes=2_000)
+            code, path, _ = R.line_route(a, b, [*boxes, *other], lines=None)
             laid += [(t["utility"], (*[min(p[i], q[i]) - 50 for i in range(3)], *[max(p[i], q[i]) + 50 for i in range(3)])) for p, q in zip(path, path[1:])]
             out += _result(t, code, path, boxes)
         return out

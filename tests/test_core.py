@@ -284,6 +284,39 @@ def test_voxel_search_is_shortest_without_turn_costs():
             assert code == "OK" and RT.length(path) == pytest.approx(seen[(4, 4)] * 500)
 
 
+def test_line_search_uses_every_line(spark, monkeypatch):
+    """A wall whose ends are farther than 22 other sides: the way round it is on a line that a cut search leaves out."""
+    from pipeloom.plans import sequential as PS
+
+    wall = (900.0, -6000.0, -6000.0, 1100.0, 6000.0, 6000.0)
+    small = [(300.0, 300.0 + 20 * k, 300.0 + 20 * k, 310.0, 310.0 + 20 * k, 310.0 + 20 * k) for k in range(40)]
+    a, b = (0.0, 0.0, 0.0), (3000.0, 0.0, 0.0)
+    code, path, _ = RT.line_route(a, b, [wall, *small], lines=None)
+    assert code == "OK" and RT.length(path) == pytest.approx(3000 + 2 * 6101) and RT.free(path, [wall, *small], 100.0)
+    box = "struct<b_id:int,b_minx:double,b_miny:double,b_minz:double,b_maxx:double,b_maxy:double,b_maxz:double>"
+    task = spark.createDataFrame([("r", *a, *b, [(k, *x) for k, x in enumerate([wall, *small])])], f"id string, sx double, sy double, sz double, tx double, ty double, tz double, boxes array<{box}>")
+    monkeypatch.setattr(PS, "tasks", lambda spark, root, *a: task)
+    row = PS.x07(spark, "").collect()[0]
+    assert row["code"] == "OK" and row["free"] and row["length_mm"] == pytest.approx(3000 + 2 * 6101)
+
+
+def test_line_steps_match_the_segment_test():
+    rng = random.Random(4)
+    for _ in range(10):
+        boxes = []
+        for _ in range(8):
+            p = [rng.randrange(-2000, 3000) for _ in range(3)]
+            boxes.append((*map(float, p), *[float(v + rng.randrange(10, 1500)) for v in p]))
+        grid = [sorted({0.0, 777.0, *[b[i] - 101 for b in boxes], *[b[i + 3] + 101 for b in boxes]}) for i in range(3)]
+        shut = RT._ShutSteps(grid, boxes, 100.0)
+        for _ in range(300):
+            c, axis = [rng.randrange(len(g)) for g in grid], rng.randrange(3)
+            if c[axis] + 1 < len(grid[axis]):
+                p = tuple(grid[i][c[i]] for i in range(3))
+                q = tuple(grid[i][c[i] + (i == axis)] for i in range(3))
+                assert shut.step(axis, *c) == any(RT.crosses(p, q, x, 100.0) for x in boxes)
+
+
 def test_path_tidying():
     zig = [(0, 0, 0), (500, 0, 0), (500, 500, 0), (1000, 500, 0), (1000, 1000, 0)]
     assert RT.bends(RT.pulled(zig, [])) == 1
