@@ -226,8 +226,8 @@ def tasks(spark, root, margin: float = 1500.0):
     return r.join(boxes, "id", "left")
 
 
-#: Cells of 1 m and 4000 nodes per task: what the whole table of routes can be given in seconds.
-COARSE = R.Options(cell=1000.0, max_nodes=4_000)
+#: The operator's production settings: cells of 500 mm and 100,000 nodes per task.
+PRODUCTION = R.Options(cell=500.0, max_nodes=100_000)
 
 
 def _boxes(row) -> list:
@@ -249,7 +249,7 @@ def _result(row, code, path, boxes, clearance=0.0):
 def x01(spark, root):
     def f(row):
         a, b, boxes = _task(row)
-        code, path, _ = R.voxel_route(a, b, boxes, COARSE)
+        code, path, _ = R.voxel_route(a, b, boxes, PRODUCTION)
         return _result(row, code, path, boxes)
 
     return O.map_rows(tasks(spark, root), f, _OUT)
@@ -260,7 +260,7 @@ def x02(spark, root):
     def f(row):
         a, b, boxes = _task(row)
         mid = tuple((x + y) / 2 for x, y in zip(a, b))
-        code, path, _ = R.waypoint_route([a, mid, b], boxes, COARSE)
+        code, path, _ = R.waypoint_route([a, mid, b], boxes, PRODUCTION)
         return _result(row, code, path, boxes)
 
     return O.map_rows(tasks(spark, root), f, _OUT)
@@ -270,7 +270,7 @@ def x02(spark, root):
 def x03(spark, root):
     def f(row):
         a, b, boxes = _task(row)
-        code, path, _ = R.bundle_route(a, b, 400.0, boxes, COARSE)
+        code, path, _ = R.bundle_route(a, b, 400.0, boxes, PRODUCTION)
         return _result(row, code, path, boxes)
 
     return O.map_rows(tasks(spark, root), f, _OUT)
@@ -281,7 +281,7 @@ def x06(spark, root):
     def f(row):
         a, b, boxes = _task(row)
         guides = tuple(tuple(x + (y - x) * t for x, y in zip(a, b)) for t in (0.25, 0.5, 0.75))
-        code, path, _ = R.voxel_route(a, b, boxes, R.Options(cell=1000.0, guides=guides, guide_factor=0.8, weight=1.5, max_nodes=4_000))
+        code, path, _ = R.voxel_route(a, b, boxes, R.Options(cell=50.0, guides=guides, guide_factor=0.8, weight=1.5, max_nodes=200_000))
         return _result(row, code, path, boxes)
 
     return O.map_rows(tasks(spark, root), f, _OUT)

@@ -284,6 +284,28 @@ def test_voxel_search_is_shortest_without_turn_costs():
             assert code == "OK" and RT.length(path) == pytest.approx(seen[(4, 4)] * 500)
 
 
+def _routing_tasks(spark, *tasks):
+    box = "struct<b_id:int,b_minx:double,b_miny:double,b_minz:double,b_maxx:double,b_maxy:double,b_maxz:double>"
+    rows = [(i, *a, *b, [(k, *x) for k, x in enumerate(boxes)]) for i, a, b, boxes in tasks]
+    return spark.createDataFrame(rows, f"id string, sx double, sy double, sz double, tx double, ty double, tz double, boxes array<{box}>")
+
+
+def test_cell_searches_find_gaps_off_the_coarse_lattice(spark, monkeypatch):
+    """Walls with one gap: on the lattice of 500 mm (wide enough for a bundle of 400), or only on that of 50 mm."""
+    from pipeloom.plans import sequential as PS
+
+    def wall(lo, hi):
+        return [(900.0, -5e4, -5e4, 1100.0, lo, 5e4), (900.0, hi, -5e4, 1100.0, 5e4, 5e4)]
+
+    a, b = (0.0, 0.0, 0.0), (2000.0, 0.0, 0.0)
+    for name, boxes in (("x01_voxel_routes", wall(290.0, 710.0)), ("x02_waypoint_routes", wall(290.0, 710.0)), ("x03_bundle_routes", wall(290.0, 710.0)), ("x06_guided_routes", wall(110.0, 190.0))):
+        b_ = (4000.0, 0.0, 0.0) if name.startswith("x02") else b  # its waypoint lies in the middle
+        task = _routing_tasks(spark, ("r", a, b_, boxes))
+        monkeypatch.setattr(PS, "tasks", lambda spark, root, *a, task=task: task)
+        row = PS.Q[name](spark, "").collect()[0]
+        assert row["code"] == "OK" and row["free"], name
+
+
 def test_line_search_uses_every_line(spark, monkeypatch):
     """A wall whose ends are farther than 22 other sides: the way round it is on a line that a cut search leaves out."""
     from pipeloom.plans import sequential as PS
@@ -293,8 +315,7 @@ def test_line_search_uses_every_line(spark, monkeypatch):
     a, b = (0.0, 0.0, 0.0), (3000.0, 0.0, 0.0)
     code, path, _ = RT.line_route(a, b, [wall, *small], lines=None)
     assert code == "OK" and RT.length(path) == pytest.approx(3000 + 2 * 6101) and RT.free(path, [wall, *small], 100.0)
-    box = "struct<b_id:int,b_minx:double,b_miny:double,b_minz:double,b_maxx:double,b_maxy:double,b_maxz:double>"
-    task = spark.createDataFrame([("r", *a, *b, [(k, *x) for k, x in enumerate([wall, *small])])], f"id string, sx double, sy double, sz double, tx double, ty double, tz double, boxes array<{box}>")
+    task = _routing_tasks(spark, ("r", a, b, [wall, *small]))
     monkeypatch.setattr(PS, "tasks", lambda spark, root, *a: task)
     row = PS.x07(spark, "").collect()[0]
     assert row["code"] == "OK" and row["free"] and row["length_mm"] == pytest.approx(3000 + 2 * 6101)
