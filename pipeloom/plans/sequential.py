@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import functools
 import math
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pipeloom.functions import pattern as PT
@@ -15,6 +17,7 @@ from pipeloom.operators import sequential as O
 from pipeloom.operators import spatial as SP
 from pipeloom.plans import polyline as P
 from pipeloom.plans.oracle_views import over
+from pipeloom.session import cut_lineage
 from pipeloom.sources import adapter as A
 
 Q: dict = {}
@@ -216,14 +219,76 @@ def g14(spark, root):
 # ---- routing
 
 
-def tasks(spark, root, margin: float = 1500.0):
-    """Every route as a task, with the boxes that its grown box touches."""
-    r = A.routes(spark, root).select(F.col("guid").alias("id"), *[F.col(f"{e}_pos{c}").alias(f"{e[0]}{c}") for e in ("source", "target") for c in "xyz"]).dropna()
+#: Millimetres around a task's ends in which boxes are loaded: as far as the first one that settles the task; at last every box.
+MARGINS = (1500.0, 6000.0, 24000.0, None)
+_SIDES = [f"{e}{c}" for e in ("min", "max") for c in "xyz"]
+
+
+def _ends(spark, root):
+    return A.routes(spark, root).select(F.col("guid").alias("id"), *[F.col(f"{e}_pos{c}").alias(f"{e[0]}{c}") for e in ("source", "target") for c in "xyz"]).dropna()
+
+
+def _near(spark, root, box, margin: float):
+    """(id, boxes): the boxes that each box (id, corners), grown by ``margin``, touches."""
+    near = SP.overlap_join(box, A.obstacles(spark, root), grow=margin, cell=max(4000.0, margin))
+    return near.groupBy(F.col("a_id").alias("id")).agg(F.array_sort(F.collect_list(F.struct("b_id", *["b_" + s for s in _SIDES]))).alias("boxes"))
+
+
+def tasks(spark, root, margin: float = 1500.0, only=None):
+    """Every route (or those whose id is a ``unit`` of ``only``) as a task, with the boxes that its grown box touches."""
+    r = _ends(spark, root)
+    if only is not None:
+        r = r.join(only, F.col("id") == F.col("unit"), "left_semi")
     box = r.select("id", *[f(f"s{c}", f"t{c}").alias(n + c) for n, f in (("min", F.least), ("max", F.greatest)) for c in "xyz"])
-    near = SP.overlap_join(box, A.obstacles(spark, root), grow=margin)
-    sides = [f"b_{e}{c}" for e in ("min", "max") for c in "xyz"]
-    boxes = near.groupBy(F.col("a_id").alias("id")).agg(F.array_sort(F.collect_list(F.struct("b_id", *sides))).alias("boxes"))
-    return r.join(boxes, "id", "left")
+    return r.join(_near(spark, root, box, margin), "id", "left")
+
+
+def _everywhere(spark, root) -> float:
+    """A margin around any task that takes in every box and its surroundings."""
+    low = [F.min("min" + c) for c in "xyz"] + [F.min(F.least("s" + c, "t" + c)) for c in "xyz"]
+    high = [F.max("max" + c) for c in "xyz"] + [F.max(F.greatest("s" + c, "t" + c)) for c in "xyz"]
+    ob, ends = A.obstacles(spark, root), _ends(spark, root)
+    lo, hi = ([*ob.agg(*v[:3]).first(), *ends.agg(*v[3:]).first()] for v in (low, high))
+    return max(max(hi[i::3]) - min(lo[i::3]) for i in range(3)) + 3000.0
+
+
+def widened(spark, root, load, route):
+    """Results of ``route(margin, last)`` over ``load(margin, units)``; units with ``more`` are done again with a larger margin.
+
+    A search stays where all boxes are loaded, so what it finds is free and what it does not find may be farther out.
+    """
+    done, todo = [], None
+    for margin in MARGINS:
+        last = margin is None
+        margin = _everywhere(spark, root) if last else margin
+        out = cut_lineage(O.map_rows(load(margin, todo), route(margin, last), _OUT + ", unit string, more boolean"))
+        done.append(out.where("not more"))
+        todo = out.where("more").select("unit").distinct()
+        if last or todo.isEmpty():
+            break
+    return functools.reduce(DataFrame.unionByName, done).drop("unit", "more")
+
+
+def confined(spark, root, find):
+    """Every route as a task of its own; ``find(a, b, boxes, margin)`` gives the code, the path, and whether a larger region may do better."""
+    def route(margin, last):
+        def f(row):
+            a, b, boxes = _task(row)
+            code, path, more = find(a, b, boxes, margin)
+            return [r | {"unit": row["id"], "more": bool(more and not last)} for r in _result(row, code, path, boxes)]
+
+        return f
+
+    return widened(spark, root, lambda margin, todo: tasks(spark, root, margin, todo), route)
+
+
+def _better_outside(code, path, a, b, margin, turn=1000.0) -> bool:
+    """Whether a way that leaves the region could be found or be cheaper: out and back it is twice the margin longer and has two turns.
+
+    NODE_LIMIT is the operator's own end.
+    """
+    direct = sum(abs(x - y) for x, y in zip(a, b))
+    return code == "NO_PATH" or (code == "OK" and R.length(path) + turn * R.bends(path) > direct + 2 * margin + 2 * turn)
 
 
 #: The operator's production settings: cells of 500 mm and 100,000 nodes per task.
@@ -247,84 +312,110 @@ def _result(row, code, path, boxes, clearance=0.0):
 
 @query("x01_voxel_routes")
 def x01(spark, root):
-    def f(row):
-        a, b, boxes = _task(row)
-        code, path, _ = R.voxel_route(a, b, boxes, PRODUCTION)
-        return _result(row, code, path, boxes)
+    def find(a, b, boxes, margin):
+        code, path, _ = R.voxel_route(a, b, boxes, PRODUCTION, within=R.region((a, b), margin))
+        return code, path, _better_outside(code, path, a, b, margin)
 
-    return O.map_rows(tasks(spark, root), f, _OUT)
+    return confined(spark, root, find)
 
 
 @query("x02_waypoint_routes")
 def x02(spark, root):
-    def f(row):
-        a, b, boxes = _task(row)
+    def find(a, b, boxes, margin):
         mid = tuple((x + y) / 2 for x, y in zip(a, b))
-        code, path, _ = R.waypoint_route([a, mid, b], boxes, PRODUCTION)
-        return _result(row, code, path, boxes)
+        code, path, _ = R.waypoint_route([a, mid, b], boxes, PRODUCTION, within=R.region((a, b), margin))
+        return code, path, _better_outside(code, path, a, b, margin)
 
-    return O.map_rows(tasks(spark, root), f, _OUT)
+    return confined(spark, root, find)
 
 
 @query("x03_bundle_routes")
 def x03(spark, root):
-    def f(row):
-        a, b, boxes = _task(row)
-        code, path, _ = R.bundle_route(a, b, 400.0, boxes, PRODUCTION)
-        return _result(row, code, path, boxes)
+    def find(a, b, boxes, margin):
+        free = margin - 200.0  # half the bundle's width
+        code, path, _ = R.bundle_route(a, b, 400.0, boxes, PRODUCTION, within=R.region((a, b), free))
+        return code, path, _better_outside(code, path, a, b, free)
 
-    return O.map_rows(tasks(spark, root), f, _OUT)
+    return confined(spark, root, find)
 
 
 @query("x06_guided_routes")
 def x06(spark, root):
-    def f(row):
-        a, b, boxes = _task(row)
+    def find(a, b, boxes, margin):
         guides = tuple(tuple(x + (y - x) * t for x, y in zip(a, b)) for t in (0.25, 0.5, 0.75))
-        code, path, _ = R.voxel_route(a, b, boxes, R.Options(cell=50.0, guides=guides, guide_factor=0.8, weight=1.5, max_nodes=200_000))
-        return _result(row, code, path, boxes)
+        options = R.Options(cell=50.0, guides=guides, guide_factor=0.8, weight=1.5, max_nodes=200_000)
+        code, path, _ = R.voxel_route(a, b, boxes, options, within=R.region((a, b), margin))
+        return code, path, code == "NO_PATH"
 
-    return O.map_rows(tasks(spark, root), f, _OUT)
+    return confined(spark, root, find)
 
 
 @query("x07_line_routes")
 def x07(spark, root):
-    def f(row):
-        a, b, boxes = _task(row)
-        code, path, _ = R.line_route(a, b, boxes, lines=None)
-        return _result(row, code, R.pulled(path, boxes, 100.0) if path else path, boxes)
+    def find(a, b, boxes, margin):
+        free = margin - 100.0  # the clearance
+        code, path, _ = R.line_route(a, b, boxes, lines=None, within=R.region((a, b), free))
+        more = _better_outside(code, path, a, b, free)
+        return code, R.pulled(path, boxes, 100.0) if path and not more else path, more
 
-    return O.map_rows(tasks(spark, root), f, _OUT)
+    return confined(spark, root, find)
 
 
 @query("x09_rubber_band")
 def x09(spark, root):
-    def f(row):
-        a, b, boxes = _task(row)
+    def find(a, b, boxes, margin):
         path, left = R.pushed(R.decomposed(a, b, "zxy"), boxes)
-        return _result(row, "OK" if not left else "NO_PATH", R.pulled(path, boxes) if not left else path, boxes)
+        more = not R.within(path, R.region((a, b), margin - 100.0))
+        return "OK" if not left else "NO_PATH", R.pulled(path, boxes) if not left and not more else path, more
+
+    return confined(spark, root, find)
 
-    return O.map_rows(tasks(spark, root), f, _OUT)
+
+def _bays(spark, root, margin: float, only=None):
+    """Per bay its tasks in order, and the boxes that the box around all their ends, grown by ``margin``, touches."""
+    u = A.routes(spark, root).select(F.col("guid").alias("id"), "utility", "bay")
+    t = _ends(spark, root).join(u, "id").withColumn("unit", F.coalesce("bay", F.lit("")))
+    if only is not None:
+        t = t.join(only, "unit", "left_semi")
+    hull = [F.min(F.least(f"s{c}", f"t{c}")).alias("min" + c) for c in "xyz"] + [F.max(F.greatest(f"s{c}", f"t{c}")).alias("max" + c) for c in "xyz"]
+    per = t.groupBy("unit").agg(F.array_sort(F.collect_list(F.struct("id", "utility", *[f"{e}{c}" for e in "st" for c in "xyz"]))).alias("ts"), *hull)
+    boxes = _near(spark, root, per.select(F.col("unit").alias("id"), *_SIDES), margin)
+    return per.select("unit", "ts").join(boxes.withColumnRenamed("id", "unit"), "unit", "left")
 
 
 @query("v05_sequential_routes")
 def v05(spark, root):
     """Tasks of one utility routed one after another: earlier pipes of other utilities are obstacles for later ones."""
-    u = A.routes(spark, root).select(F.col("guid").alias("id"), "utility", "bay")
-    per = tasks(spark, root).join(u, "id").groupBy("bay").agg(F.array_sort(F.collect_list(F.struct("id", "utility", *[f"{e}{c}" for e in "st" for c in "xyz"], "boxes"))).alias("ts"))
+    def route(most, last):
+        def f(row):
+            laid: list = []
+            out = []
+            every = _boxes(row)
+            sides = np.array(every).reshape(-1, 6)
+            margins = [m for m in MARGINS if m is not None and m < most] + [most]
+            more = False
+            for t in row["ts"]:
+                a, b = (tuple(t[f"{e}{c}"] for c in "xyz") for e in "st")
+                for margin in margins:
+                    loaded = R.region((a, b), margin)
+                    boxes = [every[k] for k in np.flatnonzero((sides[:, :3] <= loaded[3:]).all(axis=1) & (sides[:, 3:] >= loaded[:3]).all(axis=1))]
+                    other = [x for u_, x in laid if u_ != t["utility"] and not R.inside(a, x) and not R.inside(b, x) and all(x[i] <= loaded[i + 3] and x[i + 3] >= loaded[i] for i in range(3))]
+                    code, path, _ = R.line_route(a, b, [*boxes, *other], lines=None, within=R.region((a, b), margin - 100.0))
+                    if not _better_outside(code, path, a, b, margin - 100.0):
+                        break
+                else:
+                    if not last:  # the bay is done again with more boxes
+                        more = True
+                        break
+                laid += [(t["utility"], (*[min(p[i], q[i]) - 50 for i in range(3)], *[max(p[i], q[i]) + 50 for i in range(3)])) for p, q in zip(path, path[1:])]
+                out += _result(t, code, path, boxes)
+            if more:
+                out = [{"id": "", "code": "", "n_points": 0, "bends": 0, "length_mm": 0.0, "free": False}]
+            return [r | {"unit": row["unit"], "more": more} for r in out]
 
-    def f(row):
-        laid: list = []
-        out = []
-        for t in row["ts"]:
-            a, b, boxes = _task(t)
-            other = [x for u_, x in laid if u_ != t["utility"] and not R.inside(a, x) and not R.inside(b, x)]
-            code, path, _ = R.line_route(a, b, [*boxes, *other], lines=None)
-            laid += [(t["utility"], (*[min(p[i], q[i]) - 50 for i in range(3)], *[max(p[i], q[i]) + 50 for i in range(3)])) for p, q in zip(path, path[1:])]
-            out += _result(t, code, path, boxes)
-        return out
-
-    return O.map_rows(per, f, _OUT)
+        return f
+
+    return widened(spark, root, lambda margin, todo: _bays(spark, root, margin, todo), route)
 
 
 @query("g46_parallel_offsets", "leg", "WITH f AS (SELECT guid, x, y, dx, dy, sqrt(power(dx, 2) + power(dy, 2)) AS d FROM leg WHERE i = 1 AND sqrt(power(dx, 2) + power(dy, 2)) > 1) SELECT guid, k AS pipe, round(x - dy / d * (k - 1) * 150, 3) AS x, round(y + dx / d * (k - 1) * 150, 3) AS y FROM f, (VALUES (0), (1), (2)) t(k)")

@@ -321,6 +321,33 @@ def test_line_search_uses_every_line(spark, monkeypatch):
     assert row["code"] == "OK" and row["free"] and row["length_mm"] == pytest.approx(3000 + 2 * 6101)
 
 
+def test_routes_leave_the_loaded_boxes_only_when_more_are_loaded(spark, monkeypatch):
+    """A wall wider than the first region; round its ends stand boxes that a search with the first region's boxes does not know."""
+    from pipeloom.plans import sequential as PS
+
+    wall = (900.0, -1600.0, -1e5, 1100.0, 1600.0, 1e5)
+    beyond = [(200.0, -2e4, -1e5, 1800.0, -1700.0, 1e5), (200.0, 1700.0, -1e5, 1800.0, 3100.0, 1e5)]
+    floor = [(-3e4, -3e4, z, 3e4, 3e4, z + 100.0) for z in (-700.0, 600.0)]
+    known = [wall, *beyond, *floor]
+    names = [f"{e}{c}" for e in ("min", "max") for c in "xyz"]
+    monkeypatch.setattr(PS.A, "obstacles", lambda spark, root: spark.createDataFrame([(k, *b) for k, b in enumerate(known)], "id bigint, " + ", ".join(f"{n} double" for n in names)))
+    ends = spark.createDataFrame([("r", "N2", "B1", 0.0, 0.0, 0.0, 2000.0, 0.0, 0.0)], "guid string, utility string, bay string, " + ", ".join(f"{e}_pos{c} double" for e in ("source", "target") for c in "xyz"))
+    monkeypatch.setattr(PS.A, "routes", lambda spark, root: ends)
+    for name in ("x01_voxel_routes", "x03_bundle_routes", "x07_line_routes", "x09_rubber_band", "v05_sequential_routes"):
+        row, = PS.Q[name](spark, "").collect()
+        assert row["id"] == "r", name
+        if name != "x09_rubber_band" or row["code"] == "OK":  # pushing may end at the boxes beyond, but not pass through them
+            assert row["code"] == "OK" and row["free"] and row["length_mm"] >= 2000 + 2 * 3100, (name, row)
+
+
+def test_searches_stay_inside_the_given_box():
+    wall, a, b = [(900.0, -3000.0, -3000.0, 1100.0, 3000.0, 3000.0)], (0.0, 0.0, 0.0), (2000.0, 0.0, 0.0)
+    for margin, code in ((1500.0, "NO_PATH"), (6000.0, "OK")):
+        box = RT.region((a, b), margin)
+        for got in (RT.voxel_route(a, b, wall, within=box), RT.bundle_route(a, b, 400.0, wall, within=box), RT.line_route(a, b, wall, lines=None, within=box)):
+            assert got[0] == code and RT.within(got[1], box)
+
+
 def test_line_steps_match_the_segment_test():
     rng = random.Random(4)
     for _ in range(10):
