@@ -5,8 +5,8 @@ sentence; quoted passages are set aside, as they are spoken about; unfilled slot
 become one token.  The tokens of a passage retrieve exemplars, and the containment of an exemplar in
 windows of its own length (or the share of a passage that a nonsense exemplar covers) is weighed by
 the inverse document frequency of its tokens over all documents.  Windows covered to a high degree
-are residue.  A slot is residue unless the passage around it contains, to a high degree, an exemplar of
-speaking about slots.
+are residue.  A slot is residue unless a window around it contains, to a high degree, the words of an
+exemplar of speaking about slots; each slot is judged for itself.
 """
 
 from __future__ import annotations
@@ -110,6 +110,20 @@ class Weights:
                 out.add(i)
         return out
 
+    def spoken_about(self, words: list[str], at: int) -> float:
+        """Highest share of a mention's weight, the slot itself not counted, that a window of its length around the slot at ``at`` holds."""
+        most = 0.0
+        for i in MENTIONS:
+            p = EXEMPLARS[i][1]
+            want = Counter(t for t in p if t != "slot")
+            total = sum(self.idf[t] * n for t, n in want.items())
+            if sum(self.idf[t] * n for t, n in want.items() if t in words) <= most * total:
+                continue
+            for a in range(max(0, at - len(p) + 1), at + 1):
+                have = Counter(words[a : a + len(p)])
+                most = max(most, sum(self.idf[t] * min(n, have[t]) for t, n in want.items()) / total)
+        return most
+
     def contained(self, exemplar: int, window: list[str]) -> float:
         """Share of the exemplar's weight that the window holds."""
         want, have = Counter(EXEMPLARS[exemplar][1]), Counter(window)
@@ -130,9 +144,15 @@ def passage_kind(raw: str, w: Weights, *, mention: float, short: int = 3, among:
     ``among`` and ``slots`` are what the whole text can hold at all, if that is known.
     """
     if slots and _SLOT_START.search(raw) and SLOT.search(raw):
-        words = tokens(SLOT.sub(" slot ", raw))
-        about = max(w.contained(i, words) for i in MENTIONS)
-        return "slot" if about < mention else None
+        words, at, last = [], [], 0
+        for m in SLOT.finditer(raw):
+            words += tokens(raw[last : m.start()])
+            at.append(len(words))
+            words.append("slot")
+            last = m.end()
+        words += tokens(raw[last:])
+        if any(w.spoken_about(words, k) < mention for k in at):
+            return "slot"
     words = tokens(raw)
     for start in range(0, len(words), WINDOW):
         part = words[max(0, start - 40) : start + WINDOW]
@@ -205,8 +225,8 @@ def find_residue(df: DataFrame, ident: str, text: str, *, coverage: float = 0.9,
 
     * NULL, empty and blank texts are no case. Texts of any length are read whole.
     * A repeated row gives a repeated result; an empty table gives no rows. Other columns are not read.
-    * Equal coverage counts: a window at exactly ``coverage`` is residue, a passage at exactly
-      ``mention`` speaks about slots.
+    * Equal coverage counts: a window at exactly ``coverage`` is residue, a slot whose
+      window is at exactly ``mention`` is spoken about.
     """
     rows = df.select(F.col(ident).alias("doc_id"), F.col(text).alias("_text"))
     weights = corpus_weights(rows, coverage)

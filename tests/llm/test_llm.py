@@ -283,3 +283,19 @@ def test_residue_and_plain_talk(spark):
     assert got == {*range(len(RESIDUE)), 900}
     assert residue.without_residue(df, "doc_id", "text").count() == len(PLAIN)
     assert residue.find_residue(df.limit(0), "doc_id", "text").count() == 0
+
+
+def test_each_slot_is_judged_in_its_own_window():
+    """Document frequencies as in a corpus where the words of the mentions are common."""
+    n = 10_000
+    w = residue.Weights(n, {t: n // 100 for t in residue.VOCABULARY} | {t: n // 2 for t in ("the", "is", "in", "and", "so", "that")})
+    about = "In the macro {{bay}} is filled from the sheet list, so never rename that column"
+    for text, kinds in (
+        ("In the {{bay}} the bend pattern is straight", {"slot"}),
+        ("The pattern is written {{bay}} in the guide", set()),
+        ("The guide is long and the pattern was written down in it before anybody drew the line that runs through the {{bay}} and ends at the wall", {"slot"}),
+        (about, set()),
+        (f"{about} and the line of the north wall then runs straight through the {{{{tool}}}} to its end", {"slot"}),
+        ("{{bay}} tags such as {{a}} and {{b}} are identifiers of the checker and stay in the text; page not found we cannot find that sheet", {"error"}),
+    ):
+        assert kinds <= residue.residue_kinds(text, w) if kinds == {"error"} else residue.residue_kinds(text, w) == kinds, text
