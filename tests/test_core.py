@@ -376,6 +376,17 @@ def test_path_tidying():
     assert len(arc) == 11 and RT.length(arc) < 2000
 
 
+def test_bend_match_takes_every_hundredth_line(spark, monkeypatch):
+    from pipeloom.plans import sequential as PS
+
+    ids = [f"00000000-0000-0000-0000-{n:012x}" for n in (1, 100, 200, 250)]
+    rows = [(g, i, "UPPER", t, False) for g, turns in zip(ids, ("ab", "ab", "b", "ba")) for i, t in enumerate(turns)]
+    monkeypatch.setattr(PS.P, "w07", lambda spark, root: spark.createDataFrame(rows, "guid string, i int, zone string, transition string, sequence boolean"))
+    got = {(r["query_id"], r["guid"]): r["match"] for r in PS.r08(spark, "").collect()}
+    assert set(got) == {(q, g) for q in ids[1:3] for g in ids}
+    assert got[ids[1], ids[0]] == 1.0 and got[ids[2], ids[2]] == 1.0 and got[ids[2], ids[1]] == 0.5
+
+
 def test_turned_boxes():
     box, r = (0.0, 0.0, 0.0, 10.0, 10.0, 10.0), math.sqrt(0.5)
     turned = [(r, r, 0.0), (-r, r, 0.0), (0.0, 0.0, 1.0)]
