@@ -87,7 +87,7 @@ def shown(sequence: str, least: int, most: int, max_gap: int = 1) -> set[str]:
 
 
 def frequent_by_comparison(patterns: list[tuple[list[str], int]], threshold: float) -> list[str]:
-    """Patterns whose weight reaches ``threshold``; each sequence gives its sorted patterns of one length and its weight."""
+    """Patterns whose weight reaches ``threshold`` (less 1e-9, as in the final count); each sequence gives its sorted patterns of one length and its weight."""
     found: list[str] = []
     at: dict[str, list[tuple[int, int]]] = defaultdict(list)  # sequences by their present k-minimum: (sequence, place)
     for s, (ps, _) in enumerate(patterns):
@@ -110,7 +110,7 @@ def frequent_by_comparison(patterns: list[tuple[list[str], int]], threshold: flo
             key = heapq.heappop(keys)
             passed.append(key)
             weight += sum(patterns[s][1] for s, _ in at[key])
-            if weight >= threshold:
+            if weight >= threshold - 1e-9:
                 break
         else:
             break  # fewer sequences than the threshold are left

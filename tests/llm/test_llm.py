@@ -299,3 +299,13 @@ def test_each_slot_is_judged_in_its_own_window():
         ("{{bay}} tags such as {{a}} and {{b}} are identifiers of the checker and stay in the text; page not found we cannot find that sheet", {"error"}),
     ):
         assert kinds <= residue.residue_kinds(text, w) if kinds == {"error"} else residue.residue_kinds(text, w) == kinds, text
+
+
+def test_a_share_exactly_at_the_support_is_a_candidate(spark):
+    for n in (200, 400, 1800):
+        need = round(0.035 * n)
+        assert 0.035 * n > need  # by a rounding
+        rows = [(str(k), "abc" if k < need else "d") for k in range(n)]
+        df = spark.createDataFrame(rows, "entity string, s string")
+        got = {r.pattern: r.support for r in sequences.frequent_subsequences(df, "entity", "s", 0.035).collect()}
+        assert got == {"abc": need}
