@@ -144,9 +144,9 @@ class Cell:
                 sims[2 - 2 * sims > limit[:, None] + 1e-12] = -np.inf
                 hit = np.flatnonzero((sims > -np.inf).any(axis=1))
                 for i in hit:
-                    ok = np.flatnonzero(sims[i] > best[i, -1]) if best[i, -1] > -np.inf else np.flatnonzero(sims[i] > -np.inf)
-                    if len(ok) > 4 * k:
-                        ok = ok[np.argpartition(-sims[i, ok], k)[: 2 * k]]
+                    ok = np.flatnonzero((sims[i] >= best[i, -1]) & (sims[i] > -np.inf))
+                    if len(ok) > 4 * k:  # what ties with the k-th stays, for the identifier to settle
+                        ok = ok[sims[i, ok] >= -np.partition(-sims[i, ok], k - 1)[k - 1]]
                     merged = sorted([*zip(-best[i], names[i]), *zip(-sims[i, ok], self.ids[rows[ok]])], key=lambda x: (x[0], x[1] or ""))[:k]
                     best[i] = [-s for s, _ in merged]
                     names[i] = [x for _, x in merged]

@@ -5,6 +5,7 @@ from __future__ import annotations
 import itertools
 import random
 from collections import Counter, defaultdict
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
@@ -309,3 +310,20 @@ def test_a_share_exactly_at_the_support_is_a_candidate(spark):
         df = spark.createDataFrame(rows, "entity string, s string")
         got = {r.pattern: r.support for r in sequences.frequent_subsequences(df, "entity", "s", 0.035).collect()}
         assert got == {"abc": need}
+
+
+def test_ties_at_the_last_neighbour_go_by_identifier():
+    """Many vectors of equal cosine to the query, over several blocks: the least identifiers are listed."""
+    n, k = 600, 5
+    turn = np.arange(n) % 300  # unit vectors e_0 * 0.5 + another axis: all equally near to e_0
+    u = np.zeros((n, 302))
+    u[np.arange(n), 1 + turn] = np.sqrt(0.75) * np.where(np.arange(n) < 300, 1, -1)
+    u[:, 0] = 0.5
+    q = np.zeros((1, 302))
+    q[0, 0] = 1.0
+    ids = np.array([f"{(x * 7) % n:04d}" for x in range(n)], dtype=object)
+    way = SimpleNamespace(directions=np.random.default_rng(3).normal(size=(302, 6)))
+    cell = neighbours.Cell(ids, u, way)
+    assert len(cell.blocks) > 1
+    found, _ = cell.search(np.array(["q"], dtype=object), q, q @ way.directions, np.array([4.0]), k, 1e9)
+    assert [x for _, x in found[0]] == [f"{x:04d}" for x in range(k)]
