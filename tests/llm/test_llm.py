@@ -5,12 +5,14 @@ from __future__ import annotations
 import itertools
 import random
 from collections import Counter, defaultdict
+from pathlib import Path
 from types import SimpleNamespace
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tests.llm import held_out
 from pipeloom.llm import mixing, neighbours, packing, prefix, residue, runs, sequences, tokens, topn
 
 STUB = "pattern_id string, dir_seq string, stub_points string, _id int"
@@ -289,7 +291,7 @@ def test_residue_and_plain_talk(spark):
 def test_each_slot_is_judged_in_its_own_window():
     """Document frequencies as in a corpus where the words of the mentions are common."""
     n = 10_000
-    w = residue.Weights(n, {t: n // 100 for t in residue.VOCABULARY} | {t: n // 2 for t in ("the", "is", "in", "and", "so", "that")})
+    w = residue.Weights(n, {t: n // 100 for t in residue.WORDS} | {t: n // 2 for t in ("the", "is", "in", "and", "so", "that")})
     about = "In the macro {{bay}} is filled from the sheet list, so never rename that column"
     for text, kinds in (
         ("In the {{bay}} the bend pattern is straight", {"slot"}),
@@ -302,6 +304,31 @@ def test_each_slot_is_judged_in_its_own_window():
         assert kinds <= residue.residue_kinds(text, w) if kinds == {"error"} else residue.residue_kinds(text, w) == kinds, text
 
 
+@pytest.mark.skipif(not Path("/root/testdata/sf0.01").exists(), reason="needs the test tables")
+def test_held_out_phrases(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    w = residue.corpus_weights(docs.select(F.col("text").alias("_text")))
+    cases = [p for part in (held_out.ERRORS, held_out.SCRIPTS, held_out.FILLER, held_out.SLOTS) for p in part.strip().splitlines()]
+    harmless = held_out.HARMLESS.strip().splitlines()
+    exemplars = {tuple(p) for _, p in residue.EXEMPLARS}
+    assert len(cases) >= 60 and not any(tuple(residue.tokens(p)) in exemplars for p in cases if "{" not in p and "x" not in p)
+    hits = sum(bool(residue.residue_kinds(p, w)) for p in cases)
+    false = sum(bool(residue.residue_kinds(p, w)) for p in harmless)
+    assert hits / len(cases) >= 0.9 and hits / (hits + false) >= 0.95
+
+
+def test_pieces_of_any_length_and_spelling():
+    label = residue.Weights(100, {}).label
+    for text, want in (
+        ("{{" + "very long name " * 30 + "}}", "slot"), ("[Bay]", None), ("[insert " + "very " * 40 + "long name]", "slot"), ("<br>", "ordinary"), ("<bay>", "slot"),
+        ("&amp;", "ordinary"), ("&bay;", "slot"), ("R&D;", None), ("[C-25]", None), ("a < b and c > d", None), ("x[i]", None), ("100 %s", None), ("is %s mm", "slot"), ("", None),
+        ("one; {{a}} two", "slot"), ("($(bay))", "slot"),
+    ):
+        found = {label(f) for _, _, f in residue.pieces(text)} - {None}
+        assert found == ({want} if want else set()), (text, found)
+    assert residue.residue_kinds("He wrote \"" + "page not found " * 200 + "\" on it", residue.Weights(100, {})) == set()
+
+
 def test_a_share_exactly_at_the_support_is_a_candidate(spark):
     for n in (200, 400, 1800):
         need = round(0.035 * n)
