@@ -12,7 +12,7 @@ from pipeloom.llm.neighbours import k_nearest, mutual, unit_vectors
 from pipeloom.llm.packing import pack, packing_report
 from pipeloom.llm.residue import find_residue, without_residue
 from pipeloom.llm.runs import collapse_runs
-from pipeloom.llm.sequences import route_patterns, stub_patterns
+from pipeloom.llm.sequences import shared_directions
 from pipeloom.llm.tokens import token_counts
 from pipeloom.llm.topn import latest_version, top_n_per_group
 from pipeloom.session import cut_lineage
@@ -52,8 +52,7 @@ def p2_top20(spark: SparkSession, root: str) -> DataFrame:
 
 
 def p4_patterns(spark: SparkSession, root: str) -> DataFrame:
-    stubs = stub_patterns(table(spark, root, "tb_route_stub_pattern"))
-    return stubs.unionByName(route_patterns(table(spark, root, "tb_route_utility_group_member")))
+    return shared_directions(table(spark, root, "tb_route_stub_pattern"), table(spark, root, "tb_route_utility_group_member"))
 
 
 def p4_found(spark: SparkSession, root: str) -> DataFrame:

@@ -180,8 +180,64 @@ def test_comparison_skips_what_cannot_be_frequent():
     count = Counter()
     for ps, w in data:
         count.update({p: w for p in ps})
+
+    def following(ps):
+        return lambda bound, beyond: next((p for p in ps if p > bound or p == bound and not beyond), None)
+
     for threshold in (1, 30, 60, 10_000):
-        assert sequences.frequent_by_comparison(data, threshold) == sorted(p for p, n in count.items() if n >= threshold)
+        found = sequences.frequent_by_comparison([following(ps) for ps, _ in data], [w for _, w in data], threshold)
+        assert {p: sum(data[e][1] for e in es) for p, es in found} == {p: n for p, n in count.items() if n >= threshold}
+        assert [p for p, _ in found] == sorted(p for p, _ in found)
+
+
+def test_the_next_pattern_is_found_when_asked_for():
+    rng = random.Random(5)
+    for _ in range(300):
+        s = "".join(rng.choice("abc.") for _ in range(rng.randrange(10)))
+        shown = {p for p in _brute_patterns([(0, s)], 1, 4)}
+        x = sequences.Shown(s, 1)
+        for k in range(1, 5):
+            mine = sorted(p for p in shown if len(p) == k)
+            walked, p = [], x.least(k)
+            while p is not None:
+                walked.append(p)
+                p = x.least(k, p, True)
+            assert walked == mine
+            bound = "".join(rng.choice("abc") for _ in range(k))
+            assert x.least(k, bound) == next((p for p in mine if p >= bound), None)
+            ok = {p for p in shown if rng.random() < 0.7 and len(p) < k}
+            assert x.least(k, "", False, ok) == next((p for p in mine if k == 1 or p[1:] in ok and all(p[:i] in ok for i in range(1, k))), None)
+
+
+def test_infrequent_patterns_are_not_counted():
+    """Patterns that are visited are far fewer than those that are shown: what lies below the threshold-th entity's is passed over."""
+    rng = random.Random(1)
+    data = ["abc" + "".join(rng.choice("defghijk") for _ in range(12)) for _ in range(60)]
+    shown = [sequences.Shown(s, 1) for s in data]
+    ok: set[str] = set()
+    visited = 0
+    for k in range(1, 5):
+        def following(x):
+            def run(bound, beyond):
+                nonlocal visited
+                p = x.least(k, bound, beyond, ok if k > 1 else None)
+                visited += p is not None
+                return p
+            return run
+        found = sequences.frequent_by_comparison([following(x) for x in shown], [1] * 60, 58)
+        ok |= {p for p, _ in found}
+    brute = _brute_patterns(list(enumerate(data)), 1, 4)
+    assert ok == {p for p, v in brute.items() if len(v) >= 58}
+    assert visited < 0.2 * sum(map(len, brute.values()))
+
+
+def test_partitions_that_were_silent_are_asked(spark):
+    rng = random.Random(6)
+    seqs = [(f"e{i}", "".join(rng.choice("abcd.") for _ in range(3 + i % 9))) for i in range(4000)]
+    seqs += [("big", "".join(rng.choice("abcd") for _ in range(7))) for _ in range(300)]  # an entity in many pieces
+    df = spark.createDataFrame(seqs, "entity string, s string")
+    got = {r.pattern: r.support for r in sequences.frequent_subsequences(df, "entity", "s", 0.05, least=2, most=4, rows_per_task=60, together=16).collect()}
+    assert got == {p: len(v) for p, v in _brute_patterns(seqs, 2, 4).items() if len(v) >= 0.05 * 4001}
 
 
 def test_collapsing_of_directions():
