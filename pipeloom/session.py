@@ -28,13 +28,15 @@ def build_session(app: str = "pipeloom", cores: str | int = "*", **extra: str) -
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the reliable checkpoint folder and return it without its lineage.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``; only where that is unset
-    (tests on one machine) a temporary folder is used.
+    The folder is the one the cluster names in ``spark.checkpoint.dir``.  Where that is unset a temporary
+    folder of this machine is used, but only by a local master: elsewhere it would not be shared.
     """
     spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         shared = context.getConf().get("spark.checkpoint.dir")
+        if not shared and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="pipeloom-"))
     return df.checkpoint(eager=True)
 
