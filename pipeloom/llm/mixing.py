@@ -2,24 +2,26 @@
 
 Every document of a source is expected ``share * total / size of the source`` times.  The expected
 copies are prefix-summed within the source over its documents in the order of their size, one random
-offset (the best of several for the source's tokens) is added, and a document is drawn once per whole number that its interval crosses.
+offset per source is added, and a document is drawn once per whole number that its interval crosses.
+As all documents of a source have the same expected copies, the prefix sum is the document's exact
+position times them; it is taken in decimals, so that a rate however small is not rounded away.
 """
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pipeloom.llm.prefix import prefix_sums
 
-#: Expected copies are counted in units of one over this, so that the sums are exact.
-UNIT = 1 << 20
-MAX_SOURCES = 100_000
+#: Expected copies below one are kept to 23 decimals; a position may then have 13 digits.
+FRACTION, POSITION = "decimal(23,23)", "decimal(13,0)"
+#: Tables of at most as many sources are broadcast, larger ones are joined by their keys.
+BROADCAST_SOURCES = 100_000
 
 
-def draw(documents: DataFrame, targets: DataFrame, *, total_tokens: int | None = None, seed: int = 11, offsets: int = 64) -> DataFrame:
+def draw(documents: DataFrame, targets: DataFrame, *, total_tokens: int | None = None, seed: int = 11) -> DataFrame:
     """Rows (source, doc_id, tokens, repeats) of the drawn documents.
 
     ``documents`` is (doc_id, source, tokens), ``targets`` (source, target_share, max_repeats).
@@ -33,37 +35,32 @@ def draw(documents: DataFrame, targets: DataFrame, *, total_tokens: int | None =
       greatest row counts.
     * Ties in size are settled by doc_id; a repeated row is a document of its own; empty tables give no rows.
     """
-    spark = documents.sparkSession
     wanted = targets.select(F.trim("source").alias("source"), F.col("target_share").cast("double").alias("s"), F.col("max_repeats").cast("int").alias("m"))
-    wanted = wanted.where("source is not null and s > 0 and not isnan(s) and m > 0").groupBy("source").agg(F.max(F.struct("s", "m")).alias("x"))
-    rows = wanted.select("source", "x.*").limit(MAX_SOURCES + 1).collect()
-    if len(rows) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} targets")
+    wanted = wanted.where("source is not null and s > 0 and not isnan(s) and m > 0").groupBy("source").agg(F.max(F.struct("s", "m")).alias("x")).select("source", "x.*")
     docs = documents.select("doc_id", F.trim("source").alias("source"), F.col("tokens").cast("bigint").alias("tokens")).where("tokens > 0")
-    names = F.broadcast(spark.createDataFrame([(r[0],) for r in rows], "source string"))
-    docs = docs.join(names, "source")
-    held = {r[0]: r[1] for r in docs.groupBy("source").agg(F.sum("tokens")).collect()}  # a row per target at most
-    share = {r["source"]: r["s"] for r in rows if r["source"] in held}
-    repeats = {r["source"]: r["m"] for r in rows}
-    none = spark.createDataFrame([], "source string, doc_id bigint, tokens bigint, repeats int")
-    if not share:
+    held = docs.groupBy("source").agg(F.sum("tokens").alias("held"))
+    sources = wanted.join(held, "source")
+    every = sources.agg(F.sum("s").alias("scale"), F.min(F.col("m") * F.col("held") / F.col("s")).alias("most"), F.count("*").alias("n")).first()
+    none = documents.sparkSession.createDataFrame([], "source string, doc_id bigint, tokens bigint, repeats int")
+    if not every["n"]:
         return none
-    scale = sum(share.values())
-    total = total_tokens or min(repeats[s] * held[s] * scale / w for s, w in share.items())
-    units = [(s, min(repeats[s] * UNIT, round(w / scale * total / held[s] * UNIT))) for s, w in share.items()]
-    each = docs.join(F.broadcast(spark.createDataFrame(units, "source string, _e bigint")), "source")
-    summed = prefix_sums(each, ["source"], ["tokens", "doc_id"], "_e", "_before")
+    total = float(total_tokens) if total_tokens else every["most"] * every["scale"]
+    rate = F.least(F.col("m").cast("double"), F.col("s") / F.lit(every["scale"]) * F.lit(total) / F.col("held"))
+    rates = sources.withColumn("_e", rate).select(
+        "source", F.floor("_e").cast("bigint").alias("_whole"), (F.col("_e") - F.floor("_e")).cast(FRACTION).alias("_part"),
+        # the one random offset of the source, in fifteen decimals
+        (F.pmod(F.xxhash64(F.lit(seed), "source"), F.lit(10**15)).cast("decimal(15,0)") / F.lit(10**15).cast("decimal(16,0)")).cast(FRACTION).alias("_o"),
+    )
+    if every["n"] <= BROADCAST_SOURCES:
+        rates = F.broadcast(rates)
+    named = docs.join(F.broadcast(wanted.select("source")) if every["n"] <= BROADCAST_SOURCES else wanted.select("source"), "source", "left_semi")
+    at = prefix_sums(named.withColumn("_one", F.lit(1).cast("bigint")), ["source"], ["tokens", "doc_id"], "_one", "_at")
 
-    def crossed(offset):
-        return F.shiftright(F.col("_before") + F.col("_e") + offset, 20) - F.shiftright(F.col("_before") + offset, 20)
+    def crossed(position):
+        return F.floor(position.cast(POSITION) * F.col("_part") + F.col("_o")).cast("bigint")
 
-    # of several random offsets the one that brings the source's tokens nearest to its target
-    tried = [int(x) for x in np.random.default_rng(seed).integers(0, UNIT, offsets)]
-    sums = summed.groupBy("source").agg(*[F.sum(F.col("tokens") * crossed(F.lit(o))).alias(f"t{i}") for i, o in enumerate(tried)]).collect()
-    goal = {s: e / UNIT * held[s] for s, e in units}
-    best = [(r["source"], tried[min(range(offsets), key=lambda i: (abs(r[f"t{i}"] - goal[r["source"]]), i))]) for r in sums]
-    chosen = F.broadcast(spark.createDataFrame(best or [("", 0)], "source string, _o bigint"))
-    return summed.join(chosen, "source").withColumn("repeats", crossed(F.col("_o")).cast("int")).select("source", "doc_id", "tokens", "repeats").where("repeats > 0")
+    repeats = (F.col("_whole") + crossed(F.col("_at") + 1) - crossed(F.col("_at"))).cast("int")
+    return at.join(rates, "source").withColumn("repeats", repeats).select("source", "doc_id", "tokens", "repeats").where("repeats > 0")
 
 
 def shares(drawn: DataFrame, targets: DataFrame) -> DataFrame:

@@ -45,10 +45,10 @@ class Projection:
         p = sample @ self.directions
         want = min(max_cells, max(1, -(-rows // cell_rows)))
         self.dim, self.cut, self.child = [], [], []
-        self.lo, self.hi = [], []
-        todo = [(np.arange(len(p)), want, np.full(m, -np.inf), np.full(m, np.inf), None, 0)]
+        leaves = 0
+        todo = [(np.arange(len(p)), want, None, 0)]
         while todo:
-            at, cells, lo, hi, parent, side = todo.pop()
+            at, cells, parent, side = todo.pop()
             node = len(self.dim)
             if parent is not None:
                 self.child[parent][side] = node
@@ -57,9 +57,8 @@ class Projection:
             if cells < 2 or len(at) < 2 or spread[d] == 0:
                 self.dim.append(-1)
                 self.cut.append(0.0)
-                self.child.append([len(self.lo), len(self.lo)])  # a leaf: its cell
-                self.lo.append(lo)
-                self.hi.append(hi)
+                self.child.append([leaves, leaves])  # a leaf: its cell
+                leaves += 1
                 continue
             values = np.sort(p[at, d])
             cut = float(values[len(values) * (cells // 2) // cells])
@@ -67,12 +66,33 @@ class Projection:
             self.dim.append(d)
             self.cut.append(cut)
             self.child.append([0, 0])
-            lo2, hi2 = lo.copy(), hi.copy()
-            hi2[d] = lo2[d] = cut
-            todo.append((at[left], cells // 2, lo, hi2, node, 0))
-            todo.append((at[~left], cells - cells // 2, lo2, hi, node, 1))
+            todo.append((at[left], cells // 2, node, 0))
+            todo.append((at[~left], cells - cells // 2, node, 1))
         self.dim, self.cut, self.child = np.array(self.dim), np.array(self.cut), np.array(self.child)
-        self.lo, self.hi = np.array(self.lo), np.array(self.hi)
+
+    def reached(self, p: np.ndarray, limit: np.ndarray) -> list[list[int]]:
+        """Per projected query the cells within a squared projected distance; only branches that some query reaches are walked."""
+        out: list[list[int]] = [[] for _ in range(len(p))]
+        todo = [(0, np.arange(len(p)), np.zeros(p.shape), np.zeros(len(p)))]
+        while todo:
+            node, at, gaps, far = todo.pop()
+            d = self.dim[node]
+            if d < 0:
+                cell = int(self.child[node, 0])
+                for q in at:
+                    out[q].append(cell)
+                continue
+            gap = p[at, d] - self.cut[node]
+            for side in (0, 1):
+                across = np.where((gap >= 0) == bool(side), 0.0, np.abs(gap))
+                new = np.maximum(gaps[:, d], across)
+                total = far - gaps[:, d] ** 2 + new**2
+                keep = np.flatnonzero(total <= limit[at])
+                if len(keep):
+                    more = gaps[keep].copy()
+                    more[:, d] = new[keep]
+                    todo.append((int(self.child[node, side]), at[keep], more, total[keep]))
+        return out
 
     def cells(self, p: np.ndarray) -> np.ndarray:
         node = np.zeros(len(p), dtype=np.int64)
@@ -187,7 +207,7 @@ def _matrix(column: pd.Series) -> np.ndarray:
 
 def k_nearest(
     vectors: DataFrame, k: int, *, min_similarity: float | dict[str, float] = -1.0, queries: Column | None = None, certainty: float = 0.9999,
-    m: int = 6, cell_rows: int = 4000, max_cells: int = 4096, sample_rows: int = 20_000, seed: int = 7, salts: int = 32, hot: int = 1000,
+    m: int = 6, cell_rows: int = 4000, max_cells: int = 4096, part_rows: int = 16_000, sample_rows: int = 20_000, seed: int = 7, salts: int = 32,
 ) -> DataFrame:
     """(field, id, other, similarity, position): the ``k`` most similar other vectors of the same field.
 
@@ -200,7 +220,9 @@ def k_nearest(
     * Ties in the similarity are settled by the identifier, ascending.
     * A vector alone in its field has no neighbours; an empty table gives no rows.
     * The tree's upper levels are fitted on ``sample_rows`` rows per field, at most ``max_cells``
-      cells; every row is indexed.
+      cells; every row is indexed.  A cell of more than ``part_rows`` rows (very many rows, or rows
+      that the projections cannot tell apart) is kept in parts, each in a task of its own; a query is
+      held against its own part first and then, with the bound it has reached, against the others.
     """
     spark = vectors.sparkSession
     floor = min_similarity
@@ -242,6 +264,16 @@ def k_nearest(
             place, "field string, rep string, ids array<string>, vec array<double>, asked boolean, cell int"
         )
     )
+    # parts of the cells: at most ``max_cells`` rows a field
+    full = placed.groupBy("field", "cell").count().where(F.col("count") > part_rows).collect()
+    parts = {(r["field"], r["cell"]): -(-r["count"] // part_rows) for r in full}
+    if parts:
+        big = F.broadcast(spark.createDataFrame([(f, c, n) for (f, c), n in parts.items()], "field string, cell int, _parts int"))
+        part = F.pmod(F.xxhash64("rep"), F.coalesce("_parts", F.lit(1)))
+        slot = placed.join(big, ["field", "cell"], "left").withColumn("slot", F.shiftleft(F.col("cell").cast("bigint"), 32) + part)
+    else:
+        slot = placed.withColumn("slot", F.shiftleft(F.col("cell").cast("bigint"), 32))
+    indexed = slot.select("field", "slot", "rep", "vec", "asked")
     pair = "array<struct<similarity: double, rep: string>>"
 
     def within(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
@@ -253,13 +285,8 @@ def k_nearest(
         q, ids = u[at], pdf["rep"].to_numpy()[at]
         p = q @ tree.directions
         found, bound = cell.search(ids, q, p, np.full(len(at), 2 - 2 * floors[field]), k, chi)
-        go = []
-        for s in range(0, len(at), 256):
-            x = p[s : s + 256, None, :]
-            far = (np.maximum(np.maximum(tree.lo - x, x - tree.hi), 0) ** 2).sum(axis=2)
-            near = far <= bound[s : s + 256, None] * chi
-            near[:, home] = False
-            go += [np.flatnonzero(row) for row in near]
+        near = tree.reached(p, bound * chi) if len(at) else []
+        go = [[s for c in cells for s in range(c << 32, (c << 32) + parts.get((field, c), 1)) if s != home] for cells in near]
         return _frame(field, ids, found, vec=[v if len(g) else None for v, g in zip(q, go)], go=go, bound=bound)
 
     def beyond(key: tuple, asked_rows: pd.DataFrame, pdf: pd.DataFrame) -> pd.DataFrame:
@@ -273,12 +300,12 @@ def k_nearest(
         return _frame(field, ids, found)
 
     own = cut_lineage(
-        placed.groupBy("field", "cell").applyInPandas(
-            within, f"field string, rep string, near {pair}, vec array<double>, go array<int>, bound double"
+        indexed.groupBy("field", "slot").applyInPandas(
+            within, f"field string, rep string, near {pair}, vec array<double>, go array<bigint>, bound double"
         )
     )
-    carried = own.where("size(go) > 0").select("field", "rep", "vec", "bound", F.explode("go").alias("cell"))
-    other = carried.groupBy("field", "cell").cogroup(placed.select("field", "cell", "rep", "vec").groupBy("field", "cell")).applyInPandas(
+    carried = own.where("size(go) > 0").select("field", "rep", "vec", "bound", F.explode("go").alias("slot"))
+    other = carried.groupBy("field", "slot").cogroup(indexed.select("field", "slot", "rep", "vec").groupBy("field", "slot")).applyInPandas(
         beyond, f"field string, rep string, near {pair}"
     )
     pairs = own.select("field", "rep", F.inline("near").alias("similarity", "other")).unionByName(
@@ -290,18 +317,22 @@ def k_nearest(
     listed = listed.unionByName(placed.where("size(ids) > 1 and asked").select("field", "rep", F.lit(1.0).alias("similarity"), F.explode("ids").alias("other")))
     order = W.partitionBy("field", "rep").orderBy(F.col("similarity").desc(), "other")
     listed = listed.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= 2 * k + 1).drop("_n")
-    # members: a class of one is its only member; the others are looked up, big classes salted
-    many = placed.where("size(ids) > 1").select("field", "rep", "vec")
+    # members: a class of one is its only member; of up to k its list holds all; larger ones are looked up, salted
+    many = placed.where("size(ids) > 1").select("field", "rep", "vec", "ids")
     key = F.transform("vec", lambda x: F.round(x, 9) + F.lit(0.0))
     salt = F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int")
+    every_salt = F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt")
+    small = many.where(F.size("ids") <= k).select("field", "rep", "vec", F.explode("ids").alias("id")).where(asked).select("field", "rep", "id")
+    large = many.where(F.size("ids") > k)
     members = once.select("field", "h1", "h2", "id", salt.alias("_salt"), asked.alias("_asked")).where("_asked")
-    big = many.select("field", "rep", F.xxhash64(key).alias("h1"), F.xxhash64(F.lit(1), key).alias("h2"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt"))
-    grouped = members.join(big, ["field", "h1", "h2", "_salt"]).select("field", "rep", "id", "_salt")
+    spread = large.select("field", "rep", F.xxhash64(key).alias("h1"), F.xxhash64(F.lit(1), key).alias("h2"), every_salt)
+    grouped = members.join(spread, ["field", "h1", "h2", "_salt"]).select("field", "rep", "id", "_salt")
     lists = listed.groupBy("field", "rep").agg(F.array_sort(F.collect_list(F.struct((-F.col("similarity")).alias("s"), "other"))).alias("l"))
-    single = lists.join(many.select("field", "rep"), ["field", "rep"], "left_anti").select("field", F.col("rep").alias("id"), "l")
-    plural = lists.join(many.select("field", "rep"), ["field", "rep"], "left_semi").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    plural = plural.join(grouped, ["field", "rep", "_salt"]).select("field", "id", "l")
-    every = single.unionByName(plural)
+    sized = lists.join(many.select("field", "rep", F.size("ids").alias("_size")), ["field", "rep"], "left")
+    single = sized.where("_size is null").select("field", F.col("rep").alias("id"), "l")
+    few = sized.where(F.col("_size") <= k).join(small, ["field", "rep"]).select("field", "id", "l")
+    plural = sized.where(F.col("_size") > k).select("field", "rep", "l", every_salt).join(grouped, ["field", "rep", "_salt"]).select("field", "id", "l")
+    every = single.unionByName(few).unionByName(plural)
     mine = F.slice(F.filter("l", lambda x: x["other"] != F.col("id")), 1, k)
     rows = every.select("field", "id", F.posexplode(mine).alias("p", "x"))
     return rows.select("field", "id", F.col("x.other").alias("other"), (-F.col("x.s")).alias("similarity"), (F.col("p") + 1).cast("int").alias("position"))

@@ -1,10 +1,11 @@
 """Filling fixed-capacity containers with items, by exact complements of lengths.
 
-Only the histogram of lengths (at most one entry per token of capacity) is planned on: the largest
-length left opens a container, whose gap is filled exactly by one length, a pair or a triple with
-availability, else by the largest length that fits.  A step of the plan is repeated as often as the
-counts allow, so its cost depends on the capacity and not on the number of items.  Items take the
-places of the plan in the order of their exact position within their length.
+Only the histogram of lengths (at most one entry per token of capacity) is planned on, every kind of
+container in a task of its own: the largest length left opens a container, whose gap is filled exactly by
+one length, a pair or a triple found in an index of sums under the counts still available, else by the
+largest length that fits (best fit).  A step of the plan is repeated as often as the counts allow, so its
+cost depends on the capacity and not on the number of items.  Items take the places of the plan in the
+order of their exact position within their length.
 """
 
 from __future__ import annotations
@@ -12,123 +13,192 @@ from __future__ import annotations
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pipeloom.llm.prefix import prefix_sums
 
-MAX_CAPACITY = 200_000
+#: Positions within a length that are joined with their places at once.
+BLOCK = 256
+_CHUNK = 512
 
 
-def exact_fill(gap: int, count: np.ndarray) -> list[int] | None:
-    """One, two or three available lengths with sum ``gap``; larger ones first."""
-    if gap < len(count) and count[gap] > 0:
-        return [gap]
-    have = np.flatnonzero(count[: gap + 1] > 0)
-    have = have[have > 0]
-    if not len(have):
-        return None
+class Complements:
+    """Index of the sums of one, two and three available lengths.
+
+    Lengths are only ever taken, so a combination that has become impossible stays so: every sum keeps
+    the place up to which its combinations are used up, and a sum without any is marked for good.
+    """
 
-    def pair(total: int, used: int = 0) -> list[int] | None:
-        a = have[(have * 2 >= total) & (have < total)][::-1]
-        if not len(a):
+    def __init__(self, histogram: dict[int, int]):
+        self.top = max(histogram, default=0)
+        self.count = np.zeros(self.top + 1, dtype=np.int64)
+        for length, n in histogram.items():
+            self.count[length] += n
+        self.have = np.flatnonzero(self.count)  # available lengths, and some that are gone
+        self._gone = 0
+        self._pair_at: dict[int, int] = {}
+        self._triple_at: dict[int, int] = {}
+        self._no_pair = np.zeros(2 * self.top + 2, dtype=bool)
+
+    def take(self, lengths: list[int], times: int = 1) -> None:
+        for x in lengths:
+            self.count[x] -= times
+            self._gone += self.count[x] == 0
+        if self._gone > 64 + len(self.have) // 8:
+            self.have, self._gone = self.have[self.count[self.have] > 0], 0
+
+    def single(self, total: int) -> list[int] | None:
+        return [total] if 0 < total <= self.top and self.count[total] > 0 else None
+
+    def _next_pair(self, total: int, a: int) -> int:
+        """The largest first length at most ``a`` of an available pair; below half the total if there is none."""
+        low = (total + 1) // 2
+        first, last = np.searchsorted(self.have, [low, a + 1])
+        while last > first:
+            lo = max(first, last - _CHUNK)
+            x = self.have[lo:last][::-1]
+            ok = (self.count[x] > 0) & (self.count[total - x] > 0)
+            if x[-1] * 2 == total and self.count[x[-1]] < 2:
+                ok[-1] = False
+            at = int(ok.argmax())
+            if ok[at]:
+                return int(x[at])
+            last = lo
+        return low - 1
+
+    def pair(self, total: int, used: int = 0) -> list[int] | None:
+        """Two available lengths of this sum, the first as large as can be; one ``used`` length is not there any more."""
+        if total < 2 or total > 2 * self.top or self._no_pair[total]:
             return None
-        b = total - a
-        ok = (count[a] - (a == used) >= 1 + (a == b)) & (count[b] - (b == used) >= 1 + (a == b))
-        at = int(ok.argmax())
-        return [int(a[at]), int(b[at])] if ok[at] else None
-
-    if found := pair(gap):
-        return found
-    for a in have[::-1]:
-        if 3 * a < gap:
-            break  # the largest of three
-        rest = gap - int(a)
-        if rest >= 2 and (found := pair(rest, int(a))):
-            return [int(a), *found]
-    return None
+        a = self._next_pair(total, self._pair_at.get(total, min(total - 1, self.top)))
+        self._pair_at[total] = a
+        if a * 2 < total:
+            self._no_pair[total] = True
+            return None
+        while a * 2 >= total:
+            b = total - a
+            if self.count[a] - (a == used) > (a == b) and self.count[b] - (b == used) > 0:
+                return [a, b]
+            a = self._next_pair(total, a - 1)
+        return None
+
+    def triple(self, total: int) -> list[int] | None:
+        """Three available lengths of this sum."""
+        a = self._triple_at.get(total, min(total - 2, self.top))
+        fresh = True  # nothing above ``a`` was passed over for the moment only
+        first, last = np.searchsorted(self.have, [max(-(-total // 3), total - 2 * self.top), a + 1])
+        while last > first:
+            lo = max(first, last - _CHUNK)
+            x = self.have[lo:last][::-1]
+            for a in x[(self.count[x] > 0) & ~self._no_pair[total - x]].tolist():
+                found = self.pair(total - a, a)
+                if fresh and (found or not self._no_pair[total - a]):
+                    self._triple_at[total] = a
+                    fresh = False
+                if found:
+                    return [a, *found]
+            last = lo
+        if fresh:
+            self._triple_at[total] = 0
+        return None
+
+    def fill(self, gap: int) -> list[int] | None:
+        """One, two or three available lengths with sum ``gap``."""
+        return self.single(gap) or self.pair(gap) or self.triple(gap)
+
+    def best_fit(self, gap: int) -> list[int] | None:
+        """The largest available length that fits."""
+        last = int(np.searchsorted(self.have, gap + 1))
+        while last > 0:
+            lo = max(0, last - _CHUNK)
+            ok = self.count[self.have[lo:last][::-1]] > 0
+            at = int(ok.argmax())
+            if ok[at]:
+                return [int(self.have[last - 1 - at])]
+            last = lo
+        return None
 
 
 def plan(histogram: dict[int, int], capacity: int) -> list[tuple[list[int], int, int]]:
     """(lengths of one container, number of such containers, room left); every item is placed once."""
-    count = np.zeros(capacity + 1, dtype=np.int64)
-    for length, n in histogram.items():
-        count[length] += n
+    index = Complements(histogram)
     steps = []
-    top = capacity
-    while True:
-        while top > 0 and count[top] == 0:
-            top -= 1
-        if top == 0:
-            return steps
-        count[top] -= 1
-        lengths, gap = [top], capacity - top
-        while gap:
-            fill = exact_fill(gap, count)
-            if fill is None:
-                fits = np.flatnonzero(count[: gap + 1] > 0)
-                if not len(fits) or fits[-1] == 0:
-                    break
-                fill = [int(fits[-1])]
-            for x in fill:
-                count[x] -= 1
-            lengths += fill
+    while (largest := index.best_fit(capacity)) is not None:
+        index.take(largest)
+        lengths, gap = largest, capacity - largest[0]
+        while gap and (fill := index.fill(gap) or index.best_fit(gap)) is not None:
+            index.take(fill)
+            lengths = lengths + fill
             gap -= sum(fill)
-        times = 1 + min(int(count[x]) // n for x, n in Counter(lengths).items())
-        for x, n in Counter(lengths).items():
-            count[x] -= n * (times - 1)
+        each = Counter(lengths)
+        times = 1 + min(int(index.count[x]) // n for x, n in each.items())
+        for x, n in each.items():
+            index.take([x], n * (times - 1))
         steps.append((lengths, times, gap))
+    return steps
+
+
+def _places(key: tuple, histogram: pd.DataFrame) -> pd.DataFrame:
+    """Ranges of positions within a length and the step of the plan they belong to, of one kind."""
+    kind, capacity = key
+    at: Counter = Counter()
+    rows = []
+    for step, (lengths, times, gap) in enumerate(plan(dict(zip(histogram["tokens"].tolist(), histogram["n"].tolist())), int(capacity))):
+        for length, n in Counter(lengths).items():
+            rows.append((kind, capacity, length, at[length], at[length] + n * times, n, step, gap))
+            at[length] += n * times
+    return pd.DataFrame(rows, columns=["container_kind", "_cap", "tokens", "lo", "hi", "n", "step", "gap"])
 
 
 def pack(items: DataFrame, containers: DataFrame) -> DataFrame:
     """Rows (container_kind, container_id, doc_id, piece_no, token_start, tokens, room_left).
 
-    ``items`` is (doc_id, tokens), ``containers`` (container_kind, capacity_tokens).  Every item is
-    put into containers of every kind.  An item longer than the capacity is cut into pieces of the
-    capacity and a last one, which is packed like an item; no other item is cut.
+    ``items`` is (doc_id, tokens), ``containers`` (container_kind, capacity_tokens), a row per kind, few
+    enough to stand in a plan.  Every item is put into containers of every kind.  An item longer than
+    the capacity is cut into pieces of the capacity and a last one, which is packed like an item; no
+    other item is cut.
 
     * Items of NULL or no tokens need no place and are left out; repeated rows are packed once each.
     * Kinds with NULL, zero or negative capacity are left out; empty tables give no rows.
+    * A kind named with two capacities is two kinds; their containers carry the capacity in their names.
     """
     spark = items.sparkSession
-    kinds = [(r[0], int(r[1])) for r in containers.select("container_kind", "capacity_tokens").distinct().limit(1001).collect() if r[1] and r[1] > 0]
-    if len(kinds) > 1000 or any(c > MAX_CAPACITY for _, c in kinds):
-        raise ValueError("the plan is made for at most 1000 kinds of at most 200000 tokens")
+    kinds = [(r[0], int(r[1])) for r in containers.where("capacity_tokens > 0").select("container_kind", "capacity_tokens").distinct().collect()]
     if not kinds:
         return spark.createDataFrame([], "container_kind string, container_id string, doc_id bigint, piece_no int, token_start bigint, tokens bigint, room_left bigint")
-    every_kind = F.array(*[F.struct(F.lit(k).alias("container_kind"), F.lit(c).cast("bigint").alias("_cap")) for k, c in kinds])
+    twice = {k for k, n in Counter(k for k, _ in kinds).items() if n > 1}
+    every_kind = F.array(*[F.struct(F.lit(k).cast("string").alias("container_kind"), F.lit(c).cast("bigint").alias("_cap")) for k, c in kinds])
+    label = F.when(F.col("container_kind").isin(*twice), F.concat_ws("-", "container_kind", "_cap")).otherwise(F.col("container_kind")) if twice else F.col("container_kind")
     held = items.where("tokens > 0").select("doc_id", F.col("tokens").cast("bigint").alias("_all"))
     every = held.select("doc_id", "_all", F.inline(every_kind))
-    whole = F.floor((F.col("_all") - 1) / F.col("_cap"))
+    whole = F.expr("(_all - 1) div _cap")
     last = every.select(
         "container_kind", "_cap", "doc_id", whole.cast("int").alias("piece_no"), (whole * F.col("_cap")).cast("bigint").alias("token_start"),
         (F.col("_all") - whole * F.col("_cap")).cast("bigint").alias("tokens"), F.lit(1).cast("bigint").alias("_one"),
     )
     cut = every.where("_all > _cap").select("container_kind", "_cap", "doc_id", F.explode(F.sequence(F.lit(0), (whole - 1).cast("int"))).alias("piece_no"))
     cut = cut.select(
-        "container_kind", F.concat_ws("-", "container_kind", F.lit("d"), "doc_id", "piece_no").alias("container_id"), "doc_id", "piece_no",
+        "container_kind", F.concat_ws("-", label, F.lit("d"), "doc_id", "piece_no").alias("container_id"), "doc_id", "piece_no",
         (F.col("piece_no") * F.col("_cap")).cast("bigint").alias("token_start"), F.col("_cap").alias("tokens"), F.lit(0).cast("bigint").alias("room_left"),
     )
-    placed = prefix_sums(last.drop("_cap"), ["container_kind", "tokens"], ["doc_id"], "_one", "_rank")
-    sizes: dict[str, dict[int, int]] = {}
-    for kind, length, n in last.groupBy("container_kind", "tokens").count().collect():  # at most the sum of the capacities
-        sizes.setdefault(kind, {})[length] = n
-    slots = []
-    for kind, cap in kinds:
-        at: Counter = Counter()
-        for step, (lengths, times, gap) in enumerate(plan(sizes.get(kind, {}), cap)):
-            for length, n in Counter(lengths).items():
-                slots.append((kind, length, at[length], at[length] + n * times, n, step, gap))
-                at[length] += n * times
-    table = spark.createDataFrame(slots or [("", 0, 0, 0, 1, 0, 0)], "container_kind string, tokens bigint, lo bigint, hi bigint, n bigint, step bigint, gap bigint")
-    ranges = table.groupBy("container_kind", "tokens").agg(F.collect_list(F.struct("lo", "hi", "n", "step", "gap")).alias("_slots"))
-    found = placed.join(F.broadcast(ranges), ["container_kind", "tokens"]).withColumn(
+    length = ["container_kind", "_cap", "tokens"]
+    placed = prefix_sums(last, length, ["doc_id"], "_one", "_rank")
+    histogram = last.groupBy(*length).agg(F.count("*").alias("n"))  # at most a row per token of capacity
+    places = histogram.groupBy("container_kind", "_cap").applyInPandas(
+        _places, "container_kind string, _cap bigint, tokens bigint, lo bigint, hi bigint, n bigint, step bigint, gap bigint"
+    )
+    # both sides by blocks of positions: a length of any frequency is spread, and a block meets at most as many places as it has positions
+    blocks = F.explode(F.sequence(F.expr(f"lo div {BLOCK}"), F.expr(f"(hi - 1) div {BLOCK}")))
+    ranges = places.select(*length, blocks.alias("_block"), F.struct("lo", "hi", "n", "step", "gap").alias("s")).groupBy(*length, "_block").agg(F.collect_list("s").alias("_slots"))
+    found = placed.withColumn("_block", F.expr(f"_rank div {BLOCK}")).join(ranges, [*length, "_block"]).withColumn(
         "_s", F.element_at(F.filter("_slots", lambda s: (s["lo"] <= F.col("_rank")) & (F.col("_rank") < s["hi"])), 1)
     )
-    instance = F.floor((F.col("_rank") - F.col("_s.lo")) / F.col("_s.n"))
+    instance = F.expr("(_rank - _s.lo) div _s.n")
     return cut.unionByName(
         found.select(
-            "container_kind", F.concat_ws("-", "container_kind", F.lit("p"), "_s.step", instance).alias("container_id"), "doc_id", "piece_no",
+            "container_kind", F.concat_ws("-", label, F.lit("p"), "_s.step", instance).alias("container_id"), "doc_id", "piece_no",
             "token_start", "tokens", F.col("_s.gap").alias("room_left"),
         )
     )

@@ -54,8 +54,8 @@ def prefix_sums(df: DataFrame, groups: list[str], order: list[str], value: str,
     """``df`` with ``name``: the sum of ``value`` (whole numbers, no NULL) over the group's earlier rows.
 
     ``order`` must tell the rows of a group apart; rows alike in it get their sums in either order.
-    NULL group values form a group; a column named ``name`` is replaced.  Groups may be of any size; their number must be small enough
-    that one row per group and partition can be broadcast.
+    NULL group values form a group; a column named ``name`` is replaced.  Groups may be of any size and number: only the first group of
+    a partition can have begun before it, so at most one row per partition is broadcast.
     """
     parts = shuffle_width(df.sparkSession)
     keys = [F.col(c).asc_nulls_first() for c in [*groups, *order]]
@@ -66,10 +66,10 @@ def prefix_sums(df: DataFrame, groups: list[str], order: list[str], value: str,
     local = cut_lineage(ranged.mapInArrow(_local_sums(groups, value, [part, before]), schema))
     sums = local.groupBy(*groups, part).agg(F.sum(value).alias("sum_of_part"))
     earlier = W.partitionBy(*groups).orderBy(part).rowsBetween(W.unboundedPreceding, -1)
-    # at most one row per group and one more per partition: a group's partitions are neighbours
-    offsets = sums.select(*[F.col(g).alias(k) for g, k in zip(groups, keyed)], F.col(part).alias(other), F.coalesce(F.sum("sum_of_part").over(earlier), F.lit(0)).alias(offset))
+    begun = F.coalesce(F.sum("sum_of_part").over(earlier), F.lit(0))
+    offsets = sums.select(*[F.col(g).alias(k) for g, k in zip(groups, keyed)], F.col(part).alias(other), begun.alias(offset)).where(F.col(offset) != 0)
     same = F.col(part) == F.col(other)
     for g, k in zip(groups, keyed):
         same = same & F.col(g).eqNullSafe(F.col(k))
     kept = [c for c in df.columns if c.lower() != name.lower()]
-    return local.join(F.broadcast(offsets), same).select(*kept, (F.col(before) + F.col(offset)).alias(name))
+    return local.join(F.broadcast(offsets), same, "left").select(*kept, (F.col(before) + F.coalesce(F.col(offset), F.lit(0))).alias(name))

@@ -20,18 +20,18 @@ from pipeloom.sources.tables import table
 
 
 def p1_runs(spark: SparkSession, root: str) -> DataFrame:
-    runs = collapse_runs(table(spark, root, "tb_route_stub_pattern"), "pattern_id", "dir_seq", "stub_points")
+    runs = collapse_runs(table(spark, root, "tb_route_stub_pattern"), "pattern_id", "dir_seq", "stub_points", version="created_at")
     return runs.withColumn("duration_mm", F.round("duration_mm", 4))
 
 
 def p1_found(spark: SparkSession, root: str) -> DataFrame:
-    found = collapse_runs(table(spark, root, "tb_route_stub_pattern"), "pattern_id", "dir_seq", "stub_points", least=2)
+    found = collapse_runs(table(spark, root, "tb_route_stub_pattern"), "pattern_id", "dir_seq", "stub_points", version="created_at", least=2)
     return found.select("pattern_id", "seq_field", "first_pos", "last_pos")
 
 
 def p1_near_identical(spark: SparkSession, root: str) -> DataFrame:
     """Legs merged while their directions differ by less than about 18 degrees."""
-    return collapse_runs(table(spark, root, "tb_route_stub_pattern"), "pattern_id", "dir_seq", "stub_points", near=0.95)
+    return collapse_runs(table(spark, root, "tb_route_stub_pattern"), "pattern_id", "dir_seq", "stub_points", version="created_at", near=0.95)
 
 
 def _ranked_bends(spark: SparkSession, root: str, n: int) -> DataFrame:

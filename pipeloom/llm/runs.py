@@ -204,7 +204,7 @@ def _collapse(near: float | None, least: int):
 
 
 def collapse_runs(
-    df: DataFrame, ident: str, directions: str, path: str, *, near: float | None = None, least: int = 1
+    df: DataFrame, ident: str, directions: str, path: str, *, version: str | None = None, near: float | None = None, least: int = 1
 ) -> DataFrame:
     """Every run of every entity as one row: axis, positions (from 0), event count and length in mm.
 
@@ -215,10 +215,17 @@ def collapse_runs(
     * A blank token is no event; one that names no axis is a run of its own, ``axis`` NULL.
     * A leg under 1 mm takes the axis of the leg before it (at the start: of the first longer one).
     * NULL, empty, broken texts have no events; so has a list with an entry that is no point.
-    * Repeated rows count once; of several versions of one identifier the least row counts. A NULL
-      identifier is an entity like any other.
+    * Repeated rows count once; of several versions of one identifier the one with the greatest ``version``
+      counts, among equal ones (or without it) the least row. A NULL identifier is an entity like any other.
     * ``duration_mm`` is NULL for direction tokens. Other columns of ``df`` are not read.
     """
     cols = [F.col(ident).cast("string").alias("_id"), F.col(directions).alias("_dirs"), F.col(path).alias("_points")]
-    once = df.select(*cols).groupBy("_id").agg(F.min(F.struct("_dirs", "_points")).alias("_v")).select("_id", "_v.*")
+    row = F.struct("_dirs", "_points")
+    if version is None:
+        best = F.min(row)
+    else:
+        cols.append(F.col(version).alias("_version"))
+        # least row of the newest version: both in one pass, without a sort
+        best = F.min_by(row, F.struct(-F.coalesce(F.unix_micros(F.col("_version").cast("timestamp")), F.lit(-(2**62))), row))
+    once = df.select(*cols).groupBy("_id").agg(best.alias("_v")).select("_id", "_v.*")
     return once.mapInArrow(_collapse(near, least), SCHEMA)

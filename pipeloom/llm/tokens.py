@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -15,8 +16,10 @@ from pyspark.sql import types as T
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: the split pattern that belongs to the byte-level vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Texts are cut here before encoding, at a word's start, so that a text of any length is read whole in bounded memory.
+#: Texts longer than this are encoded in parts.
 CHUNK = 100_000
+#: A place that the split pattern always cuts at: after a letter or digit, before a blank that a letter or digit follows.
+_BORDER = re.compile(r"(?<=[^\W_])(?= [^\W_])")
 
 
 @lru_cache(maxsize=2)
@@ -34,10 +37,8 @@ def count_tokens(text: str | None, path: str = TOKENIZER) -> int:
         return 0
     enc, n, start = _encoding(path), 0, 0
     while start < len(text):
-        end = start + CHUNK
-        if end < len(text):
-            cut = text.rfind(" ", start + 1, end)
-            end = cut if cut > start else end
+        border = _BORDER.search(text, start + CHUNK) if len(text) - start > CHUNK else None
+        end = border.start() if border else len(text)  # text without such a place is encoded as a whole
         n += len(enc.encode_ordinary(text[start:end].encode("utf-8", "replace").decode()))
         start = end
     return n

@@ -79,10 +79,19 @@ def top_n_per_group(
     part, local = fresh(df, "_part", "_local")
     schema = T.StructType([*df.schema.fields, T.StructField(part, T.IntegerType()), T.StructField(local, T.LongType())])
     kept = ranged.mapInArrow(_local_positions(groups, n, [part, local]), schema)
-    # a partition that holds n or more rows of a group has kept n of them, so counts of kept rows decide alike
-    before = W.partitionBy(*groups).orderBy(part).rangeBetween(W.unboundedPreceding, -1)
-    place = F.col(local) + F.count("*").over(before)
-    return kept.withColumn(position, place.cast("int")).where(F.col(position) <= n).drop(part, local)
+    # a partition that holds n or more rows of a group has kept n of them, so counts of kept rows decide alike;
+    # only the first group of a partition can have begun before it, so at most one row per partition is broadcast
+    counts = kept.groupBy(*groups, part).agg(F.count("*").alias("n_of_part"))
+    before = W.partitionBy(*groups).orderBy(part).rowsBetween(W.unboundedPreceding, -1)
+    other, offset, *keyed = fresh(kept, "_p", "_offset", *[f"_g_{g}" for g in groups])
+    begun = F.sum("n_of_part").over(before)
+    offsets = counts.select(*[F.col(g).alias(k) for g, k in zip(groups, keyed)], F.col(part).alias(other), begun.alias(offset)).where(F.col(offset) > 0)
+    same = F.col(part) == F.col(other)
+    for g, k in zip(groups, keyed):
+        same = same & F.col(g).eqNullSafe(F.col(k))
+    place = F.col(local) + F.coalesce(F.col(offset), F.lit(0))
+    out = kept.join(F.broadcast(offsets), same, "left").withColumn(position, place.cast("int")).where(F.col(position) <= n)
+    return out.drop(part, local, other, offset, *keyed)
 
 
 def latest_version(df: DataFrame, ident: str, version: str) -> DataFrame:

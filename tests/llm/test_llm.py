@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+import math
 import random
 from collections import Counter, defaultdict
 from pathlib import Path
@@ -376,7 +377,7 @@ def test_held_out_phrases(spark):
 def test_pieces_of_any_length_and_spelling():
     label = residue.Weights(100, {}).label
     for text, want in (
-        ("{{" + "very long name " * 30 + "}}", "slot"), ("[Bay]", None), ("[insert " + "very " * 40 + "long name]", "slot"), ("<br>", "ordinary"), ("<bay>", "slot"),
+        ("{{" + "very long " * 30 + "name}}", "slot"), ("[Bay]", None), ("[insert " + "very " * 40 + "long name]", "slot"), ("<br>", "ordinary"), ("<bay>", "slot"),
         ("&amp;", "ordinary"), ("&bay;", "slot"), ("R&D;", None), ("[C-25]", None), ("a < b and c > d", None), ("x[i]", None), ("100 %s", None), ("is %s mm", "slot"), ("", None),
         ("one; {{a}} two", "slot"), ("($(bay))", "slot"),
     ):
@@ -410,3 +411,109 @@ def test_ties_at_the_last_neighbour_go_by_identifier():
     assert len(cell.blocks) > 1
     found, _ = cell.search(np.array(["q"], dtype=object), q, q @ way.directions, np.array([4.0]), k, 1e9)
     assert [x for _, x in found[0]] == [f"{x:04d}" for x in range(k)]
+
+
+def test_cells_that_cannot_be_split_are_searched_in_parts(spark):
+    """Nearly equal vectors share a cell whatever the tree; their neighbours are still the nearest of all."""
+    rng = np.random.default_rng(8)
+    data = np.array([1.0, 2.0, 3.0]) + 1e-5 * rng.normal(size=(3000, 3))
+    unit = neighbours.unit_vectors(_vectors(spark, [(f"v{i:05d}", v) for i, v in enumerate(data)]), F.col("field"), F.col("id"), F.col("v"), F.lit(3))
+    got = neighbours.k_nearest(unit, 3, certainty=0.99, max_cells=1, part_rows=400, queries=F.substring("id", -2, 2) == "00")
+    u = np.array([[*r.vec] for r in sorted(unit.collect(), key=lambda r: r.id)])
+    found = defaultdict(list)
+    for r in sorted(got.collect(), key=lambda r: (r.id, r.position)):
+        found[r.id].append(r.similarity)
+    assert len(found) == 30
+    for name, sims in found.items():
+        mine = np.sort(u @ u[int(name[1:])])[::-1]
+        assert np.allclose(sims, mine[1:4], atol=1e-12)
+
+
+def test_reached_cells_are_those_within_the_distance():
+    rng = np.random.default_rng(2)
+    tree = neighbours.Projection(rng.normal(size=(2000, 5)), 200_000, 4, 2000, 64, 1)
+    p = rng.normal(size=(3000, 4))
+    cells = tree.cells(p)
+    for q, limit in ((p[:20], 0.3), (p[20:40], 3.0)):
+        for x, c, got in zip(q, tree.cells(q), tree.reached(q, np.full(20, limit))):
+            near = set(cells[((p - x) ** 2).sum(axis=1) <= limit])
+            assert c in got and near <= set(got)
+
+
+@pytest.mark.skipif(not Path("/root/testdata/sf0.001").exists(), reason="needs the test tables")
+def test_near_identical_legs_of_the_tables(spark):
+    """The heap against repeated search for the most similar neighbours, on every stub of the smallest tables."""
+    stubs = spark.read.parquet("/root/testdata/sf0.001/tb_route_stub_pattern.parquet")
+    got = defaultdict(list)
+    for r in sorted(runs.collapse_runs(stubs, "pattern_id", "dir_seq", "stub_points", version="created_at", near=0.95).collect(), key=lambda r: (r.pattern_id, r.first_pos)):
+        got[r.pattern_id].append((r.first_pos, r.last_pos, r.n_events))
+    want = {}
+    for r in stubs.select("pattern_id", "stub_points").distinct().collect():
+        parts = [([x.first], np.array(x.vector)) for x in runs.legs(runs.points(r.stub_points))]
+        while len(parts) > 1:
+            cosines = [a[1] @ b[1] / (np.linalg.norm(a[1]) * np.linalg.norm(b[1])) if np.linalg.norm(a[1]) and np.linalg.norm(b[1]) else 1 for a, b in itertools.pairwise(parts)]
+            best = max(cosines)
+            if best < 0.95:
+                break
+            i = cosines.index(best)
+            parts[i : i + 2] = [(parts[i][0] + parts[i + 1][0], parts[i][1] + parts[i + 1][1])]
+        if parts:
+            want[r.pattern_id] = [(p[0][0], p[0][-1], len(p[0])) for p in parts]
+    differing = [k for k in want if got[k] != want[k]]
+    assert set(got) == set(want) and len(want) > 50 and not differing, [(k, got[k], want[k]) for k in differing[:3]]
+
+
+def test_newest_version_of_a_stub_counts(spark):
+    rows = [("a", "+x,+x", None, 1), ("a", "+y,+y,+y", None, 5), ("a", "+z", None, None)]
+    df = spark.createDataFrame(rows, "pattern_id string, dir_seq string, stub_points string, t int").withColumn("t", F.timestamp_seconds("t"))
+    got = runs.collapse_runs(df, "pattern_id", "dir_seq", "stub_points", version="t").collect()
+    assert [(r.axis, r.n_events) for r in got] == [("+y", 3)]
+
+
+def test_sources_of_any_rate_are_drawn(spark):
+    """A rate of one in a hundred million still gives its expected copies, and rates are not rounded to a grid."""
+    docs = spark.range(200_000).select(F.col("id").alias("doc_id"), F.lit("a").alias("source"), F.lit(10**6).cast("bigint").alias("tokens"))
+    targets = spark.createDataFrame([("a", 1.0, 3)], "source string, target_share double, max_repeats int")
+    total = 200_000 * 10**6
+    for rate in (5e-5, 3.3e-4, 1.25):
+        drawn = mixing.draw(docs, targets, total_tokens=round(total * rate)).agg(F.sum("repeats"), F.max("repeats")).first()
+        assert abs(drawn[0] - 200_000 * rate) <= 1 and drawn[1] <= math.ceil(rate)
+    full = mixing.draw(docs, targets).agg(F.min("repeats"), F.max("repeats"), F.count("*")).first()
+    assert tuple(full) == (3, 3, 200_000)
+    kept = [mixing.draw(docs, targets, total_tokens=200, seed=s).count() for s in range(3)]  # 2e-4 documents expected
+    assert kept == [0, 0, 0]
+    hits = sum(mixing.draw(docs.limit(1000), targets, total_tokens=10**9 // 2, seed=s).count() for s in range(6))
+    assert hits == 3000
+
+
+def test_tokens_of_long_texts_are_exact():
+    rng = random.Random(1)
+    text = "".join(rng.choice(["word ", "x1 ", " ", "\n", "don't ", "가나 ", "... ", "_a ", "9 8 "]) for _ in range(150_000))
+    enc = tokens._encoding(tokens.TOKENIZER)
+    assert len(text) > 3 * tokens.CHUNK and tokens.count_tokens(text) == len(enc.encode_ordinary(text))
+    blankless = "ab" * 130_000
+    assert tokens.count_tokens(blankless) == len(enc.encode_ordinary(blankless))
+
+
+def test_fills_are_found_whenever_they_exist():
+    rng = random.Random(3)
+    for _ in range(150):
+        have = Counter(rng.randrange(1, 30) for _ in range(rng.randrange(1, 12)))
+        index = packing.Complements(dict(have))
+        for _ in range(6):
+            gap = rng.randrange(1, 70)
+            left = Counter({x: int(n) for x, n in enumerate(index.count) if n})
+            want = any(not Counter(c) - left for size in (1, 2, 3) for c in itertools.combinations_with_replacement(sorted(left), size) if sum(c) == gap)
+            found = index.fill(gap)
+            assert (found is not None) == want
+            if found:
+                assert sum(found) == gap and not Counter(found) - left
+                index.take(found)
+
+
+def test_packing_in_wide_containers_and_kinds_named_twice(spark):
+    kinds = spark.createDataFrame([("w", 300_000), ("w", 50)], "container_kind string, capacity_tokens int")
+    items = spark.createDataFrame([(i, 1 + i % 7) for i in range(3000)] + [(9000, 250_000)], "doc_id bigint, tokens int")
+    got = packing.pack(items, kinds).groupBy("container_id").agg(F.sum("tokens").alias("t"), F.first("room_left").alias("r"), F.count("*").alias("n")).collect()
+    assert {r.t + r.r for r in got} == {300_000, 50}
+    assert sum(r.t for r in got) == 2 * (sum(1 + i % 7 for i in range(3000)) + 250_000)
