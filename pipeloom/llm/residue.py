@@ -51,7 +51,7 @@ def tokens(text: str) -> list[str]:
     """Lower-case words; runs of x become ``xx``, words with digits are left out."""
     out = []
     for t in _TOKEN.findall(text.lower()):
-        if _FILL.match(t):
+        if t[0] == "x" and _FILL.match(t):
             out.append("xx")
         elif t.isalpha() or not any(c.isdigit() for c in t):
             out.append(t)
@@ -114,6 +114,9 @@ def pieces(text: str) -> list[tuple[int, int, list[str]]]:
             continue
         if mark[0] not in _CLOSES and words and j < len(lex) and (lex[j][0] == mark or lex[j][0][-1] in _CLOSES):
             close, at, stop = lex[j]
+            need = 1 if mark in ("$(", "${", "%(") else len(mark)
+            if len(set(close)) == 1 and len(close) > need:  # more marks close what stands around it
+                close, stop = close[:need], at + need
             loose = (" " if lex[i + 1][1] > end else "", " " if at > lex[j - 1][2] else "")
             strong = mark == "«" or len(mark) > 1 and (len(close) > 1 or mark[0] in "$%")
             after = stop < len(text) and text[stop].isalnum()
@@ -198,9 +201,8 @@ def corpus_features(text: str) -> set[str]:
 class Weights:
     """Inverse document frequencies over the corpus, the exemplars' weights, and the inverted index.
 
-    The index lists an exemplar under its heaviest features, as many as together weigh more than what a
-    match may lack; a window without any of them cannot reach ``least``, so none is missed.  The
-    same holds for ``anchors``, single words, each with the pairs it stands in.
+    The index lists an exemplar under its rarest words, as many as weigh, with the pairs they stand in,
+    more than what a match may lack; a sentence without any of them cannot reach ``least``, so none is missed.
     """
 
     def __init__(self, documents: int, found: dict[str, int], coverage: float = 0.8, least: float = 0.42):
@@ -214,23 +216,17 @@ class Weights:
         self.unknown = math.log((documents + 1) / (documents / 100 + 1)) + 1.0
         self.want = [Counter(p) + Counter(pairs(p)) for _, p in EXEMPLARS]
         self.total = [sum(self.idf[f] * n for f, n in w.items()) for w in self.want]
+        self.least = least
         self.index: dict[str, list[int]] = defaultdict(list)
-        self.anchors: set[str] = set()
         for i, (_, p) in enumerate(EXEMPLARS):
+            left = Counter(self.want[i])
             lack = (1 - least) * self.total[i]
-            for f, n in sorted(self.want[i].items(), key=lambda x: (-self.idf[x[0]] * x[1], x[0])):
-                self.index[f].append(i)
-                lack -= self.idf[f] * n
+            for t in sorted(set(p), key=lambda t: (-self.idf[t], t)):
+                self.index[t].append(i)
+                gone = [f for f in left if t in f.split(" ")]
+                lack -= sum(self.idf[f] * left.pop(f) for f in gone)
                 if lack < 0:
                     break
-            left = Counter(self.want[i])
-            lack = (1 - least) * self.total[i]
-            while lack >= 0:
-                with_pairs = {t: sum(self.idf[f] * n for f, n in left.items() if t in f.split(" ")) for t in p}
-                t = max(with_pairs, key=lambda t: (with_pairs[t], t))
-                self.anchors.add(t)
-                lack -= with_pairs[t]
-                left = Counter({f: n for f, n in left.items() if t not in f.split(" ")})
         self.pieces: dict[str, list[int]] = defaultdict(list)
         for i, (_, p) in enumerate(PIECES):
             self.pieces[max(p, key=lambda f: (self.shape_idf[f], f))].append(i)
@@ -239,6 +235,14 @@ class Weights:
         self.about = [(len(p), Counter(t for t in p if t != "slot")) for p in MENTIONS]
         self.about_total = [sum(self.idf[t] * n for t, n in c.items()) for _, c in self.about]
 
+    def within_reach(self, distinct: set[str]) -> list[int]:
+        """Exemplars that a sentence of these words, in the best order, could hold to the degree ``least``."""
+        out = []
+        for i in {i for t in distinct & self.index.keys() for i in self.index[t]}:
+            if sum(self.idf[f] * n for f, n in self.want[i].items() if (f in distinct if " " not in f else distinct.issuperset(f.split(" ")))) >= self.least * self.total[i]:
+                out.append(i)
+        return sorted(out)
+
     def contained(self, exemplar: int, have: Counter) -> float:
         """Share of the exemplar's weight that the features hold."""
         return sum(self.idf[f] * min(n, have[f]) for f, n in self.want[exemplar].items()) / self.total[exemplar]
@@ -293,10 +297,13 @@ def has_slot(sentence: str, w: Weights, mention: float) -> bool:
 
 def phrase_kind(words: list[str], w: Weights, sentence: float) -> str | None:
     """Kind of the message, notice or filler phrase that the sentence holds."""
+    near = w.within_reach(set(words))
+    if not near:
+        return None
     both = pairs(words)
-    have = Counter(words) + Counter(both)
+    have = Counter(words + both)
     covered: dict[str, float] = {}
-    for i in sorted({i for f in have.keys() & w.index.keys() for i in w.index[f]}):
+    for i in near:
         held = w.contained(i, have)
         kind, p = EXEMPLARS[i]
         if held < (w.coverage if len(p) <= 2 else sentence):  # two words apart say little
@@ -308,7 +315,7 @@ def phrase_kind(words: list[str], w: Weights, sentence: float) -> str | None:
         if held >= w.coverage and w.alone[i]:
             inside, size = set(p), len(p) + 1
             for a, t in enumerate(words):
-                if t in inside and w.contained(i, Counter(words[a : a + size]) + Counter(both[a : a + size - 1])) >= w.coverage:
+                if t in inside and w.contained(i, Counter(words[a : a + size] + both[a : a + size - 1])) >= w.coverage:
                     return kind
     return None
 
@@ -332,7 +339,7 @@ def residue_kinds(text: str | None, w: Weights, mention: float = 0.6, sentence:
     if not text:
         return out
     distinct = distinct_tokens(text)
-    anchors = distinct & w.anchors
+    anchors = distinct & w.index.keys()
     strange = {t for t in distinct if (len(t) > 4 or t == "xx") and letters_covered(t) >= 0.7}
     for line in text.splitlines():
         opens = _OPENS.search(line)
@@ -350,7 +357,7 @@ def residue_kinds(text: str | None, w: Weights, mention: float = 0.6, sentence:
                 words = tokens(s)
                 if known and not anchors.isdisjoint(words) and (kind := phrase_kind(words, w, sentence)):
                     out.add(kind)
-                if odd and "filler" not in out and is_meaningless(words, letters):
+                if odd and "filler" not in out and not strange.isdisjoint(words) and is_meaningless(words, letters):
                     out.add("filler")
     return out
 
