@@ -1,13 +1,13 @@
 """Exact vector Top-K and hybrid re-ranking.
 
-A single query orders by distance with a limit, which keeps n rows per task.  Many queries run in
-blocks of a bounded number: each block is broadcast, every candidate partition keeps its own top k per
+A single query orders by distance with a limit, which keeps n rows per task.  Many queries meet the
+candidates of their bucket in tasks of a bounded number of either; each task keeps its own top k per
 query by one matrix product, and only those meet in a shuffle.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
@@ -48,43 +48,57 @@ def ranked(df: DataFrame, *order: Column, k: int, name: str = "rank") -> DataFra
     return top.withColumn(name, F.row_number().over(W.orderBy(*order)))
 
 
-def batch_top_k(candidates: DataFrame, queries: DataFrame, k: int, *, block: int = 1000) -> DataFrame:
+def in_blocks(candidates: DataFrame, queries: DataFrame, run, schema: str, *, rows: int = 20_000) -> DataFrame:
+    """``run(query rows, candidate rows)`` for every pair of parts of a bucket; both frames have id and bucket.
+
+    A bucket of more than ``rows`` candidates or queries stands in parts of about that many, so no task
+    holds more of either, and every query still meets every candidate of its bucket in exactly one task.
+    NULL buckets meet nothing.
+    """
+
+    def in_parts(df: DataFrame, part: str) -> tuple[DataFrame, dict]:
+        big = {r[0]: -(-r[1] // rows) for r in df.groupBy("bucket").count().where(F.col("count") > rows).collect()}  # at most one in ``rows`` of the table
+        return df.withColumn(part, F.pmod(F.xxhash64("id"), _parts(big)).cast("int")), big
+
+    def _parts(big: dict) -> Column:
+        return F.coalesce(F.create_map(*[F.lit(x) for kv in big.items() for x in kv])[F.col("bucket")], F.lit(1)) if big else F.lit(1)
+
+    c, of_c = in_parts(candidates.where("bucket is not null"), "_c")
+    q, of_q = in_parts(queries.where("bucket is not null"), "_q")
+    c = c.withColumn("_q", F.explode(F.sequence(F.lit(0), _parts(of_q) - 1)))
+    q = q.withColumn("_c", F.explode(F.sequence(F.lit(0), _parts(of_c) - 1)))
+    key = ["bucket", "_c", "_q"]
+    c = c.select(*[F.col(x).alias(x) for x in c.columns])  # both frames may come from one table: columns of their own
+    return q.groupBy(*key).cogroup(c.groupBy(*key)).applyInPandas(run, schema)
+
+
+def batch_top_k(candidates: DataFrame, queries: DataFrame, k: int, *, rows: int = 20_000) -> DataFrame:
     """(query_id, id, cosine, rank): per query the ``k`` most similar candidates of the same bucket, itself excluded.
 
-    Both frames are (id, bucket, vec).  Queries are taken ``block`` at a time.
+    Both frames are (id, bucket, vec).
     """
-    spark = candidates.sparkSession
-    out = None
-    rows = queries.select("id", "bucket", "vec").orderBy("id")
-    total = rows.count()
-    for start in range(0, total, block):
-        part = rows.offset(start).limit(block).toPandas()
-        shared = spark.sparkContext.broadcast((part["id"].to_numpy(), part["bucket"].to_numpy(), np.stack(part["vec"].to_numpy())))
-
-        def local(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            ids, buckets, q = shared.value
-            q = q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
-            for pdf in batches:
-                if not len(pdf):
-                    continue
-                c = np.stack(pdf["vec"].to_numpy())
-                c = c / np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-300)
-                names, bucket = pdf["id"].to_numpy(), pdf["bucket"].to_numpy()
-                sims = q @ c.T
-                sims[(buckets[:, None] != bucket[None, :]) | (ids[:, None] == names[None, :])] = -np.inf
-                found = []
-                for i in range(len(ids)):
-                    ok = np.flatnonzero(sims[i] > -np.inf)
+
+    def unit(vectors: pd.Series) -> np.ndarray:
+        m = np.stack(vectors.to_numpy())
+        return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
+
+    def local(asked: pd.DataFrame, pdf: pd.DataFrame) -> pd.DataFrame:
+        found: list[tuple] = []
+        if len(asked) and len(pdf):
+            q, c, ids, names = unit(asked["vec"]), unit(pdf["vec"]), asked["id"].to_numpy(), pdf["id"].to_numpy()
+            for at in range(0, len(q), 256):
+                sims = q[at : at + 256] @ c.T
+                sims[ids[at : at + 256, None] == names[None, :]] = -np.inf
+                for i, row in enumerate(sims):
+                    ok = np.flatnonzero(row > -np.inf)
                     if len(ok) > k:  # all that tie with the k-th stay
-                        ok = ok[sims[i, ok] >= np.partition(sims[i, ok], len(ok) - k)[len(ok) - k] - 1e-12]
-                    found += [(ids[i], names[j], float(sims[i, j])) for j in ok]
-                yield pd.DataFrame(found, columns=["query_id", "id", "cosine"])
-
-        one = candidates.select("id", "bucket", "vec").mapInPandas(local, "query_id string, id string, cosine double")
-        order = W.partitionBy("query_id").orderBy(F.round("cosine", 12).desc(), "id")
-        one = one.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-        out = one if out is None else out.unionByName(one)
-    return out if out is not None else spark.createDataFrame([], "query_id string, id string, cosine double, rank int")
+                        ok = ok[row[ok] >= np.partition(row[ok], len(ok) - k)[len(ok) - k] - 1e-12]
+                    found += [(ids[at + i], names[j], float(row[j])) for j in ok]
+        return pd.DataFrame(found, columns=["query_id", "id", "cosine"])
+
+    each = in_blocks(candidates.select("id", "bucket", "vec"), queries.select("id", "bucket", "vec"), local, "query_id string, id string, cosine double", rows=rows)
+    order = W.partitionBy("query_id").orderBy(F.round("cosine", 12).desc(), "id")
+    return each.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
 def position_score(a: Sequence[Column], b: Sequence[Column], reach: float = 50_000.0) -> Column:

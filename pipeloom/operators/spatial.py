@@ -1,8 +1,9 @@
 """Spatial joins as equi-joins on grid cells.
 
 A box stands in every cell that it (grown by the radius) touches, at the finest of several grid levels
-at which those are few; a point probes the one cell of each level.  A pair meets in exactly one cell,
-so no duplicate has to be removed, and large boxes cost no more cells than small ones.
+at which those are few; a point probes the one cell of each level that occurs.  Two boxes meet at the
+coarser of their levels.  A pair counts in exactly one cell, so no duplicate has to be removed, and large
+boxes cost no more cells than small ones.
 """
 
 from __future__ import annotations
@@ -22,27 +23,34 @@ def _sizes(cell: float) -> list[float]:
     return [cell * FACTOR**i for i in range(LEVELS)]
 
 
-def _box_cells(df: DataFrame, grow: Column | float, cell: float, axes: str) -> DataFrame:
-    """``df`` (min/max columns) with _level and the cells it touches."""
-    lo = {c: F.col("min" + c) - grow for c in axes}
-    hi = {c: F.col("max" + c) + grow for c in axes}
+def _level(lo: dict[str, Column], hi: dict[str, Column], cell: float) -> Column:
+    """The finest level at which a box touches few cells."""
     level = F.lit(LEVELS - 1)
     for i in reversed(range(LEVELS - 1)):
         n = F.lit(1.0)
-        for c in axes:
+        for c in lo:
             n = n * (F.floor(hi[c] / _sizes(cell)[i]) - F.floor(lo[c] / _sizes(cell)[i]) + 1)
         level = F.when(n <= MAX_CELLS, i).otherwise(level)
+    return level
+
+
+def _occurring(df: DataFrame, level: str) -> list[int]:
+    """Levels that occur; at most LEVELS."""
+    return sorted(r[0] for r in df.select(level).distinct().collect())
+
+
+def _in_cells(df: DataFrame, lo: dict[str, Column], hi: dict[str, Column], cell: float) -> DataFrame:
+    """``df`` once for every cell of its ``_level`` that it touches."""
     size = F.lit(cell) * F.pow(F.lit(FACTOR), F.col("_level"))
-    out = df.withColumn("_level", level)
-    for c in axes:
-        out = out.withColumn("_c" + c, F.explode(F.sequence(F.floor(lo[c] / size), F.floor(hi[c] / size))))
-    return out
+    for c in lo:
+        df = df.withColumn("_c" + c, F.explode(F.sequence(F.floor(lo[c] / size), F.floor(hi[c] / size))))
+    return df
 
 
-def _point_cells(df: DataFrame, cell: float, axes: str) -> DataFrame:
+def _point_cells(df: DataFrame, cell: float, axes: str, levels: list[int]) -> DataFrame:
     """``df`` (x, y, z) once per level, with its cell."""
-    levels = F.array(*[F.struct(F.lit(i).alias("_level"), *[F.floor(F.col(c) / s).alias("_c" + c) for c in axes]) for i, s in enumerate(_sizes(cell))])
-    return df.select("*", F.inline(levels))
+    probes = F.array(*[F.struct(F.lit(i).alias("_level"), *[F.floor(F.col(c) / _sizes(cell)[i]).alias("_c" + c) for c in axes]) for i in levels])
+    return df.select("*", F.inline(probes))
 
 
 def radius_join(points: DataFrame, boxes: DataFrame, radius: float, *, cell: float = 1000.0) -> DataFrame:
@@ -51,8 +59,10 @@ def radius_join(points: DataFrame, boxes: DataFrame, radius: float, *, cell: flo
     ``points`` has x, y, z, ``boxes`` has id, kind, minx .. maxz.  Rows with NULL coordinates meet nothing.
     """
     sides = [f"{e}{c}" for e in ("min", "max") for c in "xyz"]
-    b = _box_cells(boxes.select(F.col("id").alias("box_id"), "kind", *sides), radius, cell, "xyz")
-    p = _point_cells(points, cell, "xyz")
+    lo, hi = {c: F.col("min" + c) - radius for c in "xyz"}, {c: F.col("max" + c) + radius for c in "xyz"}
+    b = boxes.select(F.col("id").alias("box_id"), "kind", *sides).withColumn("_level", _level(lo, hi, cell))
+    p = _point_cells(points, cell, "xyz", _occurring(b, "_level") or [0])
+    b = _in_cells(b, lo, hi, cell)
     joined = p.join(b, ["_level", "_cx", "_cy", "_cz"]).drop("_level", "_cx", "_cy", "_cz")
     at = {c: F.col(c) for c in "xyz"}
     box = {s: F.col(s) for s in sides}
@@ -62,16 +72,26 @@ def radius_join(points: DataFrame, boxes: DataFrame, radius: float, *, cell: flo
 def overlap_join(a: DataFrame, b: DataFrame, *, cell: float = 4000.0, axes: str = "xyz", grow: float = 0.0, on: list[str] = ()) -> DataFrame:
     """(a_id, b_id): boxes of ``a`` and ``b`` that overlap on ``axes`` after ``a`` is grown; both have id, min, max (and ``on``).
 
-    A pair may meet in several cells; it counts in the one that holds the lower corner of the overlap.
+    Boxes of any size take part: each stands at its own level, and at the coarser levels of the other
+    side.  A pair may meet in several cells; it counts in the one that holds the lower corner of
+    the overlap.  Boxes with a NULL side meet nothing.
     """
-    size = F.lit(cell)
     sides = [f"{e}{c}" for e in ("min", "max") for c in axes]
-    x = a.select(*on, F.col("id").alias("a_id"), *[(F.col(s) - grow if s[:3] == "min" else F.col(s) + grow).alias("a_" + s) for s in sides])
-    y = b.select(*on, F.col("id").alias("b_id"), *[F.col(s).alias("b_" + s) for s in sides])
-    for c in axes:
-        x = x.withColumn("_c" + c, F.explode(F.sequence(F.floor(F.col(f"a_min{c}") / size), F.floor(F.col(f"a_max{c}") / size))))
-        y = y.withColumn("_c" + c, F.explode(F.sequence(F.floor(F.col(f"b_min{c}") / size), F.floor(F.col(f"b_max{c}") / size))))
-    out = x.join(y, [*on, *["_c" + c for c in axes]])
+    whole = " and ".join(f"{s} is not null" for s in sides)
+    x = a.where(whole).select(*on, F.col("id").alias("a_id"), *[(F.col(s) - grow if s[:3] == "min" else F.col(s) + grow).alias("a_" + s) for s in sides])
+    y = b.where(whole).select(*on, F.col("id").alias("b_id"), *[F.col(s).alias("b_" + s) for s in sides])
+    corner = lambda side, end: {c: F.col(f"{side}_{end}{c}") for c in axes}
+    x = x.withColumn("_la", _level(corner("a", "min"), corner("a", "max"), cell))
+    y = y.withColumn("_lb", _level(corner("b", "min"), corner("b", "max"), cell))
+    of_x, of_y = _occurring(x, "_la"), _occurring(y, "_lb")
+
+    def at_levels(df: DataFrame, own: str, side: str, other: list[int]) -> DataFrame:
+        coarser = F.filter(F.array(*[F.lit(i) for i in other]), lambda i: i > F.col(own)) if other else F.array().cast("array<int>")
+        return _in_cells(df.withColumn("_level", F.explode(F.concat(F.array(own), coarser))), corner(side, "min"), corner(side, "max"), cell)
+
+    x, y = at_levels(x, "_la", "a", of_y), at_levels(y, "_lb", "b", of_x)
+    out = x.join(y, [*on, "_level", *["_c" + c for c in axes]]).where(F.col("_level") == F.greatest("_la", "_lb"))
+    size = F.lit(cell) * F.pow(F.lit(FACTOR), F.col("_level"))
     for c in axes:
         out = out.where((F.col(f"a_min{c}") <= F.col(f"b_max{c}")) & (F.col(f"b_min{c}") <= F.col(f"a_max{c}")))
         out = out.where(F.floor(F.greatest(f"a_min{c}", f"b_min{c}") / size) == F.col("_c" + c))
@@ -125,30 +145,43 @@ def line_cells(x0: float, y0: float, x1: float, y1: float, cell: float = 1000.0,
         out.append(tuple(here))
     if len(out) <= most:
         return out
-    return [out[round(i * (len(out) - 1) / (most - 1))] for i in range(most)]
+    last = len(out) - 1
+    picks = [(2 * last * k + most - 1) // (2 * (most - 1)) for k in range(most)]  # evenly, halves up
+    return [out[k] for k in picks]
 
 
-def components(edges: DataFrame, *, most: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, component): connected components of (a, b) edges; a component is named by its least node.
 
-    Labels fall to the least neighbour's and then to their label's label until nothing changes; each
-    round is written to the shared folder, so a lost executor costs one round.  Minima combine before
-    every shuffle, so a node of any degree is fine.
+    In every round each node points to the neighbour of the lowest rank, ranks being drawn anew, pointers
+    are followed twice, and the edges are drawn between what is pointed at; edges within one node vanish.
+    Their number falls by a factor each round whatever the graph's shape, and each round is written
+    to the shared folder, so a lost executor costs one round.  Minima combine before every shuffle, so a
+    node of any degree is fine.
     """
-    e = edges.select("a", "b").where("a is not null and b is not null and a <> b").distinct()
-    both = cut_lineage(e.union(e.select("b", "a")))
-    labels = cut_lineage(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("_m")).select("node", F.least("node", "_m").alias("component")))
-    for _ in range(most):
-        near = both.join(labels, F.col("b") == F.col("node")).groupBy("a").agg(F.min("component").alias("_near"))
-        low = labels.join(near, F.col("node") == F.col("a"), "left").select("node", F.col("component").alias("_old"), F.least("component", "_near").alias("_new"))
-        jump = labels.select(F.col("node").alias("_n"), F.col("component").alias("_jump"))
-        new = low.join(jump, F.col("_new") == F.col("_n"), "left").select("node", "_old", F.least("_new", "_jump").alias("component"))
-        new = cut_lineage(new)
-        changed = new.where("component <> _old").limit(1).count()
-        labels = new.select("node", "component")
-        if not changed:
-            return labels
-    raise RuntimeError(f"components did not settle in {most} rounds")
+    left = cut_lineage(edges.select("a", "b").where("a is not null and b is not null and a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    labels, turn = None, 0
+    while True:
+        rank = lambda c, turn=turn: F.struct(F.xxhash64(F.lit(turn), c).alias("h"), F.col(c).alias("id"))
+        both = left.unionByName(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        to = both.groupBy("a").agg(F.min(rank("b")).alias("_m")).select(F.col("a").alias("node"), F.least(rank("a"), "_m")["id"].alias("to"))
+        for _ in range(2):
+            ahead = to.select(F.col("node").alias("_n"), F.col("to").alias("_to"))
+            to = to.join(ahead, F.col("to") == F.col("_n")).select("node", F.col("_to").alias("to"))
+        to = cut_lineage(to)
+        if labels is None:
+            labels = to.select("node", F.col("to").alias("root"))
+        else:
+            moved = to.select(F.col("node").alias("root"), "to")
+            labels = cut_lineage(labels.join(moved, "root", "left").select("node", F.coalesce("to", "root").alias("root")))
+        ends = [to.select(F.col("node").alias(c), F.col("to").alias("_" + c)) for c in "ab"]
+        left = left.join(ends[0], "a").join(ends[1], "b").where("_a <> _b").select(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b")).distinct()
+        left = cut_lineage(left)
+        turn += 1
+        if not left.limit(1).count():
+            break
+    least = labels.groupBy("root").agg(F.min("node").alias("component"))
+    return labels.join(least, "root").select("node", "component")
 
 
 def segment_pairs(segments: DataFrame, keys: list[str], *, pitch: float, overlap: float, along: float = 4000.0) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from pipeloom.functions import geometry as G
 from pipeloom.functions import vector as V
 from pipeloom.operators import aggregate as AG
 from pipeloom.operators import spatial as SP
+from pipeloom.operators.search import in_blocks
 from pipeloom.plans import polyline as P
 from pipeloom.plans.oracle_views import over
 from pipeloom.sources import adapter as A
@@ -191,15 +194,20 @@ def r16(spark, root):
     o = A.obstacles(spark, root)
     v = (F.col("maxx") - F.col("minx")) * (F.col("maxy") - F.col("miny")) * (F.col("maxz") - F.col("minz"))
     q = o.select(F.col("id").cast("bigint").alias("id"), v.alias("v"), ((F.col("minx") + F.col("maxx")) / 2).alias("x"), ((F.col("miny") + F.col("maxy")) / 2).alias("y")).where("v >= 1e7")
-    out = None
-    asked = q.where("id % 100 = 0").orderBy("id")
-    for at in range(0, asked.count(), 500):  # the stated queries, in blocks
-        block = F.array(*[F.struct(*[F.lit(r[c]).alias(c) for c in ("id", "v", "x", "y")]) for r in asked.offset(at).limit(500).collect()])
-        score = lambda a: 0.5 * F.least(a["v"], F.col("v")) / F.greatest(a["v"], F.col("v")) + 0.5 * F.greatest(F.lit(0.0), 1 - F.hypot(a["x"] - F.col("x"), a["y"] - F.col("y")) / 30_000)
-        each = q.select(F.col("id").alias("other"), F.inline(F.transform(block, lambda a: F.struct(a["id"].alias("id"), score(a).alias("s"))))).where("id <> other")
-        one = each.groupBy("id").agg(F.round(F.max("s"), 6).alias("best"))
-        out = one if out is None else out.unionByName(one)
-    return out if out is not None else spark.createDataFrame([], "id bigint, best double")
+    q = q.withColumn("bucket", F.lit(0))
+
+    def best(asked: pd.DataFrame, pdf: pd.DataFrame) -> pd.DataFrame:
+        tops = []
+        for i, w, x, y in zip(*(asked[c].to_numpy() for c in ("id", "v", "x", "y"))):
+            near = np.maximum(0.0, 1 - np.hypot(pdf["x"].to_numpy() - x, pdf["y"].to_numpy() - y) / 30_000)
+            s = 0.5 * np.minimum(w, pdf["v"].to_numpy()) / np.maximum(w, pdf["v"].to_numpy()) + 0.5 * near
+            s = s[pdf["id"].to_numpy() != i]
+            if len(s):
+                tops.append((i, s.max()))
+        return pd.DataFrame(tops, columns=["id", "s"])
+
+    each = in_blocks(q, q.where("id % 100 = 0"), best, "id bigint, s double")
+    return each.groupBy("id").agg(F.round(F.max("s"), 6).alias("best"))
 
 
 @query("r19_group_verdict", "member", "SELECT group_vector_id, count(DISTINCT utility) = 1 AS one_utility, median(step_count) >= 2 AS bent, coalesce(stddev_pop(total_length_mm) / nullif(avg(total_length_mm), 0) <= 0.3, false) AS even, count(DISTINCT utility) = 1 AND median(step_count) >= 2 AND coalesce(stddev_pop(total_length_mm) / nullif(avg(total_length_mm), 0) <= 0.3, false) AS accepted FROM member GROUP BY 1")

@@ -29,7 +29,8 @@ def candidates(spark: SparkSession, root: str) -> DataFrame:
 
 
 def _first_group(df: DataFrame):
-    return df.orderBy("group_vector_id").first()
+    """The query of the single searches: the group of the least identifier, read with the few columns they need."""
+    return df.select("group_vector_id", "process_name", "utility_group", "utility", "member_count", "feature_centroid", "context_centroid", *[f"{e}_centroid_{a}" for e in ("start", "end") for a in "xyz"]).orderBy("group_vector_id").first()
 
 
 def t01(spark, root):

@@ -11,6 +11,7 @@ from pipeloom.functions import vector as V
 from pipeloom.operators import spatial as O
 from pipeloom.plans import polyline as P
 from pipeloom.plans.oracle_views import over
+from pipeloom.session import cut_lineage
 from pipeloom.sources import adapter as A
 
 Q: dict = {}
@@ -83,10 +84,9 @@ def anchors(spark, root):
   k AS (SELECT *, row_number() OVER (PARTITION BY guid ORDER BY hint, CASE WHEN d <= 1 THEN 0 ELSE 1 END, round(d, 6), anchor) AS n FROM d WHERE d <= 5000) SELECT guid, anchor, hint = 0 AS by_utility, round(d, 3) AS distance FROM k WHERE n = 1""")
 def j12(spark, root):
     """Best anchor within 5 m of the source: same utility first (ignored if none is there), inside before near, then distance."""
-    u = A.routes(spark, root).select(F.col("guid").alias("id"), F.upper("utility").alias("ru"))
-    a = anchors(spark, root)
-    found = O.radius_join(_ends(spark, root).join(u, "id"), a, 5000.0, cell=4000.0)
-    found = found.join(a.select(F.col("id").alias("box_id"), F.upper("utility").alias("au")).distinct(), "box_id")
+    r = A.routes(spark, root).select(F.col("guid").alias("id"), F.upper("utility").alias("ru"), *[F.col(f"source_pos{c}").alias(c) for c in "xyz"])
+    a = anchors(spark, root).withColumn("kind", F.upper("utility"))  # what is told of a box goes with it
+    found = O.radius_join(r.where("x is not null and y is not null and z is not null"), a, 5000.0, cell=4000.0).withColumnRenamed("kind", "au")
     hint = F.when((F.col("ru") != "") & (F.col("au") != "") & (F.col("au").contains(F.col("ru")) | F.col("ru").contains(F.col("au"))), 0).otherwise(1)
     best = found.groupBy("id").agg(F.min(F.struct(hint.alias("hint"), F.when(F.col("distance") <= 1, 0).otherwise(1).alias("out"), F.round("distance", 6).alias("d"), F.col("box_id").alias("anchor"))).alias("b"))
     return best.select(F.col("id").alias("guid"), "b.anchor", (F.col("b.hint") == 0).alias("by_utility"), F.round("b.d", 3).alias("distance"))
@@ -132,7 +132,7 @@ def j16(spark, root):
 @query("g16_segment_clusters", "leg stub", f"""WITH {_SEG}, ed AS (SELECT a, b FROM pr UNION SELECT b, a FROM pr), rc AS (SELECT a AS node, a AS component FROM ed UNION SELECT ed.b, rc.component FROM rc JOIN ed ON ed.a = rc.node),
   lb AS (SELECT node, min(component) AS component FROM rc GROUP BY node) SELECT component, count(*) AS n_segments, count(DISTINCT guid) AS n_lines, round(max(hi) - min(lo), 3) AS length_mm FROM lb JOIN sg ON sg.id = lb.node GROUP BY component""")
 def g16(spark, root):
-    s = segments(spark, root)
+    s = cut_lineage(segments(spark, root))  # read twice
     pairs = O.segment_pairs(s, ["utility_group", "axis"], pitch=1500.0, overlap=100.0)
     c = O.components(pairs)
     j = c.join(s, F.col("node") == F.col("id"))

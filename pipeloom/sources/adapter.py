@@ -42,15 +42,14 @@ def parse_points(text: Column) -> Column:
     return F.when(~F.exists(points, lambda p: p.isNull() | p["x"].isNull() | p["y"].isNull() | p["z"].isNull()), points)
 
 
-def once(df: DataFrame, *keys: str) -> DataFrame:
-    """One row per key from delivered copies.  Each column is aggregated for itself, so a query that needs two columns reads two."""
-    return df.groupBy(*keys).agg(*[F.max(c).alias(c) for c in df.columns if c not in keys])
+def newest(df: DataFrame, *keys: str, version: str) -> DataFrame:
+    """One row per key: the newest version, so delivered copies collapse and no row mixes two versions.
 
-
-def newest(df: DataFrame, key: str, version: str) -> DataFrame:
-    """Per key and column the value of the newest version; of equal versions the greatest, NULL last."""
-    rest = [c for c in df.columns if c not in (key, version)]
-    return df.groupBy(key).agg(F.max(version).alias(version), *[F.max(F.struct(version, c))[c].alias(c) for c in rest])
+    Each column is aggregated beside the version, so a query that needs two columns reads three.  Rows of
+    one version are taken for copies; should they differ, each column has its greatest value, NULL last.
+    """
+    rest = [c for c in df.columns if c not in (*keys, version)]
+    return df.groupBy(*keys).agg(F.max(version).alias(version), *[F.max(F.struct(version, c))[c].alias(c) for c in rest])
 
 
 def routes(spark: SparkSession, root: str) -> DataFrame:
@@ -63,17 +62,17 @@ def routes(spark: SparkSession, root: str) -> DataFrame:
         norm_text(F.col("bay")).alias("bay"), F.col("project_scope_key").alias("project"), F.col("model_revision_key").alias("revision"),
         "source_posx", "source_posy", "source_posz", "target_posx", "target_posy", "target_posz", "total_length", "bend_count", "deleted_at",
     )
-    return newest(rows.where("guid is not null"), "guid", "loaded_at")
+    return newest(rows.where("guid is not null"), "guid", version="loaded_at")
 
 
 def stubs(spark: SparkSession, root: str) -> DataFrame:
     """One row per stub pattern."""
-    return once(table(spark, root, "tb_route_stub_pattern"), "pattern_id")
+    return newest(table(spark, root, "tb_route_stub_pattern"), "pattern_id", version="created_at")
 
 
 def polylines(spark: SparkSession, root: str) -> DataFrame:
     """(guid, pts): stub points as a polyline of two or more points."""
-    s = once(table(spark, root, "tb_route_stub_pattern").select("pattern_id", "stub_points"), "pattern_id")
+    s = newest(table(spark, root, "tb_route_stub_pattern").select("pattern_id", "stub_points", "created_at"), "pattern_id", version="created_at")
     # the one-row generator keeps the parsing from being copied into the filter and every later expression
     lines = s.select(F.col("pattern_id").alias("guid"), F.explode(F.array(_raw_points(F.col("stub_points")))).alias("pts"))
     return lines.where((F.size("pts") >= 2) & ~F.exists("pts", lambda p: p.isNull() | p["x"].isNull() | p["y"].isNull() | p["z"].isNull()))
@@ -81,7 +80,7 @@ def polylines(spark: SparkSession, root: str) -> DataFrame:
 
 def groups(spark: SparkSession, root: str) -> DataFrame:
     """One row per pipe group, with its vectors."""
-    return once(table(spark, root, "tb_route_utility_group_vector"), "group_vector_id")
+    return newest(table(spark, root, "tb_route_utility_group_vector"), "group_vector_id", version="updated_at")
 
 
 def is_vector(v: Column, dim: int) -> Column:
@@ -92,7 +91,7 @@ def is_vector(v: Column, dim: int) -> Column:
 def members(spark: SparkSession, root: str) -> DataFrame:
     """One row per (group, route, order)."""
     t = table(spark, root, "tb_route_utility_group_member").withColumn("guid", norm_guid(F.col("route_path_guid")))
-    return once(t.where("guid is not null").drop("route_path_guid"), "group_vector_id", "guid", "member_order")
+    return newest(t.where("guid is not null").drop("route_path_guid"), "group_vector_id", "guid", "member_order", version="created_at")
 
 
 def obstacles(spark: SparkSession, root: str) -> DataFrame:

@@ -408,3 +408,67 @@ def test_connectors(spark, tmp_path):
     assert typed.dtypes == [("i", "bigint"), ("d", "double"), ("t", "string")]
     assert sorted(map(tuple, typed.collect()), key=repr) == [(1, 2.5, "x"), (None, None, None)]
     assert [C.spark_type(t) for t in ("VARCHAR(20)", "bigint", None, "NUMERIC(3,2)", "blob")] == ["string", "bigint", "string", "decimal(38,9)", "binary"]
+
+
+def test_boxes_of_any_size_overlap(spark):
+    """Small, large and enormous boxes on either side against every pair looked at."""
+    rng = random.Random(12)
+
+    def boxes(n):
+        out = []
+        for i in range(n):
+            size = rng.choice([50, 300, 5_000, 200_000, 10_000_000])
+            lo = [rng.uniform(-60_000, 60_000) for _ in range(3)]
+            out.append((i, *lo, *[x + rng.uniform(0, size) for x in lo]))
+        return [*out, (900, None, 0.0, 0.0, 1.0, 1.0, 1.0)]
+
+    schema = "id int, minx double, miny double, minz double, maxx double, maxy double, maxz double"
+    a, b = boxes(60), boxes(120)
+    got = SP.overlap_join(spark.createDataFrame(a, schema), spark.createDataFrame(b, schema), grow=100.0).select("a_id", "b_id").collect()
+    want = {(p[0], q[0]) for p in a[:-1] for q in b[:-1] if all(p[1 + c] - 100 <= q[4 + c] and q[1 + c] <= p[4 + c] + 100 for c in range(3))}
+    assert len(got) == len(want) and {tuple(r) for r in got} == want
+    one = SP.overlap_join(spark.createDataFrame([(1, 0.0, 0.0, 0.0, 1e7, 1e7, 1e7)], schema), spark.createDataFrame(b, schema))
+    assert one.count() == sum(all(q[1 + c] <= 1e7 and q[4 + c] >= 0 for c in range(3)) for q in b[:-1])
+    assert SP.overlap_join(spark.createDataFrame([], schema), spark.createDataFrame(b, schema)).count() == 0
+
+
+def test_points_meet_boxes_of_any_size(spark):
+    rng = random.Random(4)
+    points = [(i, *[rng.uniform(0, 50_000) for _ in range(3)]) for i in range(150)] + [(900, None, 1.0, 1.0)]
+    boxes = []
+    for i in range(80):
+        lo = [rng.uniform(0, 50_000) for _ in range(3)]
+        boxes.append((i, "B", *lo, *[x + rng.uniform(0, rng.choice([10, 2_000, 10_000_000])) for x in lo]))
+    sides = ", ".join(f"{e}{c} double" for e in ("min", "max") for c in "xyz")
+    got = SP.radius_join(spark.createDataFrame(points, "id int, x double, y double, z double"), spark.createDataFrame(boxes, f"id int, kind string, {sides}"), 1500.0).collect()
+    want = {(p[0], b[0]) for p in points[:-1] for b in boxes if sum(max(b[2 + c] - p[1 + c], 0, p[1 + c] - b[5 + c]) ** 2 for c in range(3)) <= 1500.0**2}
+    assert len(got) == len(want) and {(r.id, r.box_id) for r in got} == want
+
+
+def test_components_of_chains_stars_and_single_edges(spark):
+    edges = [(f"c{i:04d}", f"c{i + 1:04d}") for i in range(700)] + [("hub", f"s{i:03d}") for i in range(300)] + [("x", "y"), ("y", "x"), ("x", "x"), (None, "z")]
+    got = {r.node: r.component for r in SP.components(spark.createDataFrame(edges, "a string, b string")).collect()}
+    want = {f"c{i:04d}": "c0000" for i in range(701)} | {n: "hub" for n in ["hub", *[f"s{i:03d}" for i in range(300)]]} | {"x": "x", "y": "x"}
+    assert got == want
+    assert SP.components(spark.createDataFrame([], "a string, b string")).count() == 0
+
+
+def test_block_search_meets_every_candidate(spark):
+    rng = np.random.default_rng(3)
+    data = [(f"i{i:03d}", "hot" if i % 3 else None if i % 2 else "b", [float(x) for x in rng.normal(size=4)]) for i in range(300)]
+    df = spark.createDataFrame(data, "id string, bucket string, vec array<double>")
+    got = search.batch_top_k(df, df.where("id like '%7'"), 4, rows=30).collect()
+    per = {}
+    for r in sorted(got, key=lambda r: (r.query_id, r["rank"])):
+        per.setdefault(r.query_id, []).append(r.id)
+    for q, b, v in data:
+        if q.endswith("7") and b:
+            cos = lambda w: float(np.dot(v, w) / np.linalg.norm(v) / np.linalg.norm(w))  # noqa: B023, E731
+            assert per.pop(q) == [x[1] for x in sorted((-round(cos(w), 12), i) for i, c, w in data if c == b and i != q)[:4]]
+    assert not per
+
+
+def test_no_row_mixes_two_versions(spark):
+    rows = [("a", 2, "x", None), ("a", 1, "z", "z"), ("a", 2, "x", None), ("b", None, "q", "r")]
+    df = spark.createDataFrame(rows, "k string, v int, p string, q string")
+    assert sorted(map(tuple, adapter.newest(df, "k", version="v").select("k", "v", "p", "q").collect())) == [("a", 2, "x", None), ("b", None, "q", "r")]
