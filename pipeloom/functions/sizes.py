@@ -9,6 +9,21 @@ from pyspark.sql import functions as F
 LADDER = (6, 8, 10, 15, 20, 25, 32, 40, 50, 65, 80, 90, 100, 125, 150, 175, 200, 225, 250, 300, 350, 400, 450, 500, 550, 600)
 
 
+#: Outer diameter in mm of a nominal size (A).
+OUTER_MM = {
+    15: 21.7, 20: 27.2, 25: 34.0, 32: 42.7, 40: 48.6, 50: 60.5, 65: 76.3, 80: 89.1, 100: 114.3, 125: 139.8, 150: 165.2, 200: 216.3, 250: 267.4, 300: 318.5,
+}
+
+
+def outer_diameter(c: Column) -> Column:
+    """Outer diameter in mm: a nominal size (A) by the table, 1.3 times the number beside it; inches; else the number; 0 without one."""
+    t = F.upper(F.trim(c))
+    v = F.regexp_extract(t, r"(\d+(?:\.\d+)?)", 1).try_cast("double")
+    table = F.create_map(*[F.lit(x) for kv in OUTER_MM.items() for x in kv])
+    known = F.coalesce(table[F.floor(v).cast("int")], v * 1.3)
+    return F.when(v.isNull(), 0.0).when(t.contains("A"), known).when(t.contains("INCH") | t.contains('"'), v * 25.4).otherwise(v)
+
+
 def normalize_size(c: Column) -> Column:
     """'0050 A' -> '50A'; blank -> 'UNKNOWN'; what does not match passes, upper-cased and without blanks."""
     t = F.upper(F.regexp_replace(F.coalesce(c, F.lit("")), r"\s+", ""))

@@ -36,3 +36,30 @@ def profile(df: DataFrame, vectors: list[str] = ()) -> DataFrame:
     one = df.agg(*aggs)
     items = [F.struct(F.lit(c).alias("column"), F.lit(t).alias("type"), F.col(f"n_{c}").alias("nulls"), F.col(f"b_{c}").alias("blanks"), F.col("_n").alias("n_rows")) for c, t in df.dtypes]
     return one.select(F.inline(F.array(*items)))
+
+
+PROMOTABLE = ("READY", "ACTIVE", "RETIRED")
+
+
+def promote(manifest: DataFrame, wanted: DataFrame, project: str = "project_scope_key", revision: str = "model_revision_key", status: str = "status") -> DataFrame:
+    """``manifest`` with the ``new_status`` of every revision once the ``wanted`` (project, revision) ones are promoted.
+
+    A promotable revision becomes ACTIVE and the project's other ACTIVE one RETIRED, so at most one is
+    ACTIVE if one is wanted; ``refused`` marks a wanted revision that is not promotable, whose
+    project then stays as it is.  Rows with a NULL key keep their status.
+    """
+    asked = wanted.select(project, revision).distinct().withColumn("_asked", F.lit(True))
+    m = manifest.join(asked, [project, revision], "left").withColumn("_asked", F.coalesce("_asked", F.lit(False)))
+    good = F.col("_asked") & F.coalesce(F.col(status).isin(*PROMOTABLE), F.lit(False))
+    moved = m.where(good).select(project).distinct().withColumn("_moved", F.lit(True))
+    m = m.join(moved, project, "left")
+    new = F.when(good, "ACTIVE").when(F.col("_moved") & (F.col(status) == "ACTIVE"), "RETIRED").otherwise(F.col(status))
+    return m.select(*manifest.columns, new.alias("new_status"), (F.col("_asked") & ~good).alias("refused"))
+
+
+def retire(manifest: DataFrame, wanted: DataFrame, *, force: bool = False, project: str = "project_scope_key", revision: str = "model_revision_key", status: str = "status") -> DataFrame:
+    """``manifest`` with the ``new_status`` once the ``wanted`` revisions are retired; an ACTIVE one is ``refused`` without ``force``."""
+    asked = wanted.select(project, revision).distinct().withColumn("_asked", F.lit(True))
+    m = manifest.join(asked, [project, revision], "left").withColumn("_asked", F.coalesce("_asked", F.lit(False)))
+    refused = F.col("_asked") & F.coalesce(F.col(status) == "ACTIVE", F.lit(False)) & F.lit(not force)
+    return m.select(*manifest.columns, F.when(F.col("_asked") & ~refused, "RETIRED").otherwise(F.col(status)).alias("new_status"), refused.alias("refused"))

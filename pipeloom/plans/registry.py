@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pipeloom.plans import design, polyline, reference_checks, relational, reports, search, sequential, spatial
+from pipeloom.plans import complete, design, polyline, reference_checks, relational, reports, search, sequential, spatial
 
-MODULES = [reference_checks, search, polyline, relational, spatial, sequential, design, reports]
+MODULES = [reference_checks, search, polyline, relational, spatial, sequential, design, reports, complete]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
