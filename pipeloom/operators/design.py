@@ -71,8 +71,9 @@ def feature_vectors(lines: DataFrame) -> DataFrame:
     a, b = F.col("pts")[0], F.element_at("pts", -1)
     d = d.select("guid", "legs", *[(b[c] - a[c]).alias("d" + c) for c in "xyz"], G.total_length(F.col("legs")).alias("total"), G.ortho_bends(G.runs(F.col("legs"))).alias("bends"), G.unit_directions(G.resampled(F.col("legs"), 3)).alias("thirds"))
     chord = F.sqrt(F.col("dx") ** 2 + F.col("dy") ** 2 + F.col("dz") ** 2)
-    top = d.agg(*[F.max(F.abs("d" + c)).alias("m" + c) for c in "xyz"], F.max(chord).alias("mc"), F.max("total").alias("ml")).first()
-    safe = lambda c: F.lit(top[c] if top[c] else 1.0)
+    top = d.agg(*[F.max(F.abs("d" + c)).alias("m" + c) for c in "xyz"], F.max(chord).alias("mc"), F.max("total").alias("ml"))
+    d = d.crossJoin(F.broadcast(top))  # one row
+    safe = lambda c: F.when(F.col(c) != 0, F.col(c)).otherwise(1.0)
     first, last = F.col("legs")[0], F.element_at("legs", -1)
     u = lambda x, s=1.0: [F.when(x["len"] > 1e-9, s * x["d" + c] / x["len"]).otherwise(0.0) for c in "xyz"]
     share = lambda k: F.aggregate(F.filter("legs", lambda x: F.floor(x["axis"] / 2) == k), F.lit(0.0), lambda s, x: s + x["len"]) / F.col("total")

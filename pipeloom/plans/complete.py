@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import numpy as np
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pipeloom.functions import geometry as G
 from pipeloom.functions import sizes as S
+from pipeloom.functions import vector as V
 from pipeloom.operators import aggregate as AG
 from pipeloom.operators import design as D
+from pipeloom.operators import sequential as SQ
 from pipeloom.operators import spatial as SP
 from pipeloom.operators import tables as K
 from pipeloom.plans import polyline as P
+from pipeloom.plans import sequential as PS
 from pipeloom.plans.oracle_views import over
 from pipeloom.sources import adapter as A
 from pipeloom.sources.tables import table
@@ -235,8 +240,6 @@ def _(spark, root):
 @query("l08_content_drift", "grp member", f"""WITH c AS (SELECT group_vector_id AS g, {_CONTENT} AS h FROM member GROUP BY 1), o AS (SELECT group_vector_id AS g, {_CONTENT} AS h FROM member WHERE created_at < TIMESTAMP '{_SINCE}' GROUP BY 1)
   SELECT grp.group_vector_id, coalesce(abs(sqrt(list_dot_product(feature_centroid, feature_centroid)) - 1) <= 1e-5, false) AS unit_norm, o.h IS DISTINCT FROM c.h AS drift FROM grp LEFT JOIN c ON c.g = grp.group_vector_id LEFT JOIN o ON o.g = grp.group_vector_id""")
 def _(spark, root):
-    from pipeloom.functions import vector as V
-
     now, then = _contents(spark, root)
     g = A.groups(spark, root).select("group_vector_id", F.coalesce(F.abs(V.norm(F.col("feature_centroid")) - 1) <= 1e-5, F.lit(False)).alias("unit_norm"))
     j = g.join(now.select("group_vector_id", F.col("fingerprint").alias("a")), "group_vector_id", "left").join(then.select("group_vector_id", F.col("fingerprint").alias("b")), "group_vector_id", "left")
@@ -311,4 +314,167 @@ def _(spark, root):
     return m.join(rules, "size").drop("size")
 
 
+# ---- group search: order and evaluation
+
+
+#: How members' sizes are compared, weights of position, pattern, feature and context, share of the arrangement.
+PROFILES = {
+    "Baseline-PreferExact": ("PreferExact", (1, 1, 1, 1), 0.2), "Size-ExactOnly": ("ExactOnly", (1, 1, 1, 1), 0.2), "Size-Ignore": ("Ignore", (1, 1, 1, 1), 0.2),
+    "Context-Off": ("PreferExact", (1, 1, 1, 0), 0.2), "Arrangement-Off": ("PreferExact", (1, 1, 1, 1), 0.0),
+}
+
+
+def _rung(size: str) -> int | None:
+    digits = "".join(c for c in size if c.isdigit() or c == ".")
+    try:
+        v = float(digits)
+    except ValueError:
+        return None
+    return min(range(len(S.LADDER)), key=lambda i: (abs(S.LADDER[i] - v), i))
+
+
+def _size_score(a: str, b: str, mode: str) -> float | None:
+    """Factor of a pair; None where the two may not be paired."""
+    if mode == "Ignore" or a == b:
+        return 1.0
+    if mode == "ExactOnly":
+        return None
+    x, y = _rung(a), _rung(b)
+    return 0.0 if x is None or y is None else {0: 1.0, 1: 0.8, 2: 0.5}.get(abs(x - y), 0.0)
+
+
+def _searched(row) -> list[dict]:
+    """A query group against a candidate group under every profile."""
+    a, b = list(row["qs"]), list(row["ms"])
+    arrangement = SQ.arrangement_similarity(PS._figures(a), PS._figures(b))
+    move = lambda m: np.array([m[f"end_{c}"] - m[f"start_{c}"] for c in "xyz"], dtype=float)
+    position = [[max(0.0, 1 - float(np.linalg.norm(move(x) - move(y))) / 50_000) for y in b] for x in a]
+    pattern = [[1 - PS._edit(x["pattern"], y["pattern"]) / max(len(x["pattern"]), len(y["pattern"])) if x["pattern"] and y["pattern"] else None for y in b] for x in a]
+    out = []
+    for name, (mode, weights, share) in PROFILES.items():
+        score = np.full((len(a), len(b)), -1.0)
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                size = _size_score(x["size"], y["size"], mode)
+                parts = [(w, v) for w, v in zip(weights, (position[i][j], pattern[i][j], row["feature"], row["context"])) if w and v is not None and v == v]
+                if size is not None and parts:
+                    score[i, j] = sum(w * min(1.0, max(0.0, v)) for w, v in parts) / sum(w for w, _ in parts) * size
+        chosen = [score[i, j] for i, j in enumerate(SQ.best_assignment(np.maximum(score, 0.0))) if j >= 0 and score[i, j] >= 0]
+        total, coverage, mean = SQ.group_score(chosen, len(a), len(b), arrangement, 1 - share, share)
+        out.append({"profile": name, "query_id": row["query_id"], "group_vector_id": row["group_vector_id"], "distance": 1 - row["feature"], "score": float(total), "coverage": float(coverage), "matched": float(mean), "arrangement": float(arrangement)})
+    return out
+
+
+def group_search(groups: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
+    """The ``k`` best other groups of a query's utility group and utility under every profile, ranked by similarity, mean of the
+    matched members, arrangement (all falling), vector distance and identifier (rising)."""
+    q = queries.select("utility_group", "utility", F.col("group_vector_id").alias("query_id"), F.col("ms").alias("qs"), F.col("feature_centroid").alias("qf"), F.col("ctx").alias("qx"))
+    pairs = groups.join(q, ["utility_group", "utility"]).where("group_vector_id <> query_id")
+    pairs = pairs.select("query_id", "group_vector_id", "qs", "ms", V.cosine(F.col("feature_centroid"), F.col("qf")).alias("feature"), F.when(F.col("ctx").isNotNull() & F.col("qx").isNotNull(), V.cosine(F.col("ctx"), F.col("qx"))).alias("context"))
+    found = SQ.map_rows(pairs, _searched, "profile string, query_id string, group_vector_id string, distance double, score double, coverage double, matched double, arrangement double")
+    down = lambda c: F.round(c, 9).desc()
+    order = W.partitionBy("profile", "query_id").orderBy(down("score"), down("matched"), down("arrangement"), F.round("distance", 9), "group_vector_id")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def _searchable(spark, root):
+    from pipeloom.plans.search import valid_groups
+
+    g = valid_groups(spark, root).select("group_vector_id", "utility_group", "utility", "feature_centroid", F.when(A.is_vector(F.col("context_centroid"), 30), F.col("context_centroid")).alias("ctx"))
+    return g.join(PS._members(spark, root), "group_vector_id")
+
+
+@query("r12_group_top_k")
+def _(spark, root):
+    """The five best groups for every group whose identifier is divisible by 100, with the whole chain of ties."""
+    g = _searchable(spark, root)
+    top = group_search(g, g.where(PS.hundredth("group_vector_id"))).where("profile = 'Baseline-PreferExact'")
+    return top.select("query_id", "rank", "group_vector_id", *[R6(c).alias(c) for c in ("score", "coverage", "matched", "arrangement")])
+
+
+@query("r22_group_profiles")
+def _(spark, root):
+    """Five search profiles over the groups whose identifier is divisible by 100: results, means of the first place, how often it is the
+    baseline's, whether a repeated run over rows in another order gives the same first places, and whether no group finds itself."""
+    g = _searchable(spark, root)
+    asked = PS.hundredth("group_vector_id")
+    found = group_search(g, g.where(asked))
+    again = group_search(g.repartition(7, "utility"), g.where(asked)).where("rank = 1 and profile = 'Baseline-PreferExact'").select("query_id", F.col("group_vector_id").alias("again"))
+    base = found.where("rank = 1 and profile = 'Baseline-PreferExact'").select("query_id", F.col("group_vector_id").alias("base"))
+    returned = found.groupBy("profile", "query_id").agg(F.count("*").alias("n"), F.bool_and(F.col("query_id") != F.col("group_vector_id")).alias("others"))
+    first = found.where("rank = 1").drop("rank").join(returned, ["profile", "query_id"]).join(base, "query_id").join(again, "query_id")
+    return first.groupBy("profile").agg(
+        F.count("*").alias("queries"), R6(F.avg("n")).alias("mean_returned"), *[R6(F.avg(c)).alias(f"mean_top1_{c}") for c in ("score", "coverage", "arrangement")],
+        R6(F.avg((F.col("group_vector_id") == F.col("base")).cast("int"))).alias("baseline_kept"), F.bool_and(F.col("base") == F.col("again")).alias("deterministic"), F.bool_and("others").alias("self_excluded"))
+
+
+_AXIS2 = "CASE WHEN abs({0}x) >= abs({0}y) AND abs({0}x) >= abs({0}z) THEN CASE WHEN {0}x >= 0 THEN 0 ELSE 1 END WHEN abs({0}y) >= abs({0}z) THEN CASE WHEN {0}y >= 0 THEN 2 ELSE 3 END ELSE CASE WHEN {0}z >= 0 THEN 4 ELSE 5 END END"
+_EVALUATED = f"""v AS (SELECT g.group_vector_id AS id, g.utility, g.feature_centroid AS f, x.context_centroid AS c, {_AXIS2.format('g.d')} AS a1, g.member_count AS mc, p.pattern AS pt FROM
+    (SELECT *, end_centroid_x - start_centroid_x AS dx, end_centroid_y - start_centroid_y AS dy, end_centroid_z - start_centroid_z AS dz FROM gvec) g LEFT JOIN gctx x ON x.group_vector_id = g.group_vector_id LEFT JOIN
+    (SELECT group_vector_id, arg_min(pattern, (-n, pattern)) AS pattern FROM (SELECT group_vector_id, upper(regexp_replace(coalesce(direction_pattern, ''), '[^RHDrhd]', '', 'g')) AS pattern, count(*) AS n FROM member GROUP BY ALL) GROUP BY 1) p ON p.group_vector_id = g.group_vector_id),
+  n AS (SELECT q.id AS q, o.id AS o, q.c IS NOT NULL AS qc, o.c IS NOT NULL AS oc, q.a1 = o.a1 AS axis, coalesce(q.pt = o.pt AND q.pt <> '', false) AS pattern, q.a1 = o.a1 AND coalesce(q.pt = o.pt AND q.pt <> '', false) AS both_, list_cosine_similarity(q.f, o.f) AS fs, CASE WHEN q.c IS NOT NULL AND o.c IS NOT NULL THEN list_cosine_similarity(q.c, o.c) END AS cs
+    FROM v q JOIN v o ON o.utility = q.utility AND o.id <> q.id WHERE CAST('0x' || right(q.id, 12) AS BIGINT) % 100 = 0),
+  k AS (SELECT n.*, w, row_number() OVER (PARTITION BY q, w ORDER BY round((1 - w) * fs + w * greatest(0, coalesce(cs, 0)), 9) DESC, o) AS r FROM n, (VALUES (0.0), (0.1), (0.2), (0.3)) t(w)),
+  m AS (SELECT CAST(w AS DOUBLE) AS weight, count(DISTINCT q) AS queries, avg(CAST(axis AS INT)) FILTER (r = 1) AS axis_at1, avg(CAST(pattern AS INT)) FILTER (r = 1) AS pattern_at1, avg(CAST(both_ AS INT)) FILTER (r = 1) AS both_at1, avg(CAST(axis AS INT)) FILTER (r <= 5) AS axis_at5, avg(CAST(pattern AS INT)) FILTER (r <= 5) AS pattern_at5,
+    avg(fs) FILTER (r = 1) AS mean_feature, avg(cs) FILTER (r = 1) AS mean_context, avg(CAST(qc AS INT)) FILTER (r = 1) AS query_context, avg(CAST(oc AS INT)) FILTER (r <= 5) AS candidate_context FROM k GROUP BY w)"""
+_FIGURES = ["axis_at1", "pattern_at1", "both_at1", "axis_at5", "pattern_at5", "mean_feature", "mean_context", "query_context", "candidate_context"]
+
+
+def _evaluated(spark, root):
+    """Ranking figures at four context weights over the groups whose identifier is divisible by 100."""
+    from pipeloom.plans.search import valid_groups
+
+    move = [F.col(f"end_centroid_{c}") - F.col(f"start_centroid_{c}") for c in "xyz"]
+    letters = F.upper(F.regexp_replace(F.coalesce("direction_pattern", F.lit("")), "[^RHDrhd]", ""))
+    usual = A.members(spark, root).groupBy("group_vector_id", letters.alias("p")).agg(F.count("*").alias("n")).groupBy("group_vector_id").agg(F.min(F.struct((-F.col("n")).alias("n"), "p"))["p"].alias("pt"))
+    g = valid_groups(spark, root).select("group_vector_id", "utility", F.col("feature_centroid").alias("f"), F.when(A.is_vector(F.col("context_centroid"), 30), F.col("context_centroid")).alias("c"), G.axis_snap(*move).alias("a1")).join(usual, "group_vector_id", "left")
+    q = g.where(PS.hundredth("group_vector_id")).select("utility", *[F.col(c).alias("q_" + c) for c in ("group_vector_id", "f", "c", "a1", "pt")])
+    j = g.join(q, "utility").where("group_vector_id <> q_group_vector_id")
+    pattern = F.coalesce((F.col("pt") == F.col("q_pt")) & (F.col("pt") != ""), F.lit(False))
+    axis = F.col("a1") == F.col("q_a1")
+    j = j.select(
+        F.col("q_group_vector_id").alias("q"), F.col("group_vector_id").alias("o"), F.col("q_c").isNotNull().alias("qc"), F.col("c").isNotNull().alias("oc"), axis.alias("axis"), pattern.alias("pattern"), (axis & pattern).alias("both"),
+        V.cosine(F.col("f"), F.col("q_f")).alias("fs"), F.when(F.col("c").isNotNull() & F.col("q_c").isNotNull(), V.cosine(F.col("c"), F.col("q_c"))).alias("cs"), F.explode(F.array(*[F.lit(w) for w in (0.0, 0.1, 0.2, 0.3)])).alias("weight"))
+    score = F.round((1 - F.col("weight")) * F.col("fs") + F.col("weight") * F.greatest(F.lit(0.0), F.coalesce("cs", F.lit(0.0))), 9)
+    k = j.withColumn("r", F.row_number().over(W.partitionBy("q", "weight").orderBy(score.desc(), "o"))).where("r <= 5")
+    at = lambda c, n: F.avg(F.when(F.col("r") <= n, F.col(c).cast("double")))
+    return k.groupBy("weight").agg(
+        F.count_distinct("q").alias("queries"), at("axis", 1).alias("axis_at1"), at("pattern", 1).alias("pattern_at1"), at("both", 1).alias("both_at1"), at("axis", 5).alias("axis_at5"), at("pattern", 5).alias("pattern_at5"),
+        at("fs", 1).alias("mean_feature"), at("cs", 1).alias("mean_context"), at("qc", 1).alias("query_context"), at("oc", 5).alias("candidate_context"))
+
+
+@query("a22_axis_pattern_metrics", "gvec gctx member", f"WITH {_EVALUATED} SELECT weight, queries, {', '.join(f'round({c}, 6) AS {c}' for c in _FIGURES)} FROM m")
+def _(spark, root):
+    """Share of right axes, patterns and both at the first and the first five places, and mean cosines, for four context weights."""
+    return _evaluated(spark, root).select("weight", "queries", *[R6(c).alias(c) for c in _FIGURES])
+
+
+#: The gate's thresholds.
+GATE = {"query_context": 0.9, "candidate_context": 0.5, "both_axes_gain": 0.0, "pattern_gain": 0.0, "feature_drop": 0.05, "queries": 10, "weight": 0.1}
+
+
+@query("r20_seven_checks", "gvec gctx member", f"""WITH {_EVALUATED}, p AS (SELECT a.*, b.both_at1 AS b0, b.pattern_at1 AS p0, b.mean_feature AS f0, (SELECT arg_max(weight, (round(both_at1, 9), round(pattern_at1, 9), -weight)) FROM m) AS best FROM m a, m b WHERE a.weight = 0.1 AND b.weight = 0.0),
+  c AS (SELECT coalesce(query_context >= {GATE['query_context']}, false) AS query_context, coalesce(candidate_context >= {GATE['candidate_context']}, false) AS candidate_context, coalesce((both_at1 - b0) * 100 >= {GATE['both_axes_gain']}, false) AS both_axes_gain, coalesce((pattern_at1 - p0) * 100 >= {GATE['pattern_gain']}, false) AS pattern_gain,
+    coalesce(f0 - mean_feature <= {GATE['feature_drop']}, false) AS feature_drop, coalesce(queries >= {GATE['queries']}, false) AS queries, coalesce(abs(best - {GATE['weight']}) < 1e-12, false) AS weight FROM p)
+  SELECT *, CASE WHEN {' AND '.join(GATE)} THEN 'PASS' ELSE 'BLOCK' END AS status FROM c""")
+def _(spark, root):
+    """The deployment gate: seven checks of the present weight against weight 0; a missing figure fails."""
+    m = _evaluated(spark, root)
+    nine = lambda c: F.round(c, 9)
+    of = lambda c, w: F.max(F.when(F.col("weight") == w, F.col(c)))
+    r = m.agg(
+        *[of(c, GATE["weight"]).alias(c) for c in ("query_context", "candidate_context", "both_at1", "pattern_at1", "mean_feature", "queries")], *[of(c, 0.0).alias(c + "_0") for c in ("both_at1", "pattern_at1", "mean_feature")],
+        F.max(F.struct(nine("both_at1").alias("b"), nine("pattern_at1").alias("p"), (-F.col("weight")).alias("w")))["w"].alias("best"))
+    sure = lambda c: F.coalesce(c, F.lit(False))
+    checks = {
+        "query_context": F.col("query_context") >= GATE["query_context"], "candidate_context": F.col("candidate_context") >= GATE["candidate_context"],
+        "both_axes_gain": (F.col("both_at1") - F.col("both_at1_0")) * 100 >= GATE["both_axes_gain"], "pattern_gain": (F.col("pattern_at1") - F.col("pattern_at1_0")) * 100 >= GATE["pattern_gain"],
+        "feature_drop": F.col("mean_feature_0") - F.col("mean_feature") <= GATE["feature_drop"], "queries": F.col("queries") >= GATE["queries"], "weight": F.abs(-F.col("best") - GATE["weight"]) < 1e-12,
+    }
+    everything = F.lit(True)
+    for c in checks.values():
+        everything = everything & sure(c)
+    return r.select(*[sure(c).alias(k) for k, c in checks.items()], F.when(everything, "PASS").otherwise("BLOCK").alias("status"))
+
+
 QUERIES = Q
