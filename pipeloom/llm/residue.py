@@ -174,7 +174,9 @@ MENTIONS = [tokens(p) for p in _passages(E.MENTIONS)]
 WORDS = frozenset(t for _, p in EXEMPLARS for t in p) | frozenset(t for p in MENTIONS for t in p)
 PAIRS = frozenset(f for _, p in EXEMPLARS for f in pairs(p))
 SHAPES = frozenset(f for _, p in PIECES for f in p)
-_PAIR_STARTS = frozenset(f.split(" ")[0] for f in PAIRS)
+_FOLLOWING: dict[str, set[str]] = defaultdict(set)
+for _pair in PAIRS:
+    _FOLLOWING[_pair.split(" ")[0]].add(_pair.split(" ")[1])
 OF_KIND = {k: frozenset(t for kind, p in EXEMPLARS if kind == k for t in p) for k in ("error", "scripts", "filler")}
 _LETTERS = frozenset(f" {w} "[i : i + 3] for w in tokens(E.NONSENSE) for i in range(len(w)))
 
@@ -190,7 +192,9 @@ def corpus_features(text: str) -> set[str]:
     """The exemplars' features that the text holds."""
     words = tokens(text)
     out = set(words) & WORDS
-    out.update(f for a, b in zip(words, words[1:]) if a in _PAIR_STARTS and (f := f"{a} {b}") in PAIRS)
+    if not out.isdisjoint(_FOLLOWING):
+        after = _FOLLOWING.get
+        out.update(f"{a} {b}" for a, b in zip(words, words[1:]) if (ends := after(a)) and b in ends)
     if _OPENS.search(text):
         for line in text.splitlines():
             if _OPENS.search(line):
@@ -341,12 +345,17 @@ def residue_kinds(text: str | None, w: Weights, mention: float = 0.6, sentence:
     distinct = distinct_tokens(text)
     anchors = distinct & w.index.keys()
     strange = {t for t in distinct if (len(t) > 4 or t == "xx") and letters_covered(t) >= 0.7}
-    for line in text.splitlines():
+    wanted = [t for t in anchors | strange if t != "xx"]
+    for line, low in zip(text.splitlines(), text.lower().splitlines()):
         opens = _OPENS.search(line)
-        here = set(_TOKEN.findall(line.lower())) if anchors or strange else ()
-        if "xx" in strange and any(_FILL.match(t) for t in here):
-            here.add("xx")
-        known, odd = bool(anchors) and not anchors.isdisjoint(here), bool(strange) and not strange.isdisjoint(here)
+        known = odd = False
+        if ("xx" in distinct and "xx" in low) or any(t in low for t in wanted):
+            here = set(_TOKEN.findall(low))
+            if any(t[0] == "x" and _FILL.match(t) for t in here):
+                here.add("xx")
+            known = not anchors.isdisjoint(here)
+            # meaningless passages have three covered words, different ones unless they are runs of x
+            odd = not strange.isdisjoint(here) and ("xx" in here or sum(letters_covered(t) >= 0.7 for t in here) >= 3)
         if not (opens or known or odd):
             continue  # nothing in this line can be residue
         bare = _QUOTED.sub(" ¤ ", line) if _QUOTE.search(line) else line
