@@ -350,12 +350,13 @@ def residue_kinds(text: str | None, w: Weights, mention: float = 0.6, sentence:
         opens = _OPENS.search(line)
         known = odd = False
         if ("xx" in distinct and "xx" in low) or any(t in low for t in wanted):
-            here = set(_TOKEN.findall(low))
+            every = _TOKEN.findall(low)
+            here = set(every)
             if any(t[0] == "x" and _FILL.match(t) for t in here):
                 here.add("xx")
             known = not anchors.isdisjoint(here)
-            # meaningless passages have three covered words, different ones unless they are runs of x
-            odd = not strange.isdisjoint(here) and ("xx" in here or sum(letters_covered(t) >= 0.7 for t in here) >= 3)
+            # a meaningless passage has three covered words or more
+            odd = not strange.isdisjoint(here) and ("xx" in here or sum(letters_covered(t) >= 0.7 for t in every) >= 3)
         if not (opens or known or odd):
             continue  # nothing in this line can be residue
         bare = _QUOTED.sub(" ¤ ", line) if _QUOTE.search(line) else line
