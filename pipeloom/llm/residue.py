@@ -190,7 +190,7 @@ def letters_covered(word: str) -> float:
 
 def corpus_features(text: str) -> set[str]:
     """The exemplars' features that the text holds."""
-    words = tokens(text)
+    words = _TOKEN.findall(text.lower())
     out = set(words) & WORDS
     if not out.isdisjoint(_FOLLOWING):
         after = _FOLLOWING.get
