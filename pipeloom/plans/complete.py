@@ -453,7 +453,7 @@ def _(spark, root):
 GATE = {"query_context": 0.9, "candidate_context": 0.5, "both_axes_gain": 0.0, "pattern_gain": 0.0, "feature_drop": 0.05, "queries": 10, "weight": 0.1}
 
 
-@query("r20_seven_checks", "gvec gctx member", f"""WITH {_EVALUATED}, p AS (SELECT a.*, b.both_at1 AS b0, b.pattern_at1 AS p0, b.mean_feature AS f0, (SELECT arg_max(weight, (round(both_at1, 9), round(pattern_at1, 9), -weight)) FROM m) AS best FROM m a, m b WHERE a.weight = 0.1 AND b.weight = 0.0),
+@query("r20_seven_checks", "gvec gctx member", f"""WITH {_EVALUATED}, p AS (SELECT {', '.join(f'max({c}) FILTER (weight = 0.1) AS {c}' for c in ('query_context', 'candidate_context', 'both_at1', 'pattern_at1', 'mean_feature', 'queries'))}, max(both_at1) FILTER (weight = 0.0) AS b0, max(pattern_at1) FILTER (weight = 0.0) AS p0, max(mean_feature) FILTER (weight = 0.0) AS f0, arg_max(weight, (round(both_at1, 9), round(pattern_at1, 9), -weight)) AS best FROM m),
   c AS (SELECT coalesce(query_context >= {GATE['query_context']}, false) AS query_context, coalesce(candidate_context >= {GATE['candidate_context']}, false) AS candidate_context, coalesce((both_at1 - b0) * 100 >= {GATE['both_axes_gain']}, false) AS both_axes_gain, coalesce((pattern_at1 - p0) * 100 >= {GATE['pattern_gain']}, false) AS pattern_gain,
     coalesce(f0 - mean_feature <= {GATE['feature_drop']}, false) AS feature_drop, coalesce(queries >= {GATE['queries']}, false) AS queries, coalesce(abs(best - {GATE['weight']}) < 1e-12, false) AS weight FROM p)
   SELECT *, CASE WHEN {' AND '.join(GATE)} THEN 'PASS' ELSE 'BLOCK' END AS status FROM c""")
