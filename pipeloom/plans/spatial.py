@@ -44,9 +44,15 @@ def j07(spark, root):
 
 @query("j08_nearest_merged", "route obstacle", f"WITH d AS (SELECT r.guid AS id, o.id AS box_id, {_SRC} AS d1, {_DIST.format('target_posx', 'target_posy', 'target_posz')} AS d2 FROM route r JOIN obstacle o ON {_SRC} <= 2000 + 1e-9 OR {_DIST.format('target_posx', 'target_posy', 'target_posz')} <= 2000 + 1e-9) SELECT id, box_id, round(least(d1, d2), 4) AS distance FROM d")
 def j08(spark, root):
-    o = A.obstacles(spark, root)
-    both = O.radius_join(_ends(spark, root), o, 2000.0).unionByName(O.radius_join(_ends(spark, root, "target"), o, 2000.0))
-    return both.groupBy("id", "box_id").agg(F.round(F.min("distance"), 4).alias("distance"))
+    """A box near both ends is told of by the source, so every pair comes up once and none has to be merged."""
+    o, near = A.obstacles(spark, root), 2000.0
+    r = A.routes(spark, root).select(F.col("guid").alias("id"), *[F.col(f"{e}_pos{c}").alias(e[0] + c) for e in ("source", "target") for c in "xyz"])
+    ends = r.select("id", F.inline(F.array(*[F.struct(*[F.col(a + c).alias(c) for c in "xyz"], *[F.col(b + c).alias("o" + c) for c in "xyz"], F.lit(a == "s").alias("first")) for a, b in ("st", "ts")])))
+    f = O.radius_join(ends.where("x is not null and y is not null and z is not null"), o, near)
+    other = G.box_distance({c: F.col("o" + c) for c in "xyz"}, {m + c: F.col(m + c) for m in ("min", "max") for c in "xyz"})
+    other = F.when(F.col("ox").isNotNull() & F.col("oy").isNotNull() & F.col("oz").isNotNull(), other)
+    f = f.withColumn("other", other).where(F.col("first") | F.col("other").isNull() | (F.col("other") > near + 1e-9))
+    return f.select("id", "box_id", F.round(F.least("distance", "other"), 4).alias("distance"))
 
 
 @query("j10_route_box_overlap", "route obstacle", "SELECT r.guid AS a_id, o.id AS b_id FROM route r JOIN obstacle o ON least(source_posx, target_posx) - 300 <= maxx AND greatest(source_posx, target_posx) + 300 >= minx AND least(source_posy, target_posy) - 300 <= maxy AND greatest(source_posy, target_posy) + 300 >= miny AND least(source_posz, target_posz) - 300 <= maxz AND greatest(source_posz, target_posz) + 300 >= minz")

@@ -23,8 +23,11 @@ from pipeloom.operators import search
 from pipeloom.operators import sequential as Q
 from pipeloom.operators import spatial as SP
 from pipeloom.operators import tables as K
+from pipeloom.plans import registry
 from pipeloom.sources import adapter
 
+plans = registry.queries()
+
 
 def one(spark, *columns):
     return spark.range(1).select(*[c.alias(f"c{i}") for i, c in enumerate(columns)]).first()
@@ -493,3 +496,19 @@ def test_points_meet_boxes_of_their_own_key(spark):
     got = [(r.id, r.box_id) for r in SP.radius_join(points, boxes, 100.0, on=["k"]).collect()]
     want = {(i, j) for i in range(40) for j in range(40) if "ab"[i % 2] == "abc"[j % 3] and max(j * 60 - i * 50, 0, i * 50 - j * 60 - 5) <= 100}
     assert len(got) == len(want) and set(got) == want
+
+
+SF = "/root/testdata/sf0.001"
+
+
+def _shuffled_after_join(df) -> bool:
+    plan = _steps(df)
+    return "Exchange" in plan[: plan.index("SortMergeJoin")] if "SortMergeJoin" in plan else True
+
+
+def test_pairs_of_both_ends_are_not_merged(spark):
+    """Every pair of a route and a box comes up once, so the pairs don't move."""
+    df = plans["j08_nearest_merged"](spark, SF)
+    assert not _shuffled_after_join(df)
+    got = df.collect()
+    assert len(got) == len({(r.id, r.box_id) for r in got})
