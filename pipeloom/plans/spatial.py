@@ -85,17 +85,37 @@ def anchors(spark, root):
     return s.distinct()
 
 
+#: Millimetres in which an anchor is sought; the last one is the limit.
+WIDER = (200.0, 1000.0, 5000.0)
+
+
 @query("j12_nearest_anchor", "route stub", f"""WITH {_ANCHORS}, d AS (SELECT r.guid, an.id AS anchor, CASE WHEN r.utility <> '' AND an.utility <> '' AND (contains(upper(an.utility), upper(r.utility)) OR contains(upper(r.utility), upper(an.utility))) THEN 0 ELSE 1 END AS hint,
     sqrt(power(greatest(lo[1] - source_posx, 0, source_posx - hi[1]), 2) + power(greatest(lo[2] - source_posy, 0, source_posy - hi[2]), 2) + power(greatest(lo[3] - source_posz, 0, source_posz - hi[3]), 2)) AS d FROM route r, an),
   k AS (SELECT *, row_number() OVER (PARTITION BY guid ORDER BY hint, CASE WHEN d <= 1 THEN 0 ELSE 1 END, round(d, 6), anchor) AS n FROM d WHERE d <= 5000) SELECT guid, anchor, hint = 0 AS by_utility, round(d, 3) AS distance FROM k WHERE n = 1""")
 def j12(spark, root):
-    """Best anchor within 5 m of the source: same utility first (ignored if none is there), inside before near, then distance."""
+    """Best anchor within 5 m of the source: same utility first (ignored if none is there), inside before near, then distance.
+
+    Anchors of a utility that goes with the route's are sought first, then, for routes without one within 5 m, any anchor.
+    """
     r = A.routes(spark, root).select(F.col("guid").alias("id"), F.upper("utility").alias("ru"), *[F.col(f"source_pos{c}").alias(c) for c in "xyz"])
-    a = anchors(spark, root).withColumn("kind", F.upper("utility"))  # what is told of a box goes with it
-    found = O.radius_join(r.where("x is not null and y is not null and z is not null"), a, 5000.0, cell=4000.0).withColumnRenamed("kind", "au")
-    hint = F.when((F.col("ru") != "") & (F.col("au") != "") & (F.col("au").contains(F.col("ru")) | F.col("ru").contains(F.col("au"))), 0).otherwise(1)
-    best = found.groupBy("id").agg(F.min(F.struct(hint.alias("hint"), F.when(F.col("distance") <= 1, 0).otherwise(1).alias("out"), F.round("distance", 6).alias("d"), F.col("box_id").alias("anchor"))).alias("b"))
-    return best.select(F.col("id").alias("guid"), "b.anchor", (F.col("b.hint") == 0).alias("by_utility"), F.round("b.d", 3).alias("distance"))
+    r = cut_lineage(r.where("x is not null and y is not null and z is not null"))
+    a = cut_lineage(anchors(spark, root).withColumn("au", F.upper("utility")).drop("utility"))
+    alike = (F.col("ru") != "") & (F.col("au") != "") & (F.col("au").contains(F.col("ru")) | F.col("ru").contains(F.col("au")))
+    both = cut_lineage(r.select("ru").distinct().join(a.select("au").distinct(), alike))
+
+    def best(hint: int):
+        def f(asked, radius):
+            asked = asked.join(both, "ru") if hint == 0 else asked
+            found = O.radius_join(asked, a, radius, cell=2 * radius, on=["au"] if hint == 0 else [])
+            d = F.round("distance", 6)
+            per = found.groupBy("id").agg(F.min(F.struct(F.when(F.col("distance") <= 1, 0).otherwise(1).alias("out"), d.alias("d"), F.col("box_id").alias("anchor"))).alias("b"))
+            return per.select("id", F.struct("b.anchor", F.lit(hint == 0).alias("by_utility"), "b.d").alias("b"), F.col("b.d").alias("reach"))
+
+        return f
+
+    hinted = O.in_rounds(r, WIDER, best(0))
+    any_ = O.in_rounds(cut_lineage(r.join(hinted.select("id"), "id", "left_anti")), WIDER, best(1))
+    return hinted.unionByName(any_).select(F.col("id").alias("guid"), "b.anchor", "b.by_utility", F.round("b.d", 3).alias("distance"))
 
 
 @query("j14_route_matching", "route stub vertex", """WITH e AS (SELECT guid, arg_min([x, y, z], i) AS a, arg_max([x, y, z], i) AS b FROM vertex GROUP BY guid),
@@ -103,11 +123,19 @@ def j12(spark, root):
   k AS (SELECT *, row_number() OVER (PARTITION BY task ORDER BY round(least(f, v), 6), line) AS n FROM d) SELECT task, line, round(least(f, v), 3) AS cost, v < f AS reversed FROM k WHERE n = 1""")
 def j14(spark, root):
     """The line with an end nearest to the route's source, under 3 m; reversed if that end is its tail."""
-    lines = A.polylines(spark, root)
-    end = lambda i, tag: lines.select(F.col("guid").alias("id"), F.lit(tag).alias("kind"), *[F.element_at("pts", i)[c].alias("min" + c) for c in "xyz"], *[F.element_at("pts", i)[c].alias("max" + c) for c in "xyz"])
-    found = O.radius_join(_ends(spark, root), end(1, "head").unionByName(end(-1, "tail")), 3000.0).where("distance < 3000")
-    per = found.groupBy("id", "box_id").agg(F.min("distance").alias("d"), F.min(F.when(F.col("kind") == "head", F.col("distance"))).alias("f"), F.min(F.when(F.col("kind") == "tail", F.col("distance"))).alias("v"))
-    best = per.groupBy("id").agg(F.min(F.struct(F.round("d", 6).alias("d"), F.col("box_id").alias("line"), F.coalesce(F.col("v") < F.coalesce("f", F.lit(1e9)), F.lit(False)).alias("r"))).alias("b"))
+    end = lambda i: F.element_at("pts", i)
+    lines = A.polylines(spark, root).select(F.col("guid").alias("line"), end(1).alias("h"), end(-1).alias("l"))
+    tips = cut_lineage(lines.select("line", "h", "l", F.explode(F.array("h", "l")).alias("p")).select("line", "h", "l", "p.x", "p.y", "p.z"))
+    asked = cut_lineage(_ends(spark, root))
+
+    def best(asked, radius):
+        # the few that ask are what stands in several cells
+        found = O.radius_join(tips, asked.select("id", F.lit("").alias("kind"), *[F.col(c).alias(m + c) for m in ("min", "max") for c in "xyz"]), radius, cell=4 * radius).where("distance < 3000")
+        f, v = (G.box_distance(F.col(p), {m + c: F.col(m + c) for m in ("min", "max") for c in "xyz"}) for p in "hl")
+        b = F.min(F.struct(F.round(F.least(f, v), 6).alias("d"), "line", (v < f).alias("r"))).alias("b")
+        return found.groupBy(F.col("box_id").alias("id")).agg(b).select("id", "b", F.col("b.d").alias("reach"))
+
+    best = O.in_rounds(asked, (300.0, 1000.0, 3000.0), best)
     return best.select(F.col("id").alias("task"), "b.line", F.round("b.d", 3).alias("cost"), F.col("b.r").alias("reversed"))
 
 

@@ -512,3 +512,32 @@ def test_pairs_of_both_ends_are_not_merged(spark):
     assert not _shuffled_after_join(df)
     got = df.collect()
     assert len(got) == len({(r.id, r.box_id) for r in got})
+
+
+def test_rounds_ask_again_only_what_may_be_nearer_outside(spark):
+    """The nearest of points by widening rounds against all of them; most rows end with the first round."""
+    rng = random.Random(9)
+    asked = [(i, *[rng.uniform(0, 3000) for _ in range(3)]) for i in range(60)] + [(99, 90_000.0, 0.0, 0.0)]
+    there = [(f"t{i:03d}", *[rng.uniform(0, 3000) for _ in range(3)]) for i in range(200)]
+    a, t = spark.createDataFrame(asked, "id int, x double, y double, z double"), spark.createDataFrame(there, "line string, x double, y double, z double")
+    counts = []
+
+    def best(rows, radius):
+        counts.append(rows.count())
+        found = SP.radius_join(t, rows.select("id", F.lit("").alias("kind"), *[F.col(c).alias(m + c) for m in ("min", "max") for c in "xyz"]), radius)
+        return found.groupBy(F.col("box_id").alias("id")).agg(F.min(F.struct("distance", "line")).alias("b")).select("id", "b", F.col("b.distance").alias("reach"))
+
+    got = {r.id: r.b.line for r in SP.in_rounds(a, (400.0, 1500.0, 6000.0), best).collect()}
+    assert got == {p[0]: min(there, key=lambda q: (math.dist(p[1:], q[1:]), q[0]))[0] for p in asked[:-1]}
+    assert counts[0] == 61 and 1 <= counts[-1] < 30
+
+
+def test_matches_are_sought_in_rounds(spark, monkeypatch):
+    """The three searches for the best of many ask in rounds, so that not all pairs within their limits arise."""
+    asked = []
+    whole = SP.in_rounds
+    monkeypatch.setattr(SP, "in_rounds", lambda rows, radii, best: asked.append(radii) or whole(rows, radii, best))
+    for name, limit in (("j12_nearest_anchor", 5000.0), ("j14_route_matching", 3000.0), ("j14_both_ends", 6000.0)):
+        asked.clear()
+        plans[name](spark, SF).collect()
+        assert asked and all(len(r) > 2 and r[-1] == limit for r in asked)
