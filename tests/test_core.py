@@ -549,3 +549,8 @@ def test_relations_are_hashed_where_they_arise(spark):
     steps = [x.strip(" :+-*()0123456789").split("(")[0].split()[0] for x in plan.splitlines() if any(n in x for n in ("HashAggregate", "SortAggregate", "SortMergeJoin"))]
     first = max(k for k, n in enumerate(steps) if n == "SortMergeJoin" and k and steps[k - 1].endswith("Aggregate"))
     assert steps[first - 1] == "HashAggregate"
+
+
+def test_sides_are_told_where_the_pair_arises(spark):
+    df = plans["g24_bypass_side"](spark, SF)
+    assert "Broadcast" not in _steps(df) and not _shuffled_after_join(df)
