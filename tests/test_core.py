@@ -554,3 +554,48 @@ def test_relations_are_hashed_where_they_arise(spark):
 def test_sides_are_told_where_the_pair_arises(spark):
     df = plans["g24_bypass_side"](spark, SF)
     assert "Broadcast" not in _steps(df) and not _shuffled_after_join(df)
+
+
+def test_cell_searches_take_equal_costs_in_one_go(monkeypatch):
+    """Ways of the least cost, as the search by single states finds them, without taking single states."""
+    rng = random.Random(7)
+    cases = []
+    for _ in range(40):
+        a = tuple(rng.uniform(0, 10_000) for _ in range(3))
+        b = tuple(v + rng.uniform(-4000, 4000) for v in a)
+        box = RT.region((a, b), 1500.0)
+        boxes = [(*p, *[v + w for v, w in zip(p, rng.choice([(300, 300, 6000), (400, 1500, 400)]))]) for p in ([rng.uniform(box[i] - 500, box[i + 3]) for i in range(3)] for _ in range(60))]
+        cases.append((a, b, boxes, box))
+    monkeypatch.setattr(RT, "_finish", lambda path, goal: RT.without_collinear(path))
+    slow = [RT.voxel_route(a, b, boxes, avoid=frozenset({(10**9, 0, 0)}), within=box) for a, b, boxes, box in cases]
+    monkeypatch.setattr(RT.heapq, "heappush", None)
+    cost = lambda path: round(RT.length(path) + 1000 * RT.bends(path), 3)
+    for (a, b, boxes, box), (code, path, _) in zip(cases, slow):
+        got = RT.voxel_route(a, b, boxes, within=box)
+        assert got[0] == code and cost(got[1]) == cost(path) and RT.free(got[1], boxes) and RT.within(got[1], RT.region((a, b), 1500.0))
+    assert sum(code == "OK" for code, _, _ in slow) > 10
+
+
+def test_boxes_move_once_per_tile(spark):
+    """Tasks of a tile share their boxes, each task still has all that its own grown box touches."""
+    from pipeloom.plans import sequential as PS
+
+    rows = PS.tasks(spark, SF, 1500.0).collect()
+    assert sum(len(r.ts) for r in rows) == PS._ends(spark, SF).count()
+    known = np.array([[r[s] for s in ("id", *PS._SIDES)] for r in adapter.obstacles(spark, SF).collect()], dtype=float)
+    for r in rows:
+        sides = PS._sides({"boxes": np.array([list(b) for b in r.boxes], dtype=float) if r.boxes else None})
+        for t in r.ts:
+            box = RT.region(PS._task(t), 1500.0)
+            assert PS._touched(sides, box) == PS._touched(known[np.argsort(known[:, 0]), 1:], box)
+
+
+def test_long_lists_come_as_matrices():
+    import pyarrow as pa
+
+    kind = pa.list_(pa.struct([("id", pa.int64()), ("x", pa.float64())]))
+    batch = pa.RecordBatch.from_arrays([pa.array(["a", "b", "c"]), pa.array([[{"id": 1, "x": 2.0}, {"id": 3, "x": 4.0}], None, []], kind)], ["k", "boxes"])
+    seen = []
+    run = Q.per_arrow_row(lambda row: seen.append(row) or [{"k": row["k"]}] * 2, pa.schema([("k", pa.string())]), rows=2)
+    assert [x for b in run(iter([batch])) for x in b.column("k").to_pylist()] == list("aabbcc")
+    assert isinstance(seen[0]["boxes"], np.ndarray) and seen[0]["boxes"].tolist() == [[1, 2], [3, 4]] and seen[1]["boxes"] is None and len(seen[2]["boxes"]) == 0
