@@ -599,3 +599,9 @@ def test_long_lists_come_as_matrices():
     run = Q.per_arrow_row(lambda row: seen.append(row) or [{"k": row["k"]}] * 2, pa.schema([("k", pa.string())]), rows=2)
     assert [x for b in run(iter([batch])) for x in b.column("k").to_pylist()] == list("aabbcc")
     assert isinstance(seen[0]["boxes"], np.ndarray) and seen[0]["boxes"].tolist() == [[1, 2], [3, 4]] and seen[1]["boxes"] is None and len(seen[2]["boxes"]) == 0
+
+
+def test_equal_bend_sequences_are_compared_once(spark):
+    """Matches of sequences are brought to the lines by a join; no pair of lines goes through Python."""
+    plan = _steps(plans["r08_bend_match"](spark, SF))
+    assert "SortMergeJoin" in plan and "InPandas" not in plan
