@@ -605,3 +605,17 @@ def test_equal_bend_sequences_are_compared_once(spark):
     """Matches of sequences are brought to the lines by a join; no pair of lines goes through Python."""
     plan = _steps(plans["r08_bend_match"](spark, SF))
     assert "SortMergeJoin" in plan and "InPandas" not in plan
+
+
+def test_groups_are_prepared_once_and_compared_as_before(spark):
+    """Groups meet in blocks, so each is worked out once a block; edit distances and arrangements are those of the plain forms."""
+    from pipeloom.plans import sequential as PS
+
+    assert [PS._edit(a, b) for a, b in (("", "RH"), ("RHD", ""), ("RHDR", "RHDR"), ("RHRH", "HRHR"), ("R" * 70, "H" * 65 + "R"))] == [2, 3, 0, 2, 69]
+    rng = random.Random(3)
+    member = lambda: {f"{e}_{c}": rng.uniform(0, 9000) for e in ("start", "end") for c in "xyz"} | {"length": rng.uniform(0, 9000), "steps": 3.0, "pattern": "RH", "size": "50A"}
+    a, b = ([member() for _ in range(n)] for n in (3, 5))
+    assert PS.Group(a).arrangement(PS.Group(b)) == pytest.approx(Q.arrangement_similarity(PS._figures(a), PS._figures(b)))
+    for name in ("r11_group_score", "r12_group_top_k"):
+        plan = _steps(plans[name](spark, SF))
+        assert "FlatMapCoGroupsInPandas" in plan and "MapInPandas" not in plan
