@@ -619,3 +619,12 @@ def test_groups_are_prepared_once_and_compared_as_before(spark):
     for name in ("r11_group_score", "r12_group_top_k"):
         plan = _steps(plans[name](spark, SF))
         assert "FlatMapCoGroupsInPandas" in plan and "MapInPandas" not in plan
+
+
+def test_samples_within_a_limit(spark):
+    rng = random.Random(6)
+    rows = [([*(rng.uniform(0, 4000) for _ in range(6))], [rng.uniform(0, 3500) for _ in range(3)], rng.uniform(100, 1500)) for _ in range(300)]
+    df = spark.createDataFrame([((*e[:3],), (*e[3:],), (*p, *[v + 400 for v in p]), d) for e, p, d in rows], "a struct<x:double,y:double,z:double>, b struct<x:double,y:double,z:double>, o struct<minx:double,miny:double,minz:double,maxx:double,maxy:double,maxz:double>, d double")
+    box = {m + c: F.col(f"o.{m}{c}") for m in ("min", "max") for c in "xyz"}
+    got = df.select(G.samples_within(F.col("a"), F.col("b"), box, F.col("d")).alias("got"), (G.sampled_box_distance(F.col("a"), F.col("b"), box) <= F.col("d")).alias("want")).collect()
+    assert all(r.got == r.want for r in got) and {r.want for r in got} == {True, False}
