@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pipeloom.functions import geometry as G
 from pipeloom.functions import vector as V
 from pipeloom.operators import spatial as O
+from pipeloom.operators.order import numbered
 from pipeloom.plans import polyline as P
 from pipeloom.plans.oracle_views import over
 from pipeloom.session import cut_lineage
@@ -207,7 +208,7 @@ def g26(spark, root):
 def _cells(batches):
     for pdf in batches:
         cells = [[{"cx": a, "cy": b} for a, b in O.line_cells(*row)] for row in zip(pdf["ax"], pdf["ay"], pdf["bx"], pdf["by"])]
-        yield pd.DataFrame({"id": pdf["id"], "cells": pd.Series(cells, dtype=object)})
+        yield pdf.drop(columns=["ax", "ay", "bx", "by"]).assign(cells=pd.Series(cells, dtype=object, index=pdf.index))
 
 
 def route_cells(spark, root):
@@ -224,23 +225,58 @@ def g27(spark, root):
 
 @query("e02_context_vectors")
 def e02(spark, root):
-    """The whole 30-number context vector of every route, scaled to length 1."""
-    obstacles = A.obstacles(spark, root)
-    s, t = _ends(spark, root), _ends(spark, root, "target")
-    r = s.select("id", *[F.col(c).alias("s" + c) for c in "xyz"]).join(t.select("id", *[F.col(c).alias("t" + c) for c in "xyz"]), "id")
-    cells = route_cells(spark, root).join(r.select("id", ((F.col("sz") + F.col("tz")) / 2).alias("z")), "id")
-    probes = cells.select("id", ((F.col("cx") + 0.5) * 1000).alias("x"), ((F.col("cy") + 0.5) * 1000).alias("y"), "z", "cx", "cy")
-    hit = O.radius_join(probes, obstacles.where("kind = 'COLUMN'"), 600.0).groupBy("id").agg(F.count_distinct("cx", "cy").alias("columns"))
-    beams = obstacles.where("kind = 'BEAM'")
-    near = O.radius_join(s, beams, 1000.0).unionByName(O.radius_join(t, beams, 1000.0)).select("id", "box_id", *[(F.col("max" + c) - F.col("min" + c)).alias("w" + c) for c in "xyz"]).distinct()
+    """The whole 30-number context vector of every route, scaled to length 1.
+
+    Both ends meet the boxes in one join, whose pairs are hashed where they arise to a row an end: distance and the box's place
+    in the order of ties make one number.  A cell of the chord needs but one column.
+    """
+    near, mid = 500.0, 1000.0
+    r = A.routes(spark, root).select(F.col("guid").alias("id"), *[F.col(f"{e}_pos{c}").alias(e[0] + c) for e in ("source", "target") for c in "xyz"])
+    # what moves has a route's number, which is shorter than its identifier
+    r = cut_lineage(r.dropna(subset=[e + c for e in "st" for c in "xyz"]).withColumn("n", F.monotonically_increasing_id()))
+    corners = [m + c for m in ("min", "max") for c in "xyz"]
+    o = numbered(A.obstacles(spark, root).select((F.col("kind") == "COLUMN").alias("kind"), "id", *corners), *corners, F.col("id"), name="id")
+    ends = r.select("n", F.inline(F.array(*[F.struct(*[F.col(a + c).alias(c) for c in "xyz"], *[F.col(b + c).alias("o" + c) for c in "xyz"], F.lit(a == "s").alias("first")) for a, b in ("st", "ts")])))
+    f = O.radius_join(ends, o, mid, cell=5000.0)  # boxes stand in few cells, as they are many and what moves counts as disk
+    bits = max(1, o.count().bit_length())
+    # below 1024 mm a distance has ten bits before the point
+    key = F.shiftleft((F.col("distance") * float(2 ** (53 - bits))).cast("bigint"), bits).bitwiseOR(F.col("box_id"))
+    column, close = F.col("kind"), F.col("distance") <= near + 1e-9
+    other = G.box_distance({c: F.col("o" + c) for c in "xyz"}, {s: F.col(s) for s in corners})
+    once = ~column & (F.col("first") | (other > mid + 1e-9))  # a beam near both ends counts once
+    wx, wy, wz = (F.col("max" + c) - F.col("min" + c) for c in "xyz")
+    along_x = (wx >= wy) & (wx >= wz)
+    per = f.groupBy("n", "first").agg(
+        *[F.count_if(k & c).alias(n) for n, k, c in (("cn", column, close), ("cm", column, ~close), ("bn", ~column, close), ("bm", ~column, ~close), ("ax", once, along_x), ("ay", once, ~along_x & (wy >= wz)))],
+        F.min(F.when(column, key)).alias("ck"), F.min(F.when(~column, key)).alias("bk"))
+    per = per.withColumns({k: F.col(k).bitwiseAND(F.lit(2**bits - 1)) for k in ("ck", "bk")})
+    for k in ("ck", "bk"):
+        per = per.join(o.select(F.col("id").alias(k), F.struct(*corners).alias(k + "_box")), k, "left")
+    figures = F.struct("cn", "cm", "bn", "bm", "ck_box", "bk_box")
+    per = per.groupBy("n").agg(F.max(F.when(F.col("first"), figures)).alias("s"), F.max(F.when(~F.col("first"), figures)).alias("t"), F.sum("ax").alias("ax"), F.sum("ay").alias("ay"))
+
+    def end(e):
+        v, p = [], {c: F.col(e + c) for c in "xyz"}
+        for k, scale in (("c", 8.0), ("b", 5.0)):
+            box, count = F.col(e)[k + "k_box"], lambda i, k=k: F.coalesce(F.col(e)[k + i], F.lit(0))
+            d = G.box_distance(p, {s: box[s] for s in corners})
+            v += [F.least(F.lit(1.0), count("n") / scale), F.least(F.lit(1.0), count("m") / scale)]
+            v += [F.coalesce(F.when(d > 1e-9, (F.greatest(box["min" + c], F.least(p[c], box["max" + c])) - p[c]) / d), F.lit(0.0)) for c in "xyz"]
+            v += [F.when(box.isNull(), 0.0).otherwise(F.least(F.lit(1.0), d / mid))]
+        return [*v, F.when(F.col(e).isNull(), 1.0).otherwise(0.0)]
+
+    chords = r.select("n", ((F.col("sz") + F.col("tz")) / 2).alias("z"), F.col("sx").alias("ax"), F.col("sy").alias("ay"), F.col("tx").alias("bx"), F.col("ty").alias("by"))
+    cells = chords.mapInPandas(_cells, "n bigint, z double, cells array<struct<cx:bigint,cy:bigint>>").select("n", "z", F.inline("cells"))
+    probes = cells.select("n", ((F.col("cx") + 0.5) * 1000).alias("x"), ((F.col("cy") + 0.5) * 1000).alias("y"), "z")
+    hit = O.near_some(probes, o.where("kind"), F.lit(600.0 + 1e-9), 600.0).groupBy("n").agg(F.count_distinct("x", "y").alias("columns"))
+    u = r.join(per, "n", "left").join(hit, "n", "left")
     dx, dy = F.col("tx") - F.col("sx"), F.col("ty") - F.col("sy")
     level = F.hypot(dx, dy)
-    axis = F.when((F.col("wx") >= F.col("wy")) & (F.col("wx") >= F.col("wz")), F.abs(dx) / level).when(F.col("wy") >= F.col("wz"), F.abs(dy) / level)
-    par = near.join(r, "id").where(level > 1e-9).groupBy("id").agg(F.avg(axis).alias("parallel"))
-    u = O.endpoint_vectors(s, obstacles).withColumnRenamed("v", "vs").join(O.endpoint_vectors(t, obstacles).withColumnRenamed("v", "vt"), "id").join(r, "id").join(hit, "id", "left").join(par, "id", "left")
+    beams = F.col("ax") + F.col("ay")
+    parallel = F.coalesce(F.when((level > 1e-9) & (beams > 0), (F.col("ax") * (F.abs(dx) / level) + F.col("ay") * (F.abs(dy) / level)) / beams), F.lit(0.0))
     z = lambda c: F.bround(F.col(c) / 500.0, 0) * 500.0
-    tier = F.array(F.when(z("sz") != z("tz"), F.lit(1 / 3)).otherwise(0.0), F.least(F.lit(1.0), F.coalesce("columns", F.lit(0)) / 15.0), F.coalesce("parallel", F.lit(0.0)), F.when(level > 1e-9, dx / level).otherwise(0.0))
-    v = V.unit(F.concat("vs", "vt", tier), 1e-12)
+    tier = F.array(F.when(z("sz") != z("tz"), F.lit(1 / 3)).otherwise(0.0), F.least(F.lit(1.0), F.coalesce("columns", F.lit(0)) / 15.0), parallel, F.when(level > 1e-9, dx / level).otherwise(0.0))
+    v = V.unit(F.concat(F.array(*end("s"), *end("t")), tier), 1e-12)
     return u.select("id", F.transform(v, lambda x: F.round(x, 6)).alias("context_vector"))
 
 

@@ -641,3 +641,15 @@ def test_one_near_box_is_enough(spark):
     got = {r.id for r in SP.near_some(p, o, F.col("lim"), 1000.0).collect()}
     assert got == {i for i, *q, d in pts[:-1] if any(gap(q, b) <= d for b in boxes)} and 20 < len(got) < 180
     assert "LeftSemi" in _steps(plans["g35_bend_causes"](spark, SF))
+
+
+def test_context_pairs_are_hashed_where_they_arise(spark):
+    """Both ends meet the boxes in one join whose pairs are hashed at once; the ends' parts equal those of the plain operator."""
+    plan = _steps(plans["e02_context_vectors"](spark, SF))
+    assert "LeftSemi" in plan
+    ends = {r.id: r.v for r in SP.endpoint_vectors(adapter.routes(spark, SF).select(F.col("guid").alias("id"), *[F.col(f"source_pos{c}").alias(c) for c in "xyz"]).dropna(), adapter.obstacles(spark, SF)).collect()}
+    got = plans["e02_context_vectors"](spark, SF).collect()
+    assert len(got) > 50
+    for r in got:
+        v, w = np.array(r.context_vector[:13]), np.array(ends[r.id])
+        assert np.allclose(v * np.linalg.norm(w), w * np.linalg.norm(v), atol=1e-4)
