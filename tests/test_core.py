@@ -653,3 +653,9 @@ def test_context_pairs_are_hashed_where_they_arise(spark):
     for r in got:
         v, w = np.array(r.context_vector[:13]), np.array(ends[r.id])
         assert np.allclose(v * np.linalg.norm(w), w * np.linalg.norm(v), atol=1e-4)
+
+
+def test_coverage_takes_the_vectors_from_hashed_pairs(spark):
+    assert "LeftSemi" in _steps(plans["e04_context_coverage"](spark, SF))
+    row = plans["e04_context_coverage"](spark, SF).first()
+    assert row.n == plans["e02_context_vectors"](spark, SF).count() and row.least_norm == pytest.approx(1.0, abs=1e-5)
