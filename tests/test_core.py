@@ -621,6 +621,45 @@ def test_groups_are_prepared_once_and_compared_as_before(spark):
         assert "FlatMapCoGroupsInPandas" in plan and "MapInPandas" not in plan
 
 
+def test_many_pairs_of_groups_are_scored_at_once(monkeypatch):
+    """Assignments and edit distances of many pairs are those of the single forms, ties included."""
+    from pipeloom.plans import sequential as PS
+
+    rng = random.Random(12)
+    for n, m in ((1, 1), (2, 5), (5, 2), (4, 4), (7, 6)):
+        scores = np.array([[[rng.choice([0.0, 0.25, 0.5, 1.0, rng.random()]) for _ in range(m)] for _ in range(n)] for _ in range(60)])
+        assert Q.best_assignments(scores).tolist() == [Q.best_assignment(s) for s in scores]
+        wider = np.concatenate([scores, np.zeros((60, n, 3))], axis=2)  # columns that stand for nobody
+        assert Q.best_assignments(wider).tolist() == [Q.best_assignment(s) for s in scores]
+    words = ["", "R", "R" * 64, "R" * 65, *["".join(rng.choice("RHD") for _ in range(rng.randrange(1, 30))) for _ in range(40)]]
+    assert PS._edits(words, words[::-1]).tolist() == [[PS._edit(a, b) for b in words[::-1]] for a in words]
+
+
+def test_groups_meet_side_by_side(spark, monkeypatch):
+    """Blocks of any size give the rows that pairs compared one by one give."""
+    from pipeloom.plans import sequential as PS
+
+    monkeypatch.setattr(PS, "hundredth", lambda c: F.lit(True))
+    monkeypatch.setattr(PS, "NUMBERS", 50)
+    monkeypatch.setattr(PS, "ASKED", 3)
+    monkeypatch.setattr(PS, "WIDTHS", (3, 5))
+    got = {(r.query_id, r.group_vector_id): tuple(r)[2:] for r in plans["r11_group_score"](spark, SF).collect()}
+    rows = adapter.groups(spark, SF).select("group_vector_id", "utility").join(PS._members(spark, SF), "group_vector_id").collect()
+    want = {}
+    for q in rows:
+        for c in rows:
+            if q.utility == c.utility and q.group_vector_id != c.group_vector_id:
+                score = np.zeros((len(q.ms), len(c.ms)))
+                for i, x in enumerate(q.ms):
+                    for j, y in enumerate(c.ms):
+                        moves = [[m[f"end_{k}"] - m[f"start_{k}"] for k in "xyz"] for m in (x, y)]
+                        parts = [max(0.0, 1 - math.dist(*moves) / 50_000), *([1 - PS._edit(x.pattern, y.pattern) / max(len(x.pattern), len(y.pattern))] if x.pattern and y.pattern else [])]
+                        score[i, j] = sum(parts) / len(parts) * (1.0 if x["size"] == y["size"] else 0.5)
+                arrangement = Q.arrangement_similarity(PS._figures(q.ms), PS._figures(c.ms))
+                want[q.group_vector_id, c.group_vector_id] = *Q.group_score([score[i, j] for i, j in enumerate(Q.best_assignment(score)) if j >= 0], len(q.ms), len(c.ms), arrangement), arrangement
+    assert len(want) > 10 and got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=2e-6) for k in want)
+
+
 def test_samples_within_a_limit(spark):
     rng = random.Random(6)
     rows = [([*(rng.uniform(0, 4000) for _ in range(6))], [rng.uniform(0, 3500) for _ in range(3)], rng.uniform(100, 1500)) for _ in range(300)]
