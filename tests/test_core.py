@@ -660,6 +660,21 @@ def test_groups_meet_side_by_side(spark, monkeypatch):
     assert len(want) > 10 and got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=2e-6) for k in want)
 
 
+def test_group_search_takes_vectors_side_by_side(spark, monkeypatch):
+    """Cosines of many groups in one product; the search gives the same rows with blocks of any size."""
+    from pipeloom.plans import complete as PC
+    from pipeloom.plans import sequential as PS
+
+    rows = [{"v": v} for v in ([1.0, 0.0], [0.6, 0.8], [0.0, 0.0], [1.0, 2.0, 2.0], None)]
+    got = PC._cosines(rows[:4], rows, "v", math.nan)
+    assert got[1, :4] == pytest.approx([0.6, 1.0, 0.0, 0.0]) and got[3, 3] == pytest.approx(1.0) and np.isnan(got[:, 4]).all() and np.isnan(PC._cosines(rows[4:], rows, "v", math.nan)).all()
+    monkeypatch.setattr(PS, "hundredth", lambda c: F.lit(True))
+    whole = sorted(map(tuple, plans["r12_group_top_k"](spark, SF).collect()))
+    monkeypatch.setattr(PS, "NUMBERS", 50)
+    monkeypatch.setattr(PS, "ASKED", 2)
+    assert len(whole) > 3 and whole == sorted(map(tuple, plans["r12_group_top_k"](spark, SF).collect()))
+
+
 def test_samples_within_a_limit(spark):
     rng = random.Random(6)
     rows = [([*(rng.uniform(0, 4000) for _ in range(6))], [rng.uniform(0, 3500) for _ in range(3)], rng.uniform(100, 1500)) for _ in range(300)]
