@@ -675,6 +675,32 @@ def test_group_search_takes_vectors_side_by_side(spark, monkeypatch):
     assert len(whole) > 3 and whole == sorted(map(tuple, plans["r12_group_top_k"](spark, SF).collect()))
 
 
+def test_path_similarities_of_many_lines_at_once(spark, monkeypatch):
+    """No pair of lines is scored by itself; scores are those of the plain formula."""
+    from pipeloom.plans import design as PD
+    from pipeloom.plans import polyline as PP
+    from pipeloom.plans import sequential as PS
+
+    monkeypatch.setattr(PD, "hundredth", lambda c: F.lit(True))
+    df = plans["r05_path_similarity"](spark, SF)
+    assert "FlatMapCoGroupsInArrow" in _steps(df)
+    got = {(r.q_guid, r.guid): r.similarity for r in df.collect()}
+    d = PP.lines(spark, SF).join(adapter.stubs(spark, SF).select(F.col("pattern_id").alias("guid"), "utility_group"), "guid").where("utility_group is not null")
+    box = G.extent(F.col("pts"))
+    d = d.select("guid", "utility_group", G.arrow_code(F.col("legs")).alias("w"), G.unit_directions(G.resampled(F.col("legs"), 8)).alias("u"), G.total_length(F.col("legs")).alias("n"), F.array(*[box["max" + c] - box["min" + c] for c in "xyz"]).alias("e"))
+    rows = d.collect()
+    assert got.keys() == {(a.guid, b.guid) for a in rows for b in rows if a.utility_group == b.utility_group and a.guid != b.guid}
+    by = {r.guid: r for r in rows}
+    for q, c in random.Random(5).sample(sorted(got), 300):
+        a, b = by[q], by[c]
+        back = [-x for k in range(7, -1, -1) for x in b.u[3 * k : 3 * k + 3]]
+        way = min(1.0, max(0.0, *[sum(x * y for x, y in zip(a.u, v)) / 8 for v in (b.u, back)]))
+        shape = 1 - PS._edit(a.w, b.w) / max(len(a.w), len(b.w)) if a.w or b.w else 1.0
+        size = 1 - abs(a.n - b.n) / max(a.n, b.n) if max(a.n, b.n) >= 1e-3 else 1.0
+        wide = sum(1.0 if max(x, y) < 1 else 0.0 if min(x, y) < 1 else min(x, y) / max(x, y) for x, y in zip(a.e, b.e)) / 3
+        assert got[q, c] == pytest.approx(0.3 * shape + 0.3 * way + 0.2 * size + 0.2 * wide, abs=2e-6)
+
+
 def test_samples_within_a_limit(spark):
     rng = random.Random(6)
     rows = [([*(rng.uniform(0, 4000) for _ in range(6))], [rng.uniform(0, 3500) for _ in range(3)], rng.uniform(100, 1500)) for _ in range(300)]
