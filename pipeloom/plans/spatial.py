@@ -96,27 +96,31 @@ WIDER = (200.0, 1000.0, 5000.0)
 def j12(spark, root):
     """Best anchor within 5 m of the source: same utility first (ignored if none is there), inside before near, then distance.
 
-    Anchors of a utility that goes with the route's are sought first, then, for routes without one within 5 m, any anchor.
+    Anchors of a utility that goes with the route's are sought first, then, for routes without one within 5 m, any anchor.  What moves
+    has numbers for identifiers, those of the anchors in the order of their names.
     """
-    r = A.routes(spark, root).select(F.col("guid").alias("id"), F.upper("utility").alias("ru"), *[F.col(f"source_pos{c}").alias(c) for c in "xyz"])
-    r = cut_lineage(r.where("x is not null and y is not null and z is not null"))
-    a = cut_lineage(anchors(spark, root).withColumn("au", F.upper("utility")).drop("utility"))
+    r = A.routes(spark, root).select("guid", F.upper("utility").alias("ru"), *[F.col(f"source_pos{c}").alias(c) for c in "xyz"])
+    r = cut_lineage(r.where("x is not null and y is not null and z is not null").withColumn("id", F.monotonically_increasing_id()))
+    named = cut_lineage(numbered(anchors(spark, root).withColumn("au", F.upper("utility")).drop("utility", "kind"), F.col("id"), name="place"))
+    a = named.drop("id").withColumnRenamed("place", "id").withColumn("kind", F.lit(""))
     alike = (F.col("ru") != "") & (F.col("au") != "") & (F.col("au").contains(F.col("ru")) | F.col("ru").contains(F.col("au")))
     both = cut_lineage(r.select("ru").distinct().join(a.select("au").distinct(), alike))
 
     def best(hint: int):
         def f(asked, radius):
-            asked = asked.join(both, "ru") if hint == 0 else asked
+            asked = asked.join(both, "ru").drop("ru") if hint == 0 else asked.drop("ru")
             found = O.radius_join(asked, a, radius, cell=2 * radius, on=["au"] if hint == 0 else [])
             d = F.round("distance", 6)
-            per = found.groupBy("id").agg(F.min(F.struct(F.when(F.col("distance") <= 1, 0).otherwise(1).alias("out"), d.alias("d"), F.col("box_id").alias("anchor"))).alias("b"))
-            return per.select("id", F.struct("b.anchor", F.lit(hint == 0).alias("by_utility"), "b.d").alias("b"), F.col("b.d").alias("reach"))
+            per = found.groupBy("id").agg(F.min(F.struct(F.when(F.col("distance") <= 1, 0).otherwise(1).alias("out"), d.alias("d"), F.col("box_id").alias("place"))).alias("b"))
+            return per.select("id", F.struct("b.place", F.lit(hint == 0).alias("by_utility"), "b.d").alias("b"), F.col("b.d").alias("reach"))
 
         return f
 
-    hinted = O.in_rounds(r, WIDER, best(0))
-    any_ = O.in_rounds(cut_lineage(r.join(hinted.select("id"), "id", "left_anti")), WIDER, best(1))
-    return hinted.unionByName(any_).select(F.col("id").alias("guid"), "b.anchor", "b.by_utility", F.round("b.d", 3).alias("distance"))
+    asked = r.drop("guid")
+    hinted = O.in_rounds(asked, WIDER, best(0))
+    any_ = O.in_rounds(cut_lineage(asked.join(hinted.select("id"), "id", "left_anti")), WIDER, best(1))
+    found = hinted.unionByName(any_).select("id", "b.*").join(r.select("id", "guid"), "id").drop("id")
+    return found.join(named.select("place", F.col("id").alias("anchor")), "place").select("guid", "anchor", "by_utility", F.round("d", 3).alias("distance"))
 
 
 @query("j14_route_matching", "route stub vertex", """WITH e AS (SELECT guid, arg_min([x, y, z], i) AS a, arg_max([x, y, z], i) AS b FROM vertex GROUP BY guid),

@@ -701,6 +701,17 @@ def test_path_similarities_of_many_lines_at_once(spark, monkeypatch):
         assert got[q, c] == pytest.approx(0.3 * shape + 0.3 * way + 0.2 * size + 0.2 * wide, abs=2e-6)
 
 
+def test_anchors_move_as_numbers(spark, monkeypatch):
+    """What the search for anchors moves has no names, and a round's files are let go of before the next one."""
+    seen, freed = [], []
+    whole, let_go = SP.radius_join, SP.let_go
+    monkeypatch.setattr(SP, "let_go", lambda s: freed.append(1) or let_go(s))
+    monkeypatch.setattr(SP, "radius_join", lambda points, boxes, *a, **k: seen.append((points, boxes)) or whole(points, boxes, *a, **k))
+    got = plans["j12_nearest_anchor"](spark, SF).collect()
+    assert len(got) > 50 and all(r.anchor.count(":") >= 2 for r in got)
+    assert len(freed) == len(seen) > 2 and all(dict(df.dtypes)["id"] == "bigint" for pair in seen for df in pair)
+
+
 def test_samples_within_a_limit(spark):
     rng = random.Random(6)
     rows = [([*(rng.uniform(0, 4000) for _ in range(6))], [rng.uniform(0, 3500) for _ in range(3)], rng.uniform(100, 1500)) for _ in range(300)]
