@@ -712,6 +712,24 @@ def test_anchors_move_as_numbers(spark, monkeypatch):
     assert len(freed) == len(seen) > 2 and all(dict(df.dtypes)["id"] == "bigint" for pair in seen for df in pair)
 
 
+def test_laid_pipes_are_one_matrix():
+    """Pipes of other utilities near a task that hold neither of its ends, as looking at each of them finds them."""
+    from pipeloom.plans import sequential as PS
+
+    rng = random.Random(8)
+    laid, known = PS.Laid(), []
+    assert laid.near("a", (0.0,) * 3, (1.0,) * 3, RT.region([(0.0,) * 3], 10.0)) == []
+    for _ in range(200):
+        p = [float(rng.randrange(-50, 50)) for _ in range(3)]
+        known.append((rng.choice(["a", "b", None]), (*p, *[v + rng.randrange(1, 30) for v in p])))
+        laid.add(*known[-1])
+    for u in ("a", "b", None, "other"):
+        for _ in range(30):
+            a, b = (tuple(float(rng.randrange(-40, 40)) for _ in range(3)) for _ in range(2))
+            box = RT.region((a, b), 5.0)
+            assert laid.near(u, a, b, box) == [x for v, x in known if v != u and not RT.inside(a, x) and not RT.inside(b, x) and all(x[i] <= box[i + 3] and x[i + 3] >= box[i] for i in range(3))]
+
+
 def test_samples_within_a_limit(spark):
     rng = random.Random(6)
     rows = [([*(rng.uniform(0, 4000) for _ in range(6))], [rng.uniform(0, 3500) for _ in range(3)], rng.uniform(100, 1500)) for _ in range(300)]
