@@ -730,6 +730,61 @@ def test_laid_pipes_are_one_matrix():
             assert laid.near(u, a, b, box) == [x for v, x in known if v != u and not RT.inside(a, x) and not RT.inside(b, x) and all(x[i] <= box[i + 3] and x[i + 3] >= box[i] for i in range(3))]
 
 
+def test_bays_look_their_boxes_up(spark, monkeypatch):
+    """Tasks of a bay are routed past boxes that no join sends to it, as one after another with every box at hand."""
+    from pipeloom.plans import sequential as PS
+
+    rng = random.Random(9)
+    names = [f"{e}{c}" for e in ("min", "max") for c in "xyz"]
+    boxes = [(*p, *[v + rng.choice([600.0, 2500.0, 5000.0]) for v in p]) for p in ([float(rng.randrange(-9000, 9000)) for _ in range(3)] for _ in range(40))]
+    boxes += [(-9e4, -9e4, z, 9e4, 9e4, z + 50.0) for z in (-12000.0, 12000.0)]  # in more tiles than a box is laid out in
+    tasks = [(f"r{k:02}", rng.choice(["N2", "PCW", None]), rng.choice(["B1", None]), *[float(rng.randrange(-9000, 9000)) for _ in range(3)]) for k in range(30)]
+    tasks = [(*t, *[v + rng.randrange(-4000, 4000) for v in t[3:]]) for t in tasks]
+    monkeypatch.setattr(PS.A, "obstacles", lambda spark, root: spark.createDataFrame([(k, *b) for k, b in enumerate([*boxes, (None,) * 6])], "id bigint, " + ", ".join(f"{n} double" for n in names)))
+    monkeypatch.setattr(PS.A, "routes", lambda spark, root: spark.createDataFrame([*tasks, ("gone", "N2", "B1", *[None] * 6)], "guid string, utility string, bay string, " + ", ".join(f"{e}_pos{c} double" for e in ("source", "target") for c in "xyz")))
+    monkeypatch.setattr(PS.SP, "overlap_join", None)
+    got = {r["id"]: tuple(r)[1:] for r in PS.v05(spark, "").collect()}
+    want, laid = {}, {}
+    for name, utility, bay, *at in sorted(tasks):
+        a, b = tuple(at[:3]), tuple(at[3:])
+        pipes = laid.setdefault(bay, [])
+        for margin in (1500.0, 6000.0, 24000.0, 2e5):
+            box = RT.region((a, b), margin)
+            near = [x for x in boxes if all(x[i] <= box[i + 3] and x[i + 3] >= box[i] for i in range(3))]
+            other = [x for u, x in pipes if u != utility and not RT.inside(a, x) and not RT.inside(b, x) and all(x[i] <= box[i + 3] and x[i + 3] >= box[i] for i in range(3))]
+            code, path, _ = RT.line_route(a, b, [*near, *other], lines=None, within=RT.region((a, b), margin - 100.0))
+            if not PS._better_outside(code, path, a, b, margin - 100.0):
+                break
+        pipes += [(utility, (*[min(p[i], q[i]) - 50 for i in range(3)], *[max(p[i], q[i]) + 50 for i in range(3)])) for p, q in zip(path, path[1:])]
+        want[name] = tuple(PS._result({"id": name}, code, path, near)[0].values())[1:]
+    assert got == want
+    assert {"OK", "START_BLOCKED", "GOAL_BLOCKED"} <= {r[0] for r in got.values()}
+
+
+def test_boxes_by_tile(spark, monkeypatch):
+    """What a worker reads of the sorted copy is what looking at every box finds, however few tiles it keeps; the copy is removed."""
+    from pathlib import Path
+
+    from pipeloom.operators import tiles as TI
+    from pipeloom.session import cut_lineage
+
+    rng = random.Random(10)
+    corners = [[rng.uniform(-3e4, 3e4) for _ in range(3)] for _ in range(400)]
+    boxes = np.array([(*p, *[v + rng.choice([100.0, 900.0, 7000.0]) + (9e4 if k < 4 else 0.0) for v in p]) for k, p in enumerate(corners)])
+    cut_lineage(spark.range(1))  # names the shared folder
+    monkeypatch.setattr(TI, "KEPT", 50)
+    with TI.laid_out(spark.createDataFrame(boxes.tolist(), ", ".join(f"{n} double" for n in TI.SIDES))) as folder:
+        tiles = TI.Tiles(folder)
+        points = np.array([[rng.uniform(-3.2e4, 3.2e4) for _ in range(3)] for _ in range(3000)] + [[math.inf, 0.0, 0.0], [1e9, 1e9, 0.0]])
+        points[:400] = boxes[:, 3:] + [[100.0 - 1e-6] * 3]
+        assert tiles.held(points, 100.0).tolist() == [RT.holds(p, boxes, 100.0) for p in points]
+        for _ in range(30):
+            box = RT.region([[rng.uniform(-3e4, 3e4) for _ in range(3)]], rng.choice([500.0, 5000.0, 1e6]))
+            assert set(map(tuple, tiles.touched(box).tolist())) == {tuple(b) for b in boxes.tolist() if all(b[i] <= box[i + 3] and b[i + 3] >= box[i] for i in range(3))}
+        assert tiles.size <= 50 and len(tiles.large)
+    assert not Path(folder.removeprefix("file:")).exists()
+
+
 def test_samples_within_a_limit(spark):
     rng = random.Random(6)
     rows = [([*(rng.uniform(0, 4000) for _ in range(6))], [rng.uniform(0, 3500) for _ in range(3)], rng.uniform(100, 1500)) for _ in range(300)]
