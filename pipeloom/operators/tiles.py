@@ -23,8 +23,8 @@ SIDES = [f"{e}{c}" for e in ("min", "max") for c in "xyz"]
 TILE, GROWN, CELL = 6000.0, 200.0, 500.0
 #: Boxes that touch more tiles than that are kept apart and looked at always.
 MOST_TILES = 64
-#: Boxes that a worker keeps.
-KEPT = 1_500_000
+#: Boxes that a worker keeps, at some 80 bytes; if all tiles together have more, tiles are read again.
+KEPT = 3_000_000
 
 
 @contextmanager
@@ -125,6 +125,7 @@ class Tiles:
             box = np.repeat(np.arange(len(boxes)), n)
             k = np.arange(len(box)) - np.repeat(np.cumsum(n) - n, n)
             at = (lo[box, 0] + k // wide[box, 1]) * side + lo[box, 1] + k % wide[box, 1]
+            at = at.astype(np.int16)  # sorted faster
             order = np.argsort(at, kind="stable")
             cells += [box[order].astype(np.int32), np.searchsorted(at[order], np.arange(side * side + 1))]
         box, start = cells
